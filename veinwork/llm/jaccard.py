@@ -2,9 +2,10 @@
 
 Documents with equal shingle sets are one node. A node enters the product with
 the columns of its prefix alone: the size-derived bound says that sets which
-reach the similarity share a column there. Columns are ordered rare first (by
-counts of all shingles in hashed cells), so passages that many documents share
-stay out of the prefixes of documents that have anything else.
+reach the similarity share so many columns there (``least_shared``), and a node
+whose prefix shares fewer with anything leaves the product. Columns are ordered
+rare first (by counts of all shingles in hashed cells), so passages that many
+documents share stay out of the prefixes of documents that have anything else.
 
 The product runs in blocks. A block pairs each node with a few pivots of each
 of its columns; pairs that the size and bitmap bounds leave are counted
@@ -117,9 +118,15 @@ def _packed(p: np.ndarray) -> bytes:
     return bytes([size]) + p.astype(f"u{size}").tobytes()
 
 
+def least_shared(n, percent: int):
+    """Elements that a set of n shares, within the prefixes, with any larger set that reaches the similarity (integers or a column)."""
+    spare = (n * (100 - percent) - n * (100 - percent) % 100) / 100 if isinstance(n, Column) else n * (100 - percent) // 100
+    return F.greatest(F.lit(1), F.floor((spare + 1) / 3)) if isinstance(n, Column) else max(1, (spare + 1) // 3)
+
+
 def prefix_length(n: int, percent: int) -> int:
-    """Two sets that reach the similarity share an element among so many first ones of either."""
-    return n - -(-percent * n // 100) + 1
+    """If at most ``n - ceil(percent * n)`` elements of a set aren't in the other, ``least_shared`` of so many first ones are, and in its prefix too."""
+    return n * (100 - percent) // 100 + least_shared(n, percent)
 
 
 def _prefixes(docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -231,6 +238,7 @@ class _Product:
         met = a.join(b, "g").filter((F.col("c_a") < F.col("c_b")) & self.sizes_meet(F.col("n_a"), F.col("n_b")))
         counted = met.groupBy(F.col("s_a").alias("a"), F.col("s_b").alias("b"), "n_a", "n_b").agg(F.count("*").alias("k"), F.max("pos_a").alias("pa"), F.max("pos_b").alias("pb"))
         most = F.col("k") + F.least(F.col("n_a") - F.col("pa") - 1, F.col("n_b") - F.col("pb") - 1)
+        counted = counted.filter(F.col("k") >= least_shared(F.least("n_a", "n_b"), self.percent))
         return counted.filter((100 + self.percent) * most >= self.percent * (F.col("n_a") + F.col("n_b"))).select("a", "b")
 
 
@@ -245,7 +253,11 @@ def similar_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     nodes = checkpointed(_prefixes(own, words, percent))
     columns = nodes.filter("s is not null").select("s", "n", F.posexplode("prefix").alias("pos", "g"))
     shared = checkpointed(columns.groupBy("g").agg(F.min("s").alias("s0"), F.max("s").alias("s1")).filter("s0 < s1").select("g"))
-    rows = checkpointed(columns.join(small(shared, shared.count()), "g").select("g", "s", "n", "pos").distinct())
+    met = checkpointed(columns.join(small(shared, shared.count()), "g").select("g", "s", "n", "pos").dropDuplicates(["g", "s"]))
+    # The other set may be smaller, by the similarity at most.
+    smallest = F.ceil(percent * F.col("n") / 100)
+    enough = met.groupBy("s", "n").agg(F.count("*").alias("k")).filter(F.col("k") >= least_shared(smallest, percent)).select("s")
+    rows = checkpointed(met.join(enough, "s", "left_semi"))
     active = checkpointed(nodes.join(rows.select("s").distinct(), "s", "left_semi").groupBy("s").agg(F.min(F.struct("id", "th")).alias("k")).select("k.id", "k.th"))
     wanted = small(active.select(F.col("id").alias("_i"), F.col("th").alias("_t")), active.count())
     sets = checkpointed(_sets(own.join(wanted, F.col("doc_id").eqNullSafe(F.col("_i")) & (_text_hash() == F.col("_t")), "left_semi"), words).dropDuplicates(["s"]))
