@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from veinwork.llm.common import table
 from veinwork.llm.decontamination import contamination_digest, decontaminate
 from veinwork.llm.jaccard import similarity_components
+from veinwork.llm import lines, quality
 from veinwork.llm.language import predict_held_out
+from veinwork.llm.mixing import mix_digest
 from veinwork.llm.pii import personal_data
 from veinwork.llm.tokens import token_counts
 
@@ -18,6 +20,14 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_held_out(table(spark, sf_dir, "documents"))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_digest(table(spark, sf_dir, "documents"))
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_digest(table(spark, sf_dir, "documents"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return contamination_digest(decontaminate(docs, table(spark, sf_dir, "benchmark")))
@@ -27,6 +37,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_digest(table(spark, sf_dir, "documents"))
+
+
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(table(spark, sf_dir, "documents"))
 
@@ -36,8 +50,8 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_id, op5_decontamination, op6_token_counts, op8_personal_data, op9_jaccard_join)}
+    return {f.__name__: f for f in (op2_language_id, op3_quality_rules, op4_line_dedup, op5_decontamination, op6_token_counts, op7_source_mix, op8_personal_data, op9_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_quality_rules": quality.oracle(), "op4_line_dedup": lines.ORACLE}
