@@ -13,6 +13,7 @@ from veinwork.llm import lines, quality
 from veinwork.llm.language import predict_held_out
 from veinwork.llm.mixing import mix_digest
 from veinwork.llm.pii import personal_data
+from veinwork.llm.substrings import substring_digest
 from veinwork.llm.tokens import token_counts
 
 
@@ -49,8 +50,12 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity_components(table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_id, op3_quality_rules, op4_line_dedup, op5_decontamination, op6_token_counts, op7_source_mix, op8_personal_data, op9_jaccard_join)}
+    return {f.__name__: f for f in (op2_language_id, op3_quality_rules, op4_line_dedup, op5_decontamination, op6_token_counts, op7_source_mix, op8_personal_data, op9_jaccard_join, op10_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
