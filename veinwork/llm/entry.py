@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from veinwork.llm.common import table
 from veinwork.llm.decontamination import contamination_digest, decontaminate
 from veinwork.llm.jaccard import similarity_components
-from veinwork.llm import lines, quality
+from veinwork.llm import chat, lines, quality
 from veinwork.llm.language import predict_held_out
 from veinwork.llm.mixing import mix_digest
 from veinwork.llm.pii import personal_data
@@ -17,6 +17,10 @@ from veinwork.llm.substrings import substring_digest
 from veinwork.llm.tokens import token_counts
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.link_tool_calls(table(spark, sf_dir, "conversations"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_held_out(table(spark, sf_dir, "documents"))
 
@@ -55,8 +59,8 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_id, op3_quality_rules, op4_line_dedup, op5_decontamination, op6_token_counts, op7_source_mix, op8_personal_data, op9_jaccard_join, op10_suffix_dedup)}
+    return {f.__name__: f for f in (op1_chat_format, op2_language_id, op3_quality_rules, op4_line_dedup, op5_decontamination, op6_token_counts, op7_source_mix, op8_personal_data, op9_jaccard_join, op10_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": quality.oracle(), "op4_line_dedup": lines.ORACLE}
+    return {"op1_chat_format": chat.ORACLE, "op3_quality_rules": quality.oracle(), "op4_line_dedup": lines.ORACLE}
