@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
+from veinwork.plans import directory_queries, incremental_queries, merge_queries, relational_queries, search_queries, text_queries  # noqa: F401  they register
+from veinwork.plans.base import ORACLES, QUERIES, Query
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["live_candidates"](spark, sf_dir)
+    return QUERIES["search_end_to_end"](spark, sf_dir)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
