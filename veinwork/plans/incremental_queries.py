@@ -1 +1,87 @@
-"""To come."""
+"""Cursors, queues and streams."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from veinwork.plans.base import query
+from veinwork.sources.tables import contents, table, with_
+from veinwork.streaming.ingest import claim, deduplicated_counts, until_known
+
+
+@query("""
+WITH o AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS p FROM orders),
+k AS (SELECT o_custkey, min(p) AS p FROM o WHERE o_orderkey % 5 = 0 GROUP BY o_custkey)
+SELECT o.o_orderkey AS id FROM o LEFT JOIN k USING (o_custkey) WHERE k.p IS NULL OR o.p < k.p""")
+def head_overlap_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each feed from its head up to the first one that is known."""
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
+    return until_known(o, ["o_custkey"], [F.col("o_orderdate").desc(), F.col("o_orderkey").desc()], F.col("o_orderkey") % 5 == 0).select(F.col("o_orderkey").alias("id"))
+
+
+@query("""
+WITH o AS (SELECT o_custkey, o_orderkey, CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE o_orderdate END AS changed, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS p FROM orders),
+k AS (SELECT o_custkey, min(p) AS p FROM o WHERE o_orderkey % 7 = 0 GROUP BY o_custkey)
+SELECT o.o_orderkey AS id FROM o LEFT JOIN k USING (o_custkey) WHERE (k.p IS NULL OR o.p < k.p) AND (changed IS NULL OR changed > TIMESTAMP '1998-01-01')""")
+def watermark_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As above, and only what changed since the last run; undated rows always pass."""
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
+    new = until_known(o, ["o_custkey"], [F.col("o_orderdate").desc(), F.col("o_orderkey").desc()], F.col("o_orderkey") % 7 == 0)
+    changed = F.when(F.col("o_orderkey") % 13 != 0, F.col("o_orderdate"))
+    return new.filter(changed.isNull() | (changed > F.lit("1998-01-01").cast("timestamp_ntz"))).select(F.col("o_orderkey").alias("id"))
+
+
+@query(with_("contents", """
+SELECT id, attempts + 1 AS attempts, row_number() OVER (ORDER BY (length(raw_text) >= 80) DESC, created_at DESC, id) AS place FROM contents
+WHERE processed_at IS NULL AND (attempts = 0 OR created_at + to_minutes(CAST(least(360, greatest(1, pow(2, least(8, greatest(0, attempts - 1))))) AS BIGINT)) <= TIMESTAMP '2000-02-01') QUALIFY place <= 48"""))
+def claimable_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The next 48 documents to work on: due ones, readable first, newest first."""
+    return claim(contents(spark, sf_dir), F.lit("2000-02-01 00:00:00").cast("timestamp_ntz"), 48).select("id", F.col("attempts"), "place")
+
+
+@query("SELECT sha256(string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY CAST(o_orderkey AS VARCHAR))) AS fingerprint, count(*) AS rows, min(page) AS page FROM (SELECT o_orderkey, o_orderkey // 100 AS page FROM orders) GROUP BY page")
+def page_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page is known by its sorted ids; one that was seen is dropped."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("id"), F.floor(F.col("o_orderkey") / 100).cast("long").alias("page"))
+    pages = o.groupBy("page").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("id")), ","), 256).alias("fingerprint"), F.count("*").alias("rows"))
+    return pages.groupBy("fingerprint").agg(F.first("rows").alias("rows"), F.min("page").alias("page"))
+
+
+@query("SELECT event_id AS id FROM events WHERE event_type = 'click' ORDER BY ts, event_id OFFSET 120")
+def carry_over_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a run of 120 messages leaves for the next one."""
+    e = table(spark, sf_dir, "events").filter("event_type = 'click'")
+    done = e.orderBy("ts", "event_id").limit(120).select("event_id")
+    return e.join(F.broadcast(done), "event_id", "left_anti").select(F.col("event_id").alias("id"))
+
+
+@query("SELECT user_id, array_to_string(list(event_type ORDER BY ts, event_id), '>') AS path FROM events GROUP BY user_id")
+def per_key_serial(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each key's events in order; keys are independent of each other."""
+    e = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))).alias("s"))
+    return e.select("user_id", F.array_join(F.transform("s", lambda x: x["event_type"]), ">").alias("path"))
+
+
+@query("SELECT user_id, array_to_string(list_sort(list(DISTINCT CAST(json_extract_string(props, '$.k') AS INTEGER))), ',') AS ids FROM events GROUP BY user_id")
+def delta_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids out of a nested change feed, distinct."""
+    feed = F.from_json(F.concat(F.lit('{"history":[{"added":[{"message":{"id":'), F.get_json_object("props", "$.k"), F.lit("}}]}]}")), "history array<struct<added:array<struct<message:struct<id:int>>>>>")
+    e = table(spark, sf_dir, "events").select("user_id", F.explode(feed["history"]).alias("h")).select("user_id", F.explode("h.added").alias("a"))
+    return e.groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_set("a.message.id")), ",").alias("ids"))
+
+
+@query("SELECT event_type, count(DISTINCT event_id) AS events, round(sum(value), 4) AS worth FROM events GROUP BY event_type")
+def stream_dedup_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each file twice through a stream that keeps what it has seen: the counts are those of one delivery."""
+    return deduplicated_counts(spark, f"{sf_dir}/events.parquet")
+
+
+@query("SELECT user_id, count(*) AS sessions, max(n) AS longest FROM (SELECT user_id, s, count(*) AS n FROM (SELECT user_id, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT user_id, ts, event_id, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events)) GROUP BY 1, 2) GROUP BY 1")
+def extension_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extension: sessions by a gap of 30 minutes."""
+    e = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    s = e.groupBy("user_id", F.session_window("ts", "30 minutes")).agg(F.count("*").alias("n"))
+    return s.groupBy("user_id").agg(F.count("*").alias("sessions"), F.max("n").alias("longest"))
+
+

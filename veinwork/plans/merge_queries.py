@@ -1 +1,173 @@
-"""To come."""
+"""Merges, rejects, repairs and rule-based changes."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from veinwork.operators.merge import merged_rows, one_of_each, rejected, repointed
+from veinwork.operators.relational import keep_first
+from veinwork.plans.base import query
+from veinwork.sources.tables import candidates, contents, sources, table, with_
+
+
+@query(with_("candidates", """
+SELECT a.id, array_to_string(list_sort(list_distinct(list_concat(a.email, coalesce(b.email, CAST([] AS VARCHAR[]))))), ',') AS emails, greatest(a.quality_score, coalesce(b.quality_score, 0)) AS quality_score
+FROM candidates a LEFT JOIN candidates b ON b.duplicate_of = a.id"""))
+def array_union_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = candidates(spark, sf_dir)
+    b = c.filter("duplicate_of is not null").select(F.col("duplicate_of").alias("id"), F.col("email").alias("more"), F.col("quality_score").alias("q"))
+    j = c.join(b, "id", "left")
+    return j.select("id", F.array_join(F.array_sort(F.array_union("email", F.coalesce("more", F.array().cast("array<string>")))), ",").alias("emails"), F.greatest("quality_score", F.coalesce("q", F.lit(0))).alias("quality_score"))
+
+
+@query("""
+WITH s AS (SELECT doc_id, sha256(text) AS h, lang FROM documents WHERE doc_id % 2 = 0), i AS (SELECT doc_id - doc_id % 2 AS doc_id, sha256(text) AS h, lang FROM documents WHERE doc_id % 2 = 1)
+SELECT i.doc_id, CASE WHEN s.doc_id IS NULL THEN 'new' WHEN s.h = i.h THEN 'unchanged' ELSE 'updated' END AS outcome FROM i LEFT JOIN s USING (doc_id)""")
+def unchanged_by_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Incoming rows whose content hash is known change nothing."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
+    s = d.filter("doc_id % 2 = 0").select("doc_id", F.col("h").alias("old"))
+    i = d.filter("doc_id % 2 = 1").withColumn("doc_id", F.col("doc_id") - F.col("doc_id") % 2)
+    return i.join(s, "doc_id", "left").select("doc_id", F.when(F.col("old").isNull(), "new").when(F.col("old") == F.col("h"), "unchanged").otherwise("updated").alias("outcome"))
+
+
+@query(with_("contents", """
+, s AS (SELECT * FROM contents WHERE id % 2 = 0), i AS (SELECT id - id % 2 AS id, is_primary, mime_type, processed_at, raw_text FROM contents WHERE id % 2 = 1)
+SELECT coalesce(s.id, i.id) AS id, coalesce(s.is_primary, FALSE) OR coalesce(i.is_primary, FALSE) AS is_primary, coalesce(i.mime_type, s.mime_type) AS mime_type,
+       coalesce(i.processed_at, s.processed_at) AS processed_at FROM s FULL JOIN i ON s.id = i.id"""))
+def document_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = contents(spark, sf_dir).select("id", "is_primary", "mime_type", "processed_at")
+    i = d.filter("id % 2 = 1").withColumn("id", F.col("id") - F.col("id") % 2)
+    return merged_rows(d.filter("id % 2 = 0"), i, "id", {"is_primary": "or", "mime_type": "incoming", "processed_at": "incoming"}).drop("outcome")
+
+
+@query(with_("candidates contents", """
+SELECT coalesce(c.duplicate_of, d.candidate_id) AS candidate_id, count(*) AS documents, min(d.id) AS first_id FROM contents d LEFT JOIN candidates c ON c.id = d.candidate_id AND c.duplicate_of IS NOT NULL GROUP BY 1"""))
+def duplicate_repoint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = candidates(spark, sf_dir).filter("duplicate_of is not null").select(F.col("id").alias("old"), F.col("duplicate_of").alias("new"))
+    return repointed(contents(spark, sf_dir).select("candidate_id", "id"), "candidate_id", moved).groupBy("candidate_id").agg(F.count("*").alias("documents"), F.min("id").alias("first_id"))
+
+
+@query("""
+WITH d AS (SELECT doc_id, sha256(text) AS h, doc_id % 7 AS keeper FROM documents WHERE text IS NOT NULL)
+SELECT doc_id FROM d a WHERE doc_id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM d b WHERE b.doc_id % 2 = 0 AND b.h = a.h)""")
+def hash_clash_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows to move, without those whose content the keeper has already."""
+    d = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", F.sha2("text", 256).alias("h"))
+    return d.filter("doc_id % 2 = 1").join(d.filter("doc_id % 2 = 0").select("h"), "h", "left_anti").select("doc_id")
+
+
+@query(with_("candidates", """
+, s AS (SELECT id, unnest(email) AS e FROM candidates WHERE id % 2 = 0), i AS (SELECT id, unnest(email) AS e FROM candidates WHERE id % 2 = 1),
+m AS (SELECT i.id, max(s.id) AS stored FROM i JOIN s ON lower(i.e) = lower(s.e) GROUP BY i.id)
+SELECT c.id, m.stored, CASE WHEN m.stored IS NULL THEN 'inserted' ELSE 'merged' END AS outcome, CASE WHEN m.stored IS NULL THEN 50 END AS quality_score FROM candidates c LEFT JOIN m ON m.id = c.id WHERE c.id % 2 = 1"""))
+def manual_import_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Incoming people meet a stored one by address; the newest wins, the rest are inserted."""
+    c = candidates(spark, sf_dir)
+    e = c.select("id", F.explode("email").alias("e")).withColumn("e", F.lower("e"))
+    s = e.filter("id % 2 = 0").select(F.col("id").alias("stored"), "e")
+    m = e.filter("id % 2 = 1").join(s, "e").groupBy("id").agg(F.max("stored").alias("stored"))
+    out = c.filter("id % 2 = 1").select("id").join(m, "id", "left")
+    return out.select("id", "stored", F.when(F.col("stored").isNull(), "inserted").otherwise("merged").alias("outcome"), F.when(F.col("stored").isNull(), 50).alias("quality_score"))
+
+
+@query("SELECT user_id, arg_min(event_id, event_id) AS first_id, arg_max(event_id, event_id) AS last_id FROM events GROUP BY user_id")
+def first_last_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("user_id", "event_id")
+    first = one_of_each(e, "user_id", "event_id").withColumnRenamed("event_id", "first_id")
+    return first.join(one_of_each(e, "user_id", "event_id", last=True).withColumnRenamed("event_id", "last_id"), "user_id")
+
+
+@query(with_("candidates", """
+SELECT id, CASE WHEN len(email) = 0 AND len(phone) = 0 THEN 'no contact' WHEN quality_score < 5 THEN 'low quality' WHEN status = 'rejected' THEN 'rejected before' END AS reason FROM candidates
+WHERE (len(email) = 0 AND len(phone) = 0) OR quality_score < 5 OR status = 'rejected'"""))
+def reject_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = [("no contact", (F.size("email") == 0) & (F.size("phone") == 0)), ("low quality", F.col("quality_score") < 5), ("rejected before", F.col("status") == "rejected")]
+    return rejected(candidates(spark, sf_dir), rules)[1].select("id", "reason")
+
+
+@query("""
+WITH o AS (SELECT event_type, CASE WHEN event_id % 10 = 0 THEN 'error' WHEN event_id % 3 = 0 THEN 'new' WHEN event_id % 3 = 1 THEN 'updated' ELSE 'unchanged' END AS outcome, ts FROM events)
+SELECT event_type AS source, count(*) FILTER (WHERE outcome = 'new') AS new, count(*) FILTER (WHERE outcome = 'updated') AS updated, count(*) FILTER (WHERE outcome = 'unchanged') AS unchanged, count(*) FILTER (WHERE outcome = 'error') AS errors,
+       CAST(epoch(max(ts)) - epoch(min(ts)) AS BIGINT) AS seconds, CASE WHEN count(*) FILTER (WHERE outcome = 'error') > 0 THEN 'partial' ELSE 'ok' END AS status FROM o GROUP BY event_type""")
+def run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("event_id")
+    o = table(spark, sf_dir, "events").withColumn("outcome", F.when(i % 10 == 0, "error").when(i % 3 == 0, "new").when(i % 3 == 1, "updated").otherwise("unchanged"))
+    n = lambda v: F.count_if(F.col("outcome") == v)
+    seconds = F.round((F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))) / 1e6).cast("long")
+    return o.groupBy(F.col("event_type").alias("source")).agg(n("new").alias("new"), n("updated").alias("updated"), n("unchanged").alias("unchanged"), n("error").alias("errors"), seconds.alias("seconds"), F.when(n("error") > 0, "partial").otherwise("ok").alias("status"))
+
+
+@query(with_("candidates", "SELECT id, full_name, FALSE AS changed FROM candidates"))
+def repair_backup_rollback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names are repaired with a backup of the old ones, then rolled back from it: nothing is left changed."""
+    c = candidates(spark, sf_dir).select("id", "full_name")
+    repaired = c.withColumn("full_name", F.when(F.col("id") % 5 == 0, F.initcap("full_name")).otherwise(F.col("full_name")))
+    backup = c.filter("id % 5 = 0").select("id", F.col("full_name").alias("old_name"))
+    back = repaired.join(backup, "id", "left").select("id", F.coalesce("old_name", "full_name").alias("full_name"))
+    return back.join(c.withColumnRenamed("full_name", "was"), "id").select("id", "full_name", (F.col("full_name") != F.col("was")).alias("changed"))
+
+
+@query(with_("candidates sources", """
+SELECT id FROM candidates c WHERE NOT (country = 'ASIA' AND len(email) = 0 AND NOT EXISTS (SELECT 1 FROM sources s WHERE s.candidate_id = c.id AND s.is_active))"""))
+def rule_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    active = sources(spark, sf_dir).filter("is_active").select(F.col("candidate_id").alias("id")).distinct().withColumn("a", F.lit(True))
+    c = candidates(spark, sf_dir).join(active, "id", "left")
+    return c.filter(~((F.col("country") == "ASIA") & (F.size("email") == 0) & F.col("a").isNull())).select("id")
+
+
+@query(with_("contents", "SELECT id, CASE WHEN error LIKE 'HTTP%' AND attempts < 5 THEN NULL ELSE processed_at END AS processed_at FROM contents"))
+def requeue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    again = F.coalesce(F.col("error").startswith("HTTP"), F.lit(False)) & (F.col("attempts") < 5)
+    return contents(spark, sf_dir).select("id", F.when(~again, F.col("processed_at")).alias("processed_at"))
+
+
+@query(with_("candidates", "SELECT id, CASE WHEN regexp_matches(lower(full_name), '(00|99)$') THEN 'rejected' ELSE status END AS status FROM candidates"))
+def generic_name_reject(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return candidates(spark, sf_dir).select("id", F.when(F.lower("full_name").rlike("(00|99)$"), "rejected").otherwise(F.col("status")).alias("status"))
+
+
+@query(with_("candidates contents", """
+, best AS (SELECT candidate_id, length(raw_text) AS n FROM contents QUALIFY row_number() OVER (PARTITION BY candidate_id ORDER BY is_primary DESC, created_at DESC, id DESC) = 1)
+SELECT c.id, CAST(least(100, 20 + 15 * CAST(len(email) > 0 AS INTEGER) + 15 * CAST(len(phone) > 0 AS INTEGER) + 15 * CAST(coalesce(n, 0) >= 80 AS INTEGER) + 10 * CAST(coalesce(n, 0) >= 2000 AS INTEGER)) AS BIGINT) AS quality_score
+FROM candidates c LEFT JOIN best ON candidate_id = c.id"""))
+def reanalysis_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality recomputed for all rows in one job."""
+    d = contents(spark, sf_dir).withColumn("n", F.char_length("raw_text"))
+    best = keep_first(d.select("candidate_id", "n", "is_primary", "created_at", "id"), ["candidate_id"], [F.col("is_primary").desc(), F.col("created_at").desc(), F.col("id").desc()])
+    c = candidates(spark, sf_dir).select("id", "email", "phone").join(best.select(F.col("candidate_id").alias("id"), "n"), "id", "left")
+    n, flag = F.coalesce("n", F.lit(0)), lambda b: b.cast("int")
+    score = 20 + 15 * flag(F.size("email") > 0) + 15 * flag(F.size("phone") > 0) + 15 * flag(n >= 80) + 10 * flag(n >= 2000)
+    return c.select("id", F.least(F.lit(100), score).cast("long").alias("quality_score"))
+
+
+@query(with_("candidates", "SELECT id FROM candidates WHERE (CASE WHEN id % 6 = 0 THEN NULL ELSE city END) IS DISTINCT FROM city OR (CASE WHEN id % 10 = 0 THEN upper(summary) ELSE summary END) IS DISTINCT FROM summary"))
+def changed_vector_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose search inputs differ from before, null-safe: only these are indexed anew."""
+    c = candidates(spark, sf_dir)
+    city, summary = F.when(F.col("id") % 6 != 0, F.col("city")), F.when(F.col("id") % 10 == 0, F.upper("summary")).otherwise(F.col("summary"))
+    return c.filter(~(city.eqNullSafe(F.col("city")) & summary.eqNullSafe(F.col("summary")))).select("id")
+
+
+@query(with_("candidates", "SELECT id, CASE WHEN len(email) >= 2 OR len(phone) >= 2 THEN 'needs_review' ELSE status END AS status FROM candidates"))
+def quarantine_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = (F.size("email") >= 2) | (F.size("phone") >= 2)
+    return candidates(spark, sf_dir).select("id", F.when(mixed, "needs_review").otherwise(F.col("status")).alias("status"))
+
+
+@query(with_("candidates", "SELECT id, CASE WHEN regexp_matches(v, '[A-Za-z]') THEN v END AS city FROM (SELECT id, CASE WHEN id % 4 = 0 THEN CAST(id AS VARCHAR) ELSE city END AS v FROM candidates)"))
+def numeric_field_nulling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.when(F.col("id") % 4 == 0, F.col("id").cast("string")).otherwise(F.col("city"))
+    return candidates(spark, sf_dir).select("id", F.when(v.rlike("\\p{L}"), v).alias("city"))
+
+
+@query("""
+SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) + 1 AS k, event_type AS kind, 2 AS keys FROM events""")
+def config_merge_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored map takes over changed keys and loses a removed one."""
+    stored = F.create_map(F.lit("k"), F.get_json_object("props", "$.k"), F.lit("cursor"), F.lit("x"))
+    change = F.create_map(F.lit("k"), (F.get_json_object("props", "$.k").cast("long") + 1).cast("string"), F.lit("kind"), F.col("event_type"))
+    merged = F.map_filter(F.map_concat(F.map_filter(stored, lambda k, v: ~F.array_contains(F.map_keys(change), k)), change), lambda k, v: k != "cursor")
+    e = table(spark, sf_dir, "events").select("event_id", merged.alias("m"))
+    return e.select("event_id", F.element_at("m", "k").cast("long").alias("k"), F.element_at("m", "kind").alias("kind"), F.size("m").alias("keys"))
