@@ -12,8 +12,11 @@ Conventions that hold for every operator here:
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import zipfile
 from collections.abc import Callable, Iterable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,6 +47,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Have Spark drop the shuffle and checkpoint files of frames that are out of use.
+
+    Its cleaner acts when the driver's JVM collects garbage, which small plans
+    never cause; without this, every finished step's files stay to the end.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
     """``df`` without the columns that an operator is about to produce."""
     clash = {n.lower() for n in names}
@@ -84,6 +97,20 @@ def append_columns(docs: DataFrame, fields: list[T.StructField], make: Callable[
 
 
 def arrow_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches of whole texts small, unless the session says otherwise."""
+    """Prepare a session for Python operators: small Arrow batches of whole texts, and this package on the executors."""
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    context = spark.sparkContext
+    if getattr(context, "_veinwork_shipped", None) is None:
+        context._veinwork_shipped = _archive()
+        context.addPyFile(context._veinwork_shipped)
+
+
+def _archive() -> str:
+    """The package as a zip file, which the driver serves to executors that don't have it installed."""
+    root = Path(__file__).resolve().parents[1]
+    target = Path(tempfile.mkdtemp(prefix="veinwork-code-")) / "veinwork.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    return str(target)

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veinwork.llm.common import BATCH_ROWS, arrow_batches, checkpointed, quoted
+from veinwork.llm.common import BATCH_ROWS, arrow_batches, checkpointed, quoted, release
 from veinwork.llm.components import components
 from veinwork.llm.shingles import mix, shingles
 
@@ -192,11 +192,12 @@ class _Product:
         """The pairs (a, b) that link; overlaps are counted exactly where the bitmaps leave a chance."""
         p = self.percent
         at = lambda side, *cols: self.sets.select(F.col("s").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in cols])
-        near = pairs.join(at("a", "n", "bits"), "a").join(at("b", "n", "bits"), "b")
+        pairs = checkpointed(pairs)
+        near = at("a", "n", "bits").join(small(pairs, pairs.count()), "a").join(at("b", "n", "bits"), "b")
         apart = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
         # |A xor B| = (1 - J) |A or B|, and |A or B| = (|A| + |B|) / (1 + J).
-        near = near.filter((100 + p) * apart <= (100 - p) * (F.col("n_a") + F.col("n_b"))).select("a", "b")
-        full = near.join(at("b", "n", "x"), "b").join(at("a", "n", "x"), "a")
+        near = checkpointed(near.filter((100 + p) * apart <= (100 - p) * (F.col("n_a") + F.col("n_b"))).select("a", "b"))
+        full = at("b", "n", "x").join(small(near, near.count()), "b").join(at("a", "n", "x"), "a")
         both = F.size(F.array_intersect("x_a", "x_b"))
         return full.filter(100 * both >= p * (F.col("n_a") + F.col("n_b") - both)).select("a", "b")
 
@@ -205,20 +206,22 @@ class _Product:
         self.links = found if self.links is None else self.links.unionByName(found)
         self.roots = checkpointed(components(self.links))
 
-    def placed(self) -> DataFrame:
-        """Incidence rows of columns that more than one component still shares, with component c."""
-        rows = self.rows
+    def place(self) -> None:
+        """Keep the incidence rows of columns that more than one component still shares, with component c."""
+        rows = self.rows.drop("c")
         if self.roots is None:
             rows = rows.withColumn("c", F.col("s"))
         else:
-            rows = rows.join(self.roots.withColumnRenamed("node", "s"), "s", "left").withColumn("c", F.coalesce("root", "s")).drop("root")
-        spread = rows.groupBy("g").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 < c1").select("g")
-        return rows.join(spread, "g", "left_semi")
+            rows = rows.join(small(self.roots.withColumnRenamed("node", "s"), self.roots.count()), "s", "left").withColumn("c", F.coalesce("root", "s")).drop("root")
+        spread = checkpointed(rows.groupBy("g").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 < c1").select("g"))
+        self.rows = checkpointed(rows.join(small(spread, spread.count()), "g", "left_semi"))
 
     def run(self) -> None:
         total = self.rows.count()
         for block in range(BLOCKS):
-            rows = checkpointed(self.placed())
+            self.place()
+            rows = self.rows
+            release(rows.sparkSession)
             each = rows.groupBy("g", "c").agg(F.count("*").alias("m"))
             crossing = each.groupBy("g").agg(((F.sum("m") ** 2 - F.sum(F.col("m") ** 2)) / 2).alias("k")).agg(F.sum("k")).first()[0] or 0
             if not crossing:
@@ -229,7 +232,9 @@ class _Product:
             pivots = rows.groupBy("g", F.pmod(draw, F.lit(PIVOTS)).alias("_k")).agg(F.min(F.struct(draw.alias("h"), "s", "n", "c")).alias("p")).select("g", F.col("p.s").alias("ps"), F.col("p.n").alias("pn"), F.col("p.c").alias("pc"))
             star = rows.join(pivots, "g").filter((F.col("c") != F.col("pc")) & self.sizes_meet(F.col("n"), F.col("pn")))
             self.add(star.select(F.least("s", "ps").alias("a"), F.greatest("s", "ps").alias("b")).distinct())
-        self.add(self._rest(checkpointed(self.placed())))
+        else:
+            self.place()
+        self.add(self._rest(self.rows))
 
     def _rest(self, rows: DataFrame) -> DataFrame:
         """All pairs of different components that share a column and can still reach the bound."""
@@ -249,21 +254,28 @@ def similar_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     set of shingles (rows with equal nodes have equal sets).
     """
     arrow_batches(docs.sparkSession)
-    own = docs.select("doc_id", "text")
+    spark, own = docs.sparkSession, docs.select("doc_id", "text")
     nodes = checkpointed(_prefixes(own, words, percent))
     columns = nodes.filter("s is not null").select("s", "n", F.posexplode("prefix").alias("pos", "g"))
     shared = checkpointed(columns.groupBy("g").agg(F.min("s").alias("s0"), F.max("s").alias("s1")).filter("s0 < s1").select("g"))
+    release(spark)
     met = checkpointed(columns.join(small(shared, shared.count()), "g").select("g", "s", "n", "pos").dropDuplicates(["g", "s"]))
+    slim = checkpointed(nodes.select("id", "th", "s", "n"))
+    del nodes, columns, shared
+    release(spark)
     # The other set may be smaller, by the similarity at most.
     smallest = F.ceil(percent * F.col("n") / 100)
-    enough = met.groupBy("s", "n").agg(F.count("*").alias("k")).filter(F.col("k") >= least_shared(smallest, percent)).select("s")
-    rows = checkpointed(met.join(enough, "s", "left_semi"))
-    active = checkpointed(nodes.join(rows.select("s").distinct(), "s", "left_semi").groupBy("s").agg(F.min(F.struct("id", "th")).alias("k")).select("k.id", "k.th"))
-    wanted = small(active.select(F.col("id").alias("_i"), F.col("th").alias("_t")), active.count())
+    enough = checkpointed(met.groupBy("s", "n").agg(F.count("*").alias("k")).filter(F.col("k") >= least_shared(smallest, percent)).select("s"))
+    n_enough = enough.count()
+    rows = checkpointed(met.join(small(enough, n_enough), "s", "left_semi"))
+    active = slim.join(small(enough, n_enough), "s", "left_semi").groupBy("s").agg(F.min(F.struct("id", "th")).alias("k"))
+    wanted = small(active.select(F.col("k.id").alias("_i"), F.col("k.th").alias("_t")), n_enough)
     sets = checkpointed(_sets(own.join(wanted, F.col("doc_id").eqNullSafe(F.col("_i")) & (_text_hash() == F.col("_t")), "left_semi"), words).dropDuplicates(["s"]))
+    del met
+    release(spark)
     product = _Product(rows, sets, percent)
+    del rows, sets
     product.run()
-    slim = nodes.select("id", "th", "s", "n")
     if product.roots is not None:
         slim = slim.join(product.roots.withColumnRenamed("node", "s"), "s", "left").withColumn("c", F.coalesce("root", "s"))
     else:
