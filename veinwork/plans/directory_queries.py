@@ -1 +1,42 @@
-"""To come."""
+"""The directory over whole tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from veinwork.operators.directory import DirectoryQuery, counts, filtered, page, relevance
+from veinwork.plans.base import query
+from veinwork.sources.tables import candidates, with_
+
+SEARCH = "building"
+WHERE = """duplicate_of IS NULL AND (contains(lower(full_name), 'building') OR current_role_ ILIKE '%building%' OR city ILIKE '%building%' OR country ILIKE '%building%' OR summary ILIKE '%building%'
+ OR len(list_filter(tags, lambda t: t ILIKE '%building%')) > 0 OR len(list_filter(email, lambda t: t ILIKE '%building%')) > 0 OR len(list_filter(phone, lambda t: t ILIKE '%building%')) > 0)"""
+TIER = "CASE WHEN lower(current_role_) = 'building' THEN 6 WHEN list_contains(tags, 'building') THEN 9 ELSE 30 END"
+
+
+@query(with_("candidates", f"SELECT id, full_name, tier FROM (SELECT *, {TIER} AS tier FROM candidates WHERE {WHERE}) ORDER BY tier, full_name, id LIMIT 50 OFFSET 20"))
+def directory_search_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page(candidates(spark, sf_dir), DirectoryQuery(search=SEARCH, sort="name", offset=20)).select("id", "full_name", "tier")
+
+
+@query(with_("candidates", f"SELECT count(*) FILTER (WHERE {WHERE}) AS total, count(*) FILTER (WHERE duplicate_of IS NULL) AS database_total FROM candidates"))
+def directory_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts(candidates(spark, sf_dir), DirectoryQuery(search=SEARCH))
+
+
+@query(with_("candidates", """
+SELECT id, CASE WHEN contains(lower(full_name), '11') THEN 3 WHEN len(list_filter(email, lambda e: contains(lower(e), '11'))) > 0 OR len(list_filter(phone, lambda p: contains(p, '11'))) > 0 THEN 5
+ WHEN contains(lower(city), '11') THEN 10 WHEN contains(summary, '11') THEN 20 ELSE 30 END AS tier FROM candidates"""))
+def directory_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return candidates(spark, sf_dir).select("id", relevance("11").cast("int").alias("tier"))
+
+
+@query(with_("candidates", "SELECT id FROM candidates WHERE duplicate_of IS NULL AND country ILIKE 'asia' AND len(email) > 0 AND len(phone) > 0 ORDER BY updated_at NULLS LAST, id LIMIT 100"))
+def directory_oldest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page(candidates(spark, sf_dir), DirectoryQuery(country="asia", contact="both", sort="oldest", limit=500)).select("id")
+
+
+@query(with_("candidates", "SELECT country, count(*) AS people, count(*) FILTER (WHERE len(phone) > 0) AS with_phone FROM candidates WHERE duplicate_of IS NULL GROUP BY country"))
+def directory_by_country(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filtered(candidates(spark, sf_dir), DirectoryQuery()).groupBy("country").agg(F.count("*").alias("people"), F.count_if(F.size("phone") > 0).alias("with_phone"))
