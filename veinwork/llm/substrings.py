@@ -5,8 +5,10 @@ each start position belongs to a cell: the run of neighbouring positions whose
 window has the same anchor (the gram of ``GRAM`` bytes with the least hash in
 it). Equal strings have equal anchors at equal offsets, so only cells that
 share an anchor can hold repeated strings. An anchor with one distinct cell is
-settled by counting. Where an anchor has several distinct cells, the suffixes at
-all positions of one copy of each cell are sorted: sampled splitters
+settled by counting. Where an anchor has several distinct cells, one copy of each
+is compared: positions fall into ``BANDS`` by their distance from the anchor, all
+strings of a band share a window, and bands whose window no other cell has drop
+out. The suffixes at the positions left are sorted: sampled splitters
 range-partition them by their leading tokens (hashes of half a string each, and
 then their place, so that equal suffixes may span partitions), each partition
 sorts by multikey quicksort and compares neighbours, and the first and last
@@ -32,11 +34,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veinwork.llm.common import BATCH_ROWS, arrow_batches, checkpointed, row_key, without
+from veinwork.llm.common import BATCH_ROWS, arrow_batches, checkpointed, release, row_key, without
 from veinwork.llm.shingles import mix, prefix_hash, range_hash
 
 LENGTH = 400
 GRAM = 100
+BANDS = 4
 #: Sides of at most so many ranges are broadcast; larger ones meet by a shuffle.
 BROADCAST_RANGES = 2_000_000
 _U = np.uint64
@@ -57,12 +60,12 @@ def sliding_least(v: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[: n - width + 1], ahead[width - 1 : n])
 
 
-def cells(text: str | None, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor hash, cell hash, first and last start position of each cell of a text."""
+def cells(text: str | None, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """Anchor hash, cell hash, first and last start position, and anchor position of each cell of a text."""
     codes = _codes(text)
     if len(codes) < length:
         none = np.empty(0, np.int64)
-        return none, none, none, none
+        return none, none, none, none, none
     s = prefix_hash(codes)
     start = np.arange(len(codes) - gram + 1)
     g = range_hash(s, start, start + gram)
@@ -71,7 +74,7 @@ def cells(text: str | None, length: int = LENGTH, gram: int = GRAM) -> tuple[np.
     last = np.concatenate([first[1:] - 1, [len(least) - 1]])
     anchor = (least[first] & _U(0xFFFFFFFF)).astype(np.int64)
     shape = (anchor - first).astype(_U) * _U(0x9E3779B97F4A7C15) + (last - first).astype(_U)
-    return g[anchor].view(np.int64), mix(range_hash(s, first, last + length) + mix(shape)).view(np.int64), first, last
+    return g[anchor].view(np.int64), mix(range_hash(s, first, last + length) + mix(shape)).view(np.int64), first, last, anchor
 
 
 def suffix_tokens(text: str | None, starts: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
@@ -98,7 +101,7 @@ def multikey_order(keys: list[np.ndarray]) -> np.ndarray:
 
 
 def _all_cells(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(k, fp, cell, lo, hi) for every cell of every row."""
+    """(k, fp, cell, lo, hi, p) for every cell of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,27 +110,62 @@ def _all_cells(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 found = [cells(t, length, gram) for t in part.column(1).to_pylist()]
                 counts = [len(x[0]) for x in found]
                 key = part.column(0).take(pa.array(np.repeat(np.arange(len(counts)), counts)))
-                joined = [np.concatenate([x[c] for x in found]) if found else np.empty(0, np.int64) for c in range(4)]
-                yield pa.RecordBatch.from_arrays([key, *(pa.array(x.astype(np.int64)) for x in joined)], names=["k", "fp", "cell", "lo", "hi"])
+                joined = [np.concatenate([x[c] for x in found]) if found else np.empty(0, np.int64) for c in range(5)]
+                yield pa.RecordBatch.from_arrays([key, *(pa.array(x.astype(np.int64)) for x in joined)], names=["k", "fp", "cell", "lo", "hi", "p"])
 
     slim = docs.select(row_key().alias("k"), "text").filter(F.octet_length("text") >= length)
-    return slim.mapInArrow(run, T.StructType([slim.schema["k"], *(T.StructField(c, T.LongType()) for c in ("fp", "cell", "lo", "hi"))]))
+    return slim.mapInArrow(run, T.StructType([slim.schema["k"], *(T.StructField(c, T.LongType()) for c in ("fp", "cell", "lo", "hi", "p"))]))
 
 
-def _suffixes(docs: DataFrame, wanted: DataFrame, ranges: int, length: int) -> DataFrame:
-    """(t1, t2, cell, off): the suffixes at all positions of the wanted cells (k, cells)."""
+def _positions(cells_: list, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Index of the cell, start and band of every position of the cells (lo, hi, p, and optionally a mask of bands)."""
+    lo, hi, p = (np.array([c[x] for c in cells_], np.int64) for x in ("lo", "hi", "p"))
+    n = hi - lo + 1
+    which = np.repeat(np.arange(len(n)), n)
+    start = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + lo[which]
+    return which, start, (p[which] - start) // _band_width(length, gram)
+
+
+def _band_width(length: int, gram: int) -> int:
+    return -(-(length - gram + 1) // BANDS)
+
+
+def _with_cells(docs: DataFrame, wanted: DataFrame, ranges: int) -> DataFrame:
+    """(text, cells) of the rows that ``wanted`` (k, cells) names."""
     wanted = wanted.select(F.col("k.id").alias("_i"), F.col("k.th").alias("_t"), "cells")
     slim = docs.select(row_key().alias("_k"), "text")
-    met = slim.join(F.broadcast(wanted) if ranges <= BROADCAST_RANGES else wanted, F.col("_k.id").eqNullSafe(F.col("_i")) & (F.col("_k.th") == F.col("_t"))).select("text", "cells")
+    return slim.join(F.broadcast(wanted) if ranges <= BROADCAST_RANGES else wanted, F.col("_k.id").eqNullSafe(F.col("_i")) & (F.col("_k.th") == F.col("_t"))).select("text", "cells")
+
+
+def _bands(met: DataFrame, length: int, gram: int) -> DataFrame:
+    """(cell, band, key): the window that all strings of a band share, for each band of each cell."""
+    width = _band_width(length, gram)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                which, _, band = _positions(own, length, gram)
+                both = np.unique(which * BANDS + band)
+                which, band = both // BANDS, both % BANDS
+                start = np.array([c["p"] for c in own], np.int64)[which] - band * width
+                key = mix(range_hash(prefix_hash(_codes(text)), start, start + length - width + 1) + band.astype(_U)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.array([c["cell"] for c in own], np.int64)[which]), pa.array(band), pa.array(key)], names=["cell", "band", "key"])
+
+    return met.mapInArrow(run, "cell long, band long, key long")
+
+
+def _suffixes(met: DataFrame, length: int, gram: int) -> DataFrame:
+    """(t1, t2, cell, off): the suffixes at all positions of the cells' bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                lo = np.array([c["lo"] for c in own], np.int64)
-                n = np.array([c["hi"] for c in own], np.int64) - lo + 1
-                off = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                t1, t2 = suffix_tokens(text, np.repeat(lo, n) + off, length)
-                yield pa.RecordBatch.from_arrays([pa.array(t1), pa.array(t2), pa.array(np.repeat(np.array([c["cell"] for c in own], np.int64), n)), pa.array(off)], names=["t1", "t2", "cell", "off"])
+                which, start, band = _positions(own, length, gram)
+                kept = (np.array([c["bands"] for c in own], np.int64)[which] >> band) & 1 > 0
+                which, start = which[kept], start[kept]
+                t1, t2 = suffix_tokens(text, start, length)
+                off = start - np.array([c["lo"] for c in own], np.int64)[which]
+                yield pa.RecordBatch.from_arrays([pa.array(t1), pa.array(t2), pa.array(np.array([c["cell"] for c in own], np.int64)[which]), pa.array(off)], names=["t1", "t2", "cell", "off"])
 
     return met.mapInArrow(run, "t1 long, t2 long, cell long, off long")
 
@@ -162,12 +200,21 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     shared = checkpointed(shared.select("fp", (F.col("c0") != F.col("c1")).alias("mixed")))
     n_shared = shared.count()
     own = checkpointed(every.join(F.broadcast(shared) if n_shared <= BROADCAST_RANGES else shared, "fp"))
-    distinct = own.filter("mixed").groupBy("fp", "cell").agg(F.count("*").alias("n"), F.min(F.struct("k", "lo", "hi")).alias("r"))
-    distinct = checkpointed(distinct.select("cell", "n", F.col("r.k").alias("k"), F.col("r.lo").alias("lo"), F.col("r.hi").alias("hi")))
-    wanted = distinct.groupBy("k").agg(F.collect_list(F.struct("cell", "lo", "hi")).alias("cells"))
-    suffixes = _suffixes(docs, wanted, distinct.count(), length)
+    release(docs.sparkSession)
+    distinct = own.filter("mixed").groupBy("fp", "cell").agg(F.count("*").alias("n"), F.min(F.struct("k", "lo", "hi", "p")).alias("r"))
+    distinct = checkpointed(distinct.select("cell", "n", F.col("r.k").alias("k"), F.col("r.lo").alias("lo"), F.col("r.hi").alias("hi"), F.col("r.p").alias("p")))
+    n_distinct = distinct.count()
+    wanted = distinct.groupBy("k").agg(F.collect_list(F.struct("cell", "lo", "hi", "p")).alias("cells"))
+    bands = checkpointed(_bands(_with_cells(docs, wanted, n_distinct), length, gram))
+    twice = bands.groupBy("key").agg(F.min("cell").alias("c0"), F.max("cell").alias("c1")).filter("c0 <> c1").select("key")
+    masks = bands.join(twice, "key").groupBy("cell").agg(F.bit_or(F.pow(F.lit(2), F.col("band")).cast("long")).alias("bands"))
+    kept = checkpointed(distinct.join(masks, "cell").select("k", F.struct("cell", "lo", "hi", "p", "bands").alias("c")))
+    wanted = kept.groupBy("k").agg(F.collect_list("c").alias("cells"))
+    suffixes = _suffixes(_with_cells(docs, wanted, kept.count()), length, gram)
+    release(docs.sparkSession)
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     compared = checkpointed(suffixes.repartitionByRange(parts, "t1", "t2", "cell", "off").mapInArrow(_compare, "cell long, first long, last long, t1 long, t2 long, edge long"))
+    release(docs.sparkSession)
     edges = compared.filter("edge > 0")
     # Two rows for each range. Ranges that share a suffix have it at their edges; one suffix that is both edges counts once.
     across = edges.groupBy("t1", "t2").agg(F.countDistinct("cell", "first").alias("m")).filter("m > 1").select("t1", "t2")
