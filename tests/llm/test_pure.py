@@ -1,0 +1,139 @@
+"""The parts of the operators that need no Spark, against plain versions."""
+
+from __future__ import annotations
+
+import random
+import re
+from collections import Counter as Counts
+
+import numpy as np
+import public_tokenizers
+
+from veinwork.llm import decontamination, language, pii, shingles, substrings, tokens
+
+
+def test_base_spans_match_the_plain_patterns():
+    rng = random.Random(3)
+    email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+    ip, card, phone = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    for _ in range(5000):
+        t = "".join(rng.choice("a1.@+- 2()_9é\n5") for _ in range(rng.randint(0, 60)))
+        want = [(0, m.start(), m.end()) for m in email.finditer(t)]
+        want += [(1, m.start(), m.end()) for m in ip.finditer(t) if all(int(x) <= 255 for x in m[0].split("."))]
+        want += [(2, m.start(), m.end()) for m in card.finditer(t) if 13 <= len(digits(m[0])) <= 19 and pii.luhn(digits(m[0]))]
+        want += [(3, m.start(), m.end()) for m in phone.finditer(t) if 9 <= len(digits(m[0])) <= 15]
+        assert pii.base_spans(t) == want
+    assert pii.base_spans(None) == pii.base_spans("") == []
+
+
+def test_the_random_field_finds_another_spelling_of_a_number():
+    texts = [f"Call +1 (499) 555-{k:04d} now or write p{k}@mail.example today. Order 20{k:05d} is late." for k in range(300)]
+    field = pii.SkipChain.fit(texts)
+    t = "Call +1 (499) 555-6503 now. Or later 1 499 555 6503 instead."
+    base, added = pii.find(t, field)
+    assert [(pii.KINDS[k], t[a:b]) for k, a, b in base] == [("phone", "+1 (499) 555-6503")]
+    assert [(pii.KINDS[k], t[a:b]) for k, a, b in added] == [("phone", "1 499 555 6503")]
+    assert pii.find("Order 2000001 is late.", field) == ([], [])
+    assert pii.SkipChain.fit(["nothing here"]) is None
+
+
+def test_personal_data_takes_linear_time():
+    for t in ("1" * 300_000, "1.2." * 60_000, "@" * 100_000, "a@" * 50_000, "+1-" * 100_000):
+        pii.find(t, None)
+
+
+def test_wu_manber_against_all_windows():
+    rng = random.Random(1)
+    words = ["a", "b", "c", "dé"]
+    for _ in range(300):
+        items = [(k, " ".join(rng.choice(words) for _ in range(rng.randint(0, 6)))) for k in range(4)] + [(None, "a a b"), (9, None)]
+        text = "  ".join(rng.choice(words) for _ in range(rng.randint(0, 40))).upper().replace("É", "é")
+        n, spans, hits = decontamination.WuManber(items, 3).search(text)
+        doc = text.lower().split()
+        covered, want = set(), set()
+        for item, t in items:
+            own = (t or "").split()
+            for k in range(max(1, len(own) - 2) if own else 0):
+                w = own[k : k + 3]
+                for j in range(len(doc) - len(w) + 1):
+                    if doc[j : j + len(w)] == w:
+                        covered |= set(range(j, j + len(w)))
+                        want |= {str(item)} if item is not None else set()
+        assert (n, {x for a, b in spans for x in range(a, b)}, hits) == (len(doc), covered, sorted(want))
+
+
+def test_shingles_against_sets():
+    rng = random.Random(2)
+    words = ["a", "B", "é", "cc"]
+    seen: dict = {}
+    for _ in range(400):
+        t = "".join(rng.choice(words) + rng.choice([" ", "\n", "  ", "\t"]) for _ in range(rng.randint(0, 12)))
+        w = re.findall(r"[^\x20\x09-\x0D]+", t.replace("B", "b"))
+        want = frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
+        got = shingles.shingles(t)
+        assert len(got) == len(want)
+        assert seen.setdefault(want, got.tobytes()) == got.tobytes()
+    assert len(set(seen.values())) == len(seen)
+    assert len(shingles.shingles(None)) == 0
+
+
+def counter(chunk=200, overlap=8):
+    return tokens.Counter(str(public_tokenizers.path(tokens.VOCABULARY)), str(public_tokenizers.path(tokens.RANKS)), chunk, overlap)
+
+
+def test_spliced_counts_equal_the_library():
+    c, rng = counter(), random.Random(1)
+    parts = ["a", "the", "é", " ", "  ", "\n", "\t", "1", "23", "'s", "!", "<|endoftext|>", "中文", "😀", "　", "\x1c", "x" * 50, "don't"]
+    for _ in range(300):
+        t = "".join(rng.choice(parts) + " " * (rng.random() < 0.3) for _ in range(rng.randint(1, 300)))
+        assert c.count(t) == c.whole(t) == len(c.library.encode(t, add_special_tokens=False))
+    for t in ("a" * 3000, "中" * 2000, " " * 3000, "\n " * 1500, "<|endoftext|>" * 200):
+        assert c.count(t) == len(c.library.encode(t, add_special_tokens=False))
+    assert c.count(None) == c.count("") == 0
+
+
+def test_both_encoders_agree_on_the_common_characters():
+    c = counter()
+    for cp in range(0x2500):
+        ch = chr(cp)
+        if tokens.COMMON.fullmatch(ch):
+            for t in (ch, f"a{ch}b", f" {ch} ", ch * 3, f"1{ch}2", f"'{ch}"):
+                assert len(c.fast.encode_ordinary(t)) == len(c.library.encode(t, add_special_tokens=False)), (cp, t)
+
+
+def test_cells_cover_all_positions_and_equal_strings_meet():
+    rng = random.Random(5)
+    for _ in range(60):
+        t = "".join(rng.choice("ab") for _ in range(rng.randint(0, 200)))
+        fp, cell, lo, hi, p = substrings.cells(t, 40, 10)
+        covered = [i for a, b in zip(lo, hi) for i in range(a, b + 1)]
+        assert covered == list(range(max(0, len(t) - 39)))
+        assert all(a <= q <= a + 30 or a <= q for a, q in zip(lo, p))
+        by = {}
+        for k, (a, b) in enumerate(zip(lo, hi)):
+            for i in range(a, b + 1):
+                assert by.setdefault(t[i : i + 40], (fp[k], p[k] - i)) == (fp[k], p[k] - i)
+
+
+def test_multikey_order_sorts():
+    rng = np.random.default_rng(1)
+    a, b = rng.integers(0, 5, 200), rng.integers(0, 5, 200)
+    o = substrings.multikey_order([a, b])
+    assert list(zip(a[o], b[o])) == sorted(zip(a, b)) and len(substrings.multikey_order([a[:0], b[:0]])) == 0
+
+
+def test_trigrams_and_mixtures():
+    assert len(language.trigrams("12 !")) == 0 and len(language.trigrams(None)) == 0
+    assert list(language.trigrams("a1b")) == list(language.trigrams("a, b"))
+    rng = random.Random(2)
+    make = lambda ws, n: " ".join(rng.choice(ws) for _ in range(n))
+    en, de = ["the", "and", "with", "there"], ["der", "und", "nicht", "zwischen"]
+    counts = np.zeros((2, language.BUCKETS))
+    for k, ws in enumerate((de, en)):
+        counts[k] = np.bincount(language.trigrams(make(ws, 3000)), minlength=language.BUCKETS)
+    m = language.Model(["de", "en"], counts)
+    assert m.mixture(make(en, 40))[0] == [("en", 1.0)]
+    both = dict(m.mixture(make(en, 300) + " " + make(de, 100))[0])
+    assert set(both) == {"de", "en"} and both["en"] > 0.6 and Counts(both).most_common(1)[0][0] == "en"
+    assert m.mixture("") == ([], 0.0) and language.Model([], np.zeros((0, language.BUCKETS))).mixture("abc") == ([], 0.0)

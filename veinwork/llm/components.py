@@ -1,6 +1,7 @@
 """Connected components of a graph of links, by alternating stars.
 
-Each task first reduces its links to a forest; then large-star and small-star
+Links that fit one task are settled there by union-find. Of more, each task
+reduces its batches to forests; then large-star and small-star
 steps, each a grouped minimum and a join, hang every node on the smallest of
 its component. Nothing is collected; each round is checkpointed.
 """
@@ -16,23 +17,39 @@ from pyspark.sql import functions as F
 from veinwork.llm.common import checkpointed
 
 
+#: So many links fit one task; they are settled there at once. More go through distributed rounds.
+ONE_TASK_LINKS = 500_000
+
+
+def _forest(links: Iterator[tuple[int, int]]) -> pa.RecordBatch:
+    """Links from each node to the smallest one of its component, among these links."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        a, b = root(a), root(b)
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+    pairs = [(x, r) for x in parent if (r := root(x)) != x]
+    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([r for _, r in pairs], pa.int64())], names=["u", "v"])
+
+
+def _pairs(batch: pa.RecordBatch) -> Iterator[tuple[int, int]]:
+    return zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+
+
 def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A batch's links become links to the smallest node of each local component."""
     for batch in batches:
-        parent: dict[int, int] = {}
+        yield _forest(_pairs(batch))
 
-        def root(x: int) -> int:
-            while parent.setdefault(x, x) != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
 
-        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            a, b = root(a), root(b)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-        pairs = [(x, r) for x in parent if (r := root(x)) != x]
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([r for _, r in pairs], pa.int64())], names=["u", "v"])
+def _one_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield _forest(pair for batch in batches for pair in _pairs(batch))
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -40,7 +57,10 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
 
     Self-links and repeated links do no harm; no links give an empty table.
     """
-    edges = checkpointed(links.select("a", "b").filter("a <> b").mapInArrow(_forests, "u long, v long").distinct())
+    links = links.select("a", "b").filter("a <> b")
+    if links.count() <= ONE_TASK_LINKS:
+        return _roots(checkpointed(links.coalesce(1).mapInArrow(_one_forest, "u long, v long")))
+    edges = checkpointed(links.mapInArrow(_forests, "u long, v long").distinct())
     seen = None
     for _ in range(rounds):
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -56,6 +76,10 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         edges = checkpointed(small.filter("u <> v").distinct())
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
+    return _roots(edges)
+
+
+def _roots(edges: DataFrame) -> DataFrame:
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 

@@ -11,8 +11,8 @@ The product runs in blocks. A block pairs each node with a few pivots of each
 of its columns; pairs that the size and bitmap bounds leave are counted
 exactly, and the links found so far are closed to components. A column whose
 nodes are all in one component is done; the next block works on the rest. When
-few enough pairs are left they are all formed, with their overlap counts
-accumulated over columns and held against the positional bound. Pairs inside a
+few enough pairs are left, or some blocks are done, all pairs that the positional
+bound leaves are formed. Pairs inside a
 component are never formed for their own sake, so a group of n copies costs
 about n pairs, and no link between different components can be missed.
 
@@ -43,7 +43,7 @@ CELLS = (1 << 16, 1 << 24)
 _SLICES = 64
 #: Pivots of a column in each block, at most.
 PIVOTS = 8
-BLOCKS = 6
+BLOCKS = 3
 #: Sides of at most so many rows (of two or three numbers) are broadcast; larger ones meet by a shuffle.
 BROADCAST_ROWS = 2_000_000
 _BITMAP = 16
@@ -185,8 +185,14 @@ class _Product:
         self.rows, self.sets, self.percent = rows, sets, percent
         self.links = self.roots = None
 
-    def sizes_meet(self, a: Column, b: Column) -> Column:
-        return 100 * F.least(a, b) >= self.percent * F.greatest(a, b)
+    def can_link(self, n: Column, pos: Column, m: Column, at: Column) -> Column:
+        """Whether sets of n and m elements can link if the column at these positions is the first they share.
+
+        The overlap they need is no more than what is left of either from there
+        on; this holds their sizes to the similarity as well.
+        """
+        p = self.percent
+        return ((100 + p) * (n - pos) >= p * (n + m)) & ((100 + p) * (m - at) >= p * (n + m))
 
     def count(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that link; overlaps are counted exactly where the bitmaps leave a chance."""
@@ -205,6 +211,7 @@ class _Product:
         found = checkpointed(self.count(pairs))
         self.links = found if self.links is None else self.links.unionByName(found)
         self.roots = checkpointed(components(self.links))
+        release(found.sparkSession)
 
     def place(self) -> None:
         """Keep the incidence rows of columns that more than one component still shares, with component c."""
@@ -229,22 +236,19 @@ class _Product:
             if block and crossing <= 2 * total:
                 break
             draw = F.xxhash64("s", F.lit(block))
-            pivots = rows.groupBy("g", F.pmod(draw, F.lit(PIVOTS)).alias("_k")).agg(F.min(F.struct(draw.alias("h"), "s", "n", "c")).alias("p")).select("g", F.col("p.s").alias("ps"), F.col("p.n").alias("pn"), F.col("p.c").alias("pc"))
-            star = rows.join(pivots, "g").filter((F.col("c") != F.col("pc")) & self.sizes_meet(F.col("n"), F.col("pn")))
+            pivots = rows.groupBy("g", F.pmod(draw, F.lit(PIVOTS)).alias("_k")).agg(F.min(F.struct(draw.alias("h"), "s", "n", "c", "pos")).alias("p")).select("g", F.col("p.s").alias("ps"), F.col("p.n").alias("pn"), F.col("p.c").alias("pc"), F.col("p.pos").alias("pp"))
+            star = rows.join(pivots, (rows["g"] == pivots["g"]) & (F.col("c") != F.col("pc")) & self.can_link(F.col("n"), F.col("pos"), F.col("pn"), F.col("pp")))
             self.add(star.select(F.least("s", "ps").alias("a"), F.greatest("s", "ps").alias("b")).distinct())
         else:
             self.place()
         self.add(self._rest(self.rows))
 
     def _rest(self, rows: DataFrame) -> DataFrame:
-        """All pairs of different components that share a column and can still reach the bound."""
+        """All pairs of different components that can link at some column; overlap counts of pairs are held against the bound."""
         a = rows.select("g", *[F.col(c).alias(f"{c}_a") for c in ("s", "n", "pos", "c")])
-        b = rows.select("g", *[F.col(c).alias(f"{c}_b") for c in ("s", "n", "pos", "c")])
-        met = a.join(b, "g").filter((F.col("c_a") < F.col("c_b")) & self.sizes_meet(F.col("n_a"), F.col("n_b")))
-        counted = met.groupBy(F.col("s_a").alias("a"), F.col("s_b").alias("b"), "n_a", "n_b").agg(F.count("*").alias("k"), F.max("pos_a").alias("pa"), F.max("pos_b").alias("pb"))
-        most = F.col("k") + F.least(F.col("n_a") - F.col("pa") - 1, F.col("n_b") - F.col("pb") - 1)
-        counted = counted.filter(F.col("k") >= least_shared(F.least("n_a", "n_b"), self.percent))
-        return counted.filter((100 + self.percent) * most >= self.percent * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+        b = rows.select(F.col("g").alias("h"), *[F.col(c).alias(f"{c}_b") for c in ("s", "n", "pos", "c")])
+        met = a.join(b, (F.col("g") == F.col("h")) & (F.col("c_a") < F.col("c_b")) & self.can_link(F.col("n_a"), F.col("pos_a"), F.col("n_b"), F.col("pos_b")))
+        return met.groupBy(F.col("s_a").alias("a"), F.col("s_b").alias("b")).agg(F.count("*").alias("k")).select("a", "b")
 
 
 def similar_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -267,7 +271,9 @@ def similar_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     smallest = F.ceil(percent * F.col("n") / 100)
     enough = checkpointed(met.groupBy("s", "n").agg(F.count("*").alias("k")).filter(F.col("k") >= least_shared(smallest, percent)).select("s"))
     n_enough = enough.count()
-    rows = checkpointed(met.join(small(enough, n_enough), "s", "left_semi"))
+    # Sets that link have their first shared column in the plain prefix of both.
+    first = F.col("pos") <= F.floor(F.col("n") * (100 - percent) / 100)
+    rows = checkpointed(met.filter(first).join(small(enough, n_enough), "s", "left_semi"))
     active = slim.join(small(enough, n_enough), "s", "left_semi").groupBy("s").agg(F.min(F.struct("id", "th")).alias("k"))
     wanted = small(active.select(F.col("k.id").alias("_i"), F.col("k.th").alias("_t")), n_enough)
     sets = checkpointed(_sets(own.join(wanted, F.col("doc_id").eqNullSafe(F.col("_i")) & (_text_hash() == F.col("_t")), "left_semi"), words).dropDuplicates(["s"]))

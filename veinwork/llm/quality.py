@@ -107,13 +107,12 @@ def measures(docs: DataFrame) -> DataFrame:
     covered = F.aggregate("_p", zero, lambda a, i: F.struct((a["n"] + i + WINDOW - F.greatest(a["end"], i)).alias("n"), (i + WINDOW).alias("end")), lambda a: a["n"])
     step = step.select(*done, F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
     n = F.col("n_words")
-    return step.select(
-        *own,
-        "n_words",
-        "word_chars",
-        "n_symbols",
-        "n_dup_lines",
-        "n_repeat_words",
+    found = F.struct(
+        n.alias("n_words"),
+        F.col("word_chars"),
+        F.col("n_symbols"),
+        F.col("n_dup_lines"),
+        F.col("n_repeat_words"),
         ((n < WORDS_LEAST) | (100 * F.col("n_repeat_words") > REPEATS_MOST_PERCENT * n)).alias("base_failed"),
         _ratio(F.col("word_chars"), n).alias("mean_word_chars"),
         _ratio(F.col("n_symbols"), n).alias("symbol_ratio"),
@@ -121,6 +120,8 @@ def measures(docs: DataFrame) -> DataFrame:
         _ratio(F.col("_stop"), n).alias("stop_word_ratio"),
         _ratio(F.col("n_dup_lines"), F.col("_n_lines")).alias("dup_line_ratio"),
     )
+    # A generator of one row: filters on measures stay above it. Pushed down, they would unfold every step into one expression.
+    return step.select(*own, F.inline(F.array(found)))
 
 
 def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
