@@ -40,6 +40,8 @@ from veinwork.llm.shingles import mix, prefix_hash, range_hash
 LENGTH = 400
 GRAM = 100
 BANDS = 4
+#: Rows in which a range of suffixes hands on what it found.
+SHARES = 1024
 #: Sides of at most so many ranges are broadcast; larger ones meet by a shuffle.
 BROADCAST_RANGES = 2_000_000
 _U = np.uint64
@@ -171,7 +173,11 @@ def _suffixes(met: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One range of suffixes: (cell, first, last, t1, t2, edge). Rows with an edge are the range's first and last suffix."""
+    """One range of suffixes: its first and last one (edge 1 and 2, with tokens), and the repeated positions found.
+
+    A cell's suffixes are spread over all ranges, so what is found leaves in
+    ``SHARES`` rows of arrays (cells, firsts, lasts), not in a row for each cell.
+    """
     tables = [b for b in batches if b.num_rows]
     if not tables:
         return
@@ -186,14 +192,37 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     c, o = c[by], o[by]
     at = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]])) if len(c) else np.empty(0, np.int64)
     end = np.concatenate([at[1:], [len(c)]]) - 1 if len(c) else at
+    found = [c[at], o[at], o[end]]
+    share = (found[0].view(_U) % _U(SHARES)).astype(np.int64)
+    by = np.argsort(share, kind="stable")
+    cuts = np.searchsorted(share[by], np.arange(SHARES + 1)).astype(np.int32)
+    some = np.flatnonzero(np.diff(cuts)).tolist()
     edges = [0, len(t1) - 1]
-    none = np.zeros(len(at), np.int64)
-    columns = [np.concatenate(x) for x in ((c[at], cell[edges]), (o[at], off[edges]), (o[end], off[edges]), (none, t1[edges]), (none, t2[edges]))]
-    yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in columns), pa.array(np.concatenate([none, [1, 2]]))], names=["cell", "first", "last", "t1", "t2", "edge"])
+    lists = [pa.array([x[by][cuts[k] : cuts[k + 1]] for k in some] + [np.array([v]) for v in (cell if j == 0 else off)[edges]], pa.list_(pa.int64())) for j, x in enumerate(found)]
+    zeros = [0] * len(some)
+    numbers = [some + [-1, -1], zeros + [1, 2], zeros + t1[edges].tolist(), zeros + t2[edges].tolist()]
+    yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in numbers), *lists], names=["share", "edge", "t1", "t2", "cells", "firsts", "lasts"])
+
+
+_COMPARED = "share long, edge long, t1 long, t2 long, cells array<long>, firsts array<long>, lasts array<long>"
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cell, first, last): the least and the greatest repeated position of each cell, over all ranges."""
+    parts = [[np.concatenate([np.empty(0, np.int64), *(np.asarray(x, np.int64) for x in b.column(j).to_pylist())]) for b in batches_] for batches_ in [list(batches)] for j in range(3)]
+    cell, first, last = (np.concatenate([np.empty(0, np.int64), *p]) for p in parts)
+    if not len(cell):
+        return
+    cells_, at = np.unique(cell, return_inverse=True)
+    low = np.full(len(cells_), np.iinfo(np.int64).max)
+    high = np.full(len(cells_), -1)
+    np.minimum.at(low, at, first)
+    np.maximum.at(high, at, last)
+    yield pa.RecordBatch.from_arrays([pa.array(cells_), pa.array(low), pa.array(high)], names=["cell", "first", "last"])
 
 
 def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(k, spans): for each row that has any, the byte ranges to remove (start, end), not yet merged."""
+    """(k, spans): for each row that has any, the byte ranges to remove (start, end), merged."""
     arrow_batches(docs.sparkSession)
     every = _all_cells(docs, length, gram)
     shared = every.groupBy("fp").agg(F.count("*").alias("n"), F.min("cell").alias("c0"), F.max("cell").alias("c1")).filter("n > 1")
@@ -213,20 +242,30 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     suffixes = _suffixes(_with_cells(docs, wanted, kept.count()), length, gram)
     release(docs.sparkSession)
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    compared = checkpointed(suffixes.repartitionByRange(parts, "t1", "t2", "cell", "off").mapInArrow(_compare, "cell long, first long, last long, t1 long, t2 long, edge long"))
+    compared = checkpointed(suffixes.repartitionByRange(parts, "t1", "t2", "cell", "off").mapInArrow(_compare, _COMPARED))
     release(docs.sparkSession)
-    edges = compared.filter("edge > 0")
+    edges = compared.filter("edge > 0").select("edge", "t1", "t2", *[F.get(f"{c}s", F.lit(0)).alias(c) for c in ("cell", "first", "last")])
     # Two rows for each range. Ranges that share a suffix have it at their edges; one suffix that is both edges counts once.
     across = edges.groupBy("t1", "t2").agg(F.countDistinct("cell", "first").alias("m")).filter("m > 1").select("t1", "t2")
     across = edges.join(across, ["t1", "t2"]).select("cell", "first", "last")
-    found = compared.filter("edge = 0").select("cell", "first", "last").unionByName(across).groupBy("cell").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    found = compared.filter("edge = 0").select("share", "cells", "firsts", "lasts").repartition(parts, "share").select("cells", "firsts", "lasts").mapInArrow(_gathered, "cell long, first long, last long")
+    found = found.unionByName(across).groupBy("cell").agg(F.min("first").alias("first"), F.max("last").alias("last"))
     whole = distinct.filter("n > 1").select("cell", F.lit(True).alias("whole"))
     result = found.join(whole, "cell", "full_outer").select("cell", "first", "last", F.coalesce("whole", F.lit(False)).alias("whole"))
     result = checkpointed(result)
     met = own.filter("mixed").join(F.broadcast(result) if result.count() <= BROADCAST_RANGES else result, "cell")
     partly = met.select("k", F.when(F.col("whole"), F.col("lo")).otherwise(F.col("lo") + F.col("first")).alias("start"), (F.when(F.col("whole"), F.col("hi")).otherwise(F.col("lo") + F.col("last")) + length).alias("end"))
     wholly = own.filter("not mixed").select("k", F.col("lo").alias("start"), (F.col("hi") + length).alias("end"))
-    return partly.unionByName(wholly).groupBy("k").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    each = partly.unionByName(wholly).groupBy("k").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    return each.mapInArrow(_merged, T.StructType([each.schema["k"], T.StructField("spans", _SPANS)]))
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Neighbouring cells give ranges that overlap: few are left of each row's."""
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    for b in batches:
+        spans = [[{"start": x, "end": y} for x, y in merge(own)] for own in b.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(spans, kind)], names=["k", "spans"])
 
 
 def merge(spans: list) -> list[tuple[int, int]]:
