@@ -8,6 +8,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with columns that are computed once for each row.
+
+    They come out of a generator of one row. As plain projections they would be
+    substituted into every expression and pushed-down filter that names them.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def first_by(df: DataFrame, keys: list[str], order: list[Column], value: Column, name: str) -> DataFrame:
     """``value`` of each key's first row in a total order; one aggregation, combined before the shuffle.
 

@@ -8,29 +8,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veinwork.functions.text import fold
-from veinwork.operators.relational import first_by
+from veinwork.operators.relational import first_by, once
 
 MOST = 300
 DOCUMENT_CHARS = 12_000
 
 
-def group_hits(text: Column, groups: tuple[tuple[str, ...], ...]) -> Column:
-    """How many groups have a term in the folded text, as whole words."""
-    padded = F.concat(F.lit(" "), F.regexp_replace(text, "[^\\p{L}\\p{N}]+", " "), F.lit(" "))
+def padded_words(text: Column) -> Column:
+    """The folded words with a space on either side of each."""
+    return F.concat(F.lit(" "), F.regexp_replace(fold(text), "[^\\p{L}\\p{N}]+", " "), F.lit(" "))
+
+
+def group_hits(padded: Column, groups: tuple[tuple[str, ...], ...]) -> Column:
+    """How many groups have a term among the padded words."""
     one = lambda g: reduce(lambda a, b: a | b, [F.contains(padded, F.lit(f" {t} ")) for t in g])
     return reduce(lambda a, b: a + b, [one(g).cast("int") for g in groups], F.lit(0))
 
 
 def document_matches(docs: DataFrame, groups: tuple[tuple[str, ...], ...], most: int = MOST) -> DataFrame:
     """(candidate_id, document_id, hits): each candidate's best document that holds a term of any group; the top ones."""
-    scored = docs.filter("raw_text is not null").withColumn("hits", group_hits(fold(F.col("raw_text")), groups)).filter("hits > 0")
+    words = once(docs.filter("raw_text is not null"), _words=padded_words(F.col("raw_text")))
+    scored = once(words, hits=group_hits(F.col("_words"), groups)).filter("hits > 0")
     best = first_by(scored, ["candidate_id"], [-F.col("hits"), ~F.col("is_primary"), F.col("id")], F.struct(F.col("id").alias("document_id"), "hits"), "b")
     return best.select("candidate_id", "b.*").orderBy(F.desc("hits"), "candidate_id").limit(most)
 
 
 def profile_matches(candidates: DataFrame, groups: tuple[tuple[str, ...], ...], most: int = MOST) -> DataFrame:
-    text = fold(F.concat_ws(" ", "full_name", "current_role", "city", "country", "summary", F.array_join("tags", " ")))
-    found = candidates.withColumn("hits", group_hits(text, groups)).filter("hits > 0")
+    text = padded_words(F.concat_ws(" ", "full_name", "current_role", "city", "country", "summary", F.array_join("tags", " ")))
+    found = once(once(candidates, _words=text), hits=group_hits(F.col("_words"), groups)).filter("hits > 0")
     return found.orderBy(F.desc("hits"), F.desc("quality_score"), F.desc("updated_at"), "id").limit(most).select(F.col("id").alias("candidate_id"), F.lit(None).cast("long").alias("document_id"), "hits")
 
 
