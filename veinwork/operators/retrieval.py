@@ -47,8 +47,13 @@ def merged_matches(passes: list[DataFrame], most: int = MOST) -> DataFrame:
 
 
 def hydrate(matches: DataFrame, candidates: DataFrame, docs: DataFrame, sources: DataFrame) -> DataFrame:
-    """Wide rows of the few matched candidates: what ranking needs, from sides reduced before they join."""
-    few = F.broadcast(matches.select("candidate_id", "document_id", "hits"))
+    """Wide rows of the few matched candidates: what ranking needs, from sides reduced before they join.
+
+    ``matches`` is a top-k of at most a few hundred ids. It is fetched once and
+    becomes a literal table: as a plan it would run again for each side.
+    """
+    top = matches.select("candidate_id", "document_id", "hits")
+    few = F.broadcast(matches.sparkSession.createDataFrame(top.collect(), top.schema))
     own = docs.join(few.select("candidate_id"), "candidate_id", "left_semi")
     counts = own.groupBy("candidate_id").agg(F.count("*").alias("documents"))
     best = first_by(own.join(few, "candidate_id"), ["candidate_id"], [~F.col("id").eqNullSafe(F.col("document_id")), ~F.col("is_primary"), F.col("id")], F.struct(F.col("file_name").alias("document_name"), F.substring("raw_text", 1, DOCUMENT_CHARS).alias("document_text")), "b")
