@@ -42,8 +42,8 @@ PERCENT = 80
 CELLS = (1 << 16, 1 << 24)
 _SLICES = 64
 #: Pivots of a column in each block, at most.
-PIVOTS = 8
-BLOCKS = 3
+PIVOTS = 2
+BLOCKS = 4
 #: Sides of at most so many rows (of two or three numbers) are broadcast; larger ones meet by a shuffle.
 BROADCAST_ROWS = 2_000_000
 _BITMAP = 16
