@@ -198,7 +198,9 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cuts = np.searchsorted(share[by], np.arange(SHARES + 1)).astype(np.int32)
     some = np.flatnonzero(np.diff(cuts)).tolist()
     edges = [0, len(t1) - 1]
-    lists = [pa.array([x[by][cuts[k] : cuts[k + 1]] for k in some] + [np.array([v]) for v in (cell if j == 0 else off)[edges]], pa.list_(pa.int64())) for j, x in enumerate(found)]
+    sizes = np.concatenate([[0], np.diff(cuts)[some], [1, 1]])
+    offsets = pa.array(np.cumsum(sizes).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([x[by], (cell if j == 0 else off)[edges]]))) for j, x in enumerate(found)]
     zeros = [0] * len(some)
     numbers = [some + [-1, -1], zeros + [1, 2], zeros + t1[edges].tolist(), zeros + t2[edges].tolist()]
     yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in numbers), *lists], names=["share", "edge", "t1", "t2", "cells", "firsts", "lasts"])
@@ -209,8 +211,11 @@ _COMPARED = "share long, edge long, t1 long, t2 long, cells array<long>, firsts
 
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(cell, first, last): the least and the greatest repeated position of each cell, over all ranges."""
-    parts = [[np.concatenate([np.empty(0, np.int64), *(np.asarray(x, np.int64) for x in b.column(j).to_pylist())]) for b in batches_] for batches_ in [list(batches)] for j in range(3)]
-    cell, first, last = (np.concatenate([np.empty(0, np.int64), *p]) for p in parts)
+    held: list[list[np.ndarray]] = [[], [], []]
+    for b in batches:
+        for j, own in enumerate(held):
+            own.append(b.column(j).flatten().to_numpy())
+    cell, first, last = (np.concatenate([np.empty(0, np.int64), *own]) for own in held)
     if not len(cell):
         return
     cells_, at = np.unique(cell, return_inverse=True)
