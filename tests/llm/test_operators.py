@@ -263,6 +263,20 @@ def test_personal_data(spark, docs):
     assert (r.n_email, r.n_ip, r.n_card, r.n_phone, r.spans, r.base_sha256) == (1, 1, 1, 1, spans, hashlib.sha256(spans.encode()).hexdigest())
 
 
+def test_personal_data_learns_rare_labels_from_distinct_texts(spark):
+    rare = [f"Call +1 (499) 555-{k:04d} now or write p{k}@mail.example today. Order 20{k:05d} is late." for k in range(200)]
+    plain = [f"Order 20{k:05d} is late, {k} times." for k in range(600)]
+    asked = "Call +1 (499) 555-6503 now. Or later 1 499 555 6503 instead."
+    first = spark.createDataFrame([(t,) for t in plain], "text string").orderBy(F.xxhash64("text")).first().text
+    # Copies of the text with the smallest hash outnumber the whole sample.
+    d = spark.createDataFrame(list(enumerate([asked, *rare, *plain, *[first] * 1200])), "doc_id long, text string")
+    few, all_ = pii.sample(d, 60), pii.sample(d, pii.SAMPLE_ROWS)
+    assert len(set(few)) == len(few) == 60 and sum(t.startswith("Call") for t in few) >= 20
+    assert sorted(all_) == sorted({asked, *rare, *plain}) and few == pii.sample(d.repartition(7), 60)
+    out = pii.find_personal_data(d).select("doc_id", F.size("added_spans").alias("n")).collect()
+    assert [r.doc_id for r in out if r.n] == [0] and len(out) == 2001
+
+
 # Chat
 
 

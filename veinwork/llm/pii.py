@@ -10,9 +10,11 @@ a number that the patterns found once is also found where it is written
 another way. Segments with a confident label that no base span touches become
 further spans; base spans always stay.
 
-The weights are learned here, from base spans as labels, on the ``SAMPLE_ROWS``
-rows with the smallest hash among those that hold a digit or an at sign. All
-rows are then searched, whole.
+The weights are learned here, from base spans as labels, on at most
+``SAMPLE_ROWS`` distinct texts: those with the smallest hashes of each label and
+of segments without one, taken in turn, so that whichever label the table holds
+is learned from however rare it is, and copies count once. All rows are then
+searched, whole.
 
 Cases: a null or empty text has no spans; without anything to learn from only
 base spans are returned; a repeated row gets what its twin gets; time is linear
@@ -21,12 +23,13 @@ in the length of a text, also for one run of a million digits.
 
 from __future__ import annotations
 
+import heapq
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -288,13 +291,42 @@ _SPAN_ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()),
 FIELDS = [T.StructField("base_spans", _SPAN), T.StructField("added_spans", _SPAN)]
 
 
+def strata(text: str) -> set[int]:
+    """Labels of the segments (1 + kind); 0 for segments without any label; nothing for texts without segments."""
+    spans = segments(text)
+    return {y for y in held(spans, base_spans(text)) if y} or ({0} if spans else set())
+
+
+def sample(docs: DataFrame, most: int) -> list[str]:
+    """Distinct texts to learn from: the labels take turns, each with its smallest hashes.
+
+    Tasks pass on hashes alone, at most ``most`` for each label; the texts of
+    those that are chosen are fetched by a second pass.
+    """
+    marked = docs.select(F.xxhash64("text").alias("h"), "text").filter(F.col("text").rlike("[0-9@]"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: list[set[int]] = [set() for _ in range(len(KINDS) + 1)]
+        for batch in batches:
+            for h, text in zip(batch.column("h").to_pylist(), batch.column("text").to_pylist()):
+                for y in strata(text):
+                    best[y].add(h)
+            best = [set(heapq.nsmallest(most, b)) if len(b) > most else b for b in best]
+        rows = [(y, h) for y, b in enumerate(best) for h in b]
+        yield pa.RecordBatch.from_arrays([pa.array([y for y, _ in rows], pa.int32()), pa.array([h for _, h in rows], pa.int64())], names=["label", "h"])
+
+    turn = F.row_number().over(Window.partitionBy("label").orderBy("h"))
+    ranked = marked.mapInArrow(run, "label int, h long").distinct().select("h", turn.alias("turn")).filter(F.col("turn") <= most)
+    chosen = [r["h"] for r in ranked.groupBy("h").agg(F.min("turn").alias("turn")).orderBy("turn", "h").limit(most).collect()]
+    few = F.broadcast(docs.sparkSession.createDataFrame([(h,) for h in chosen], "h long"))
+    return [r["text"] for r in marked.join(few, "h", "left_semi").groupBy("h").agg(F.min("text").alias("text")).orderBy("h").toLocalIterator()]
+
+
 def find_personal_data(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """``docs`` with ``base_spans`` and ``added_spans`` (kind, start, end in code points, end exclusive)."""
     spark = docs.sparkSession
     arrow_batches(spark)
-    marked = docs.select("text").filter(F.col("text").rlike("[0-9@]"))
-    sample = [r["text"] for r in marked.select(F.xxhash64("text").alias("h"), "text").orderBy("h", "text").limit(sample_rows).select("text").toLocalIterator()]
-    sent = spark.sparkContext.broadcast(SkipChain.fit(sample))
+    sent = spark.sparkContext.broadcast(SkipChain.fit(sample(docs, sample_rows)))
 
     def make() -> Callable:
         field = sent.value
