@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from veinwork.functions import dates, geo, text
+from veinwork.functions import dates, experience, geo, text
 from veinwork.operators.merge import merged_rows
 from veinwork.operators.ranking import credible_name, rank
 from veinwork.plans.interpret import interpret, place_of, retrieval_terms
@@ -107,6 +107,27 @@ def test_places_order_and_drop(spark):
     assert {r.id: r.score <= 79 for r in ranked.collect()}[2]
 
 
+def test_months_of_experience():
+    now = 2024 * 12 + 1
+    count = lambda t, *terms: experience.months(t, list(terms) or ["abogado"], now)
+    assert count("Abogado 03/2019 - 02/2021") == 24 and count("abogado, enero de 2020 hasta dic. 2020") == 12
+    assert count("Abogado 2022 – actualidad") == 25 and count("abogado 2018 a 2019; abogado 06/2019-12/2020") == 36
+    assert count("abogado 2021-2019") is None and count("abogado 1950-2010") is None and count(None) is None and experience.months("2019-2020", [], now) is None
+    assert count("abogado" + " x" * 200 + " 2019-2020") is None
+    assert count("Abogado con más de 4 años") == 48 and count("7 meses de experiencia como abogado") == 7
+    assert count("x " * 9000 + "Abogado 2019-2020") == 24
+
+
+def test_required_experience_drops_the_unproven(spark):
+    df = people(spark, [{"current_role": "Abogada", "document_text": t} for t in ("Abogada 2015 - 2019", "Abogada 01/2021 - 12/2023", "Abogada", "Abogada 2010 - 2012 " + "x " * 300 + "cajera 2013 - 2022")])
+    ranked = rank(df, interpret("Abogada, mas de 3 años"), now())
+    assert {r.id: r.experience_months for r in ranked.collect()} == {0: 60}
+    assert sorted(ids(rank(df, interpret("Abogada, al menos 3 años"), now()))) == [0, 1, 3]
+    assert len(ids(rank(df, interpret("Abogada"), now()))) == 4
+    late = df.filter("id = 2").withColumn("document_whole", F.lit("x " * 9000 + "abogada 2015 - 2020"))
+    assert ids(rank(late, interpret("Abogada, mas de 3 años"), now())) == [2]
+
+
 def test_one_row_for_each_person(spark):
     twin = {"current_role": "Cajera", "email": ["same@mail.example"], "document_name": "resume one.pdf"}
     df = people(spark, [twin, twin | {"quality_score": 60}, twin | {"document_name": "other file.pdf"}])

@@ -56,8 +56,8 @@ def hydrate(matches: DataFrame, candidates: DataFrame, docs: DataFrame, sources:
     few = F.broadcast(matches.sparkSession.createDataFrame(top.collect(), top.schema))
     own = docs.join(few.select("candidate_id"), "candidate_id", "left_semi")
     counts = own.groupBy("candidate_id").agg(F.count("*").alias("documents"))
-    best = first_by(own.join(few, "candidate_id"), ["candidate_id"], [~F.col("id").eqNullSafe(F.col("document_id")), ~F.col("is_primary"), F.col("id")], F.struct(F.col("file_name").alias("document_name"), F.substring("raw_text", 1, DOCUMENT_CHARS).alias("document_text")), "b")
+    best = first_by(own.join(few, "candidate_id"), ["candidate_id"], [~F.col("id").eqNullSafe(F.col("document_id")), ~F.col("is_primary"), F.col("id")], F.struct(F.col("file_name").alias("document_name"), F.substring("raw_text", 1, DOCUMENT_CHARS).alias("document_text"), F.col("raw_text").alias("document_whole")), "b")
     latest = sources.filter("is_active").join(few.select("candidate_id"), "candidate_id", "left_semi").groupBy("candidate_id").agg(F.max("source_created_at").alias("latest"))
     rows = candidates.join(few, F.col("id") == F.col("candidate_id")).drop("document_id")
     rows = rows.join(counts, "candidate_id", "left").join(best, "candidate_id", "left").join(latest, "candidate_id", "left")
-    return rows.withColumns({"documents": F.coalesce("documents", F.lit(0)), "document_name": F.col("b.document_name"), "document_text": F.col("b.document_text")}).drop("b", "candidate_id")
+    return rows.withColumns({"documents": F.coalesce("documents", F.lit(0)), "document_name": F.col("b.document_name"), "document_text": F.col("b.document_text"), "document_whole": F.col("b.document_whole")}).drop("b", "candidate_id")
