@@ -95,6 +95,13 @@ def test_profession_and_language_are_both_required(spark):
     assert ids(rank(df, interpret("abogado con ingles"), now())) == [0]
 
 
+def test_rows_without_a_credible_name_are_not_ranked(spark):
+    names = ["Ada Ejemplo", "Ada", "Ada Ejemplo 2", "Auxiliar Administrativo", "Paso Molino", "Curriculum Vitae", "Nombre Apellido", "Ana María D'Prado-Ríos", None]
+    df = people(spark, [{"full_name": n, "current_role": "Cajera"} for n in names])
+    assert sorted(ids(rank(df, interpret("cajera"), now()))) == [0, 7]
+    assert len(ids(rank(df, interpret("cajera"), now(), any_name=True))) == len(names)
+
+
 def test_a_skill_only_scores(spark):
     df = people(spark, [{"current_role": "Vendedor"}, {"current_role": "Vendedora", "document_text": "excel"}, {"current_role": "Mozo", "document_text": "excel"}])
     assert ids(rank(df, interpret("vendedor excel"), now())) == [1, 0]
