@@ -38,6 +38,15 @@ def test_the_random_field_finds_another_spelling_of_a_number():
     assert pii.SkipChain.fit(["nothing here"]) is None
 
 
+def test_evidence_reaches_every_repeat_of_a_number():
+    # Nothing but links between equal segments tells the labels.
+    field = pii.SkipChain(np.zeros((pii.N_FEATURES + 1, 5)), np.zeros((5, 5)), 8.0, 8.0)
+    once, again = "Call +1 (499) 555-6503 now. ", "Or later 1 499 555 6503 instead. "
+    for t in (once + again * 40, again * 40 + once, again * 20 + once + again * 20):
+        base, added = pii.find(t, field)
+        assert len(base) == 1 and [(pii.KINDS[k], t[a:b]) for k, a, b in added] == [("phone", "1 499 555 6503")] * 40
+
+
 def test_personal_data_takes_linear_time():
     for t in ("1" * 300_000, "1.2." * 60_000, "@" * 100_000, "a@" * 50_000, "+1-" * 100_000):
         pii.find(t, None)

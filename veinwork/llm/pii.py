@@ -159,8 +159,13 @@ def features(text: str, a: int, b: int) -> list[int]:
 
 
 def links(text: str, spans: list[tuple[int, int]]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Skip edges (equal, similar): each segment with the last one before it that has the same normal form, or the same core."""
+    """Skip edges (equal, similar): each segment with the last one before it that has the same normal form, or the same core.
+
+    Equal segments are joined to the first of their form as well: any two are
+    two edges apart, so that ``ROUNDS`` carry evidence to all of them.
+    """
     equal, similar = [], []
+    first_equal: dict[str, int] = {}
     last_equal: dict[str, int] = {}
     last_similar: dict[str, int] = {}
     for k, (a, b) in enumerate(spans):
@@ -170,8 +175,11 @@ def links(text: str, spans: list[tuple[int, int]]) -> tuple[list[tuple[int, int]
         core = s.partition("@")[0].strip(_EDGE) if "@" in s else "#" + digits[-9:]
         if normal in last_equal:
             equal.append((last_equal[normal], k))
+            if first_equal[normal] != last_equal[normal]:
+                equal.append((first_equal[normal], k))
         elif core in last_similar and len(core) > 4:
             similar.append((last_similar[core], k))
+        first_equal.setdefault(normal, k)
         last_equal[normal] = last_similar[core] = k
     return equal, similar
 
