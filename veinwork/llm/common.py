@@ -16,6 +16,7 @@ import gc
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
+from functools import wraps
 from pathlib import Path
 
 import pyarrow as pa
@@ -30,6 +31,7 @@ SPACE_CHARS = " \t\n\x0b\x0c\r"
 
 #: Rows in one Arrow batch: texts are whole, so the default of 10,000 would hold too much of them.
 BATCH_ROWS = 1000
+BATCH_BYTES = 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,11 +41,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage: rows go to the shared folder of ``spark.checkpoint.dir``.
 
-    The folder is the cluster's; only a session without one (a test) gets its own.
+    The folder is the cluster's; only a local session without one (a test) gets its own.
     """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="veinwork-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir isn't set: it has to name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="veinwork-"))
     return df.checkpoint(eager=True)
 
 
@@ -63,6 +68,43 @@ def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
     return df.select(*[quoted(c) for c in df.columns if c.lower() not in clash])
 
 
+def sheltered(*own: str):
+    """Decorate an operator of ``docs`` so that it sees the columns ``own`` and one more, which holds all others.
+
+    So its internal names can't clash with an input's. The result has the
+    input's columns in their order, then those that the operator adds; an input
+    column of the same name as one of these is replaced by it.
+    """
+
+    def wrap(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        @wraps(f)
+        def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+            rest = [c for c in docs.columns if c.lower() not in own]
+            held = [c for c in docs.columns if c.lower() in own]
+            if not rest:
+                return f(docs, *args, **kwargs)
+            packed = F.struct(*[quoted(c).alias(f"c{k}") for k, c in enumerate(rest)]).alias("rest_")
+            out = f(docs.select(*[quoted(c) for c in held], packed), *args, **kwargs)
+            made = [c for c in out.columns if c not in held and c != "rest_"]
+            names = {c.lower() for c in made}
+            old = [quoted(c) if c in held else F.col(f"rest_.c{rest.index(c)}").alias(c) for c in docs.columns if c.lower() not in names]
+            return out.select(*old, *[quoted(c) for c in made])
+
+        return run
+
+    return wrap
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """These names, with underscores before those that ``df`` has, for an operator's internal columns."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = f"_{n}"
+        out.append(n)
+    return out
+
+
 def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
@@ -97,9 +139,14 @@ def append_columns(docs: DataFrame, fields: list[T.StructField], make: Callable[
 
 
 def arrow_batches(spark: SparkSession) -> None:
-    """Prepare a session for Python operators: small Arrow batches of whole texts, and this package on the executors."""
+    """Prepare a session for Python operators: Arrow batches bound in rows and bytes, and this package on the executors.
+
+    This sets two options of the session where they have their defaults.
+    """
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    if int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("bB")) > BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     context = spark.sparkContext
     if getattr(context, "_veinwork_shipped", None) is None:
         context._veinwork_shipped = _archive()
