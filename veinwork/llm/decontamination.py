@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veinwork.llm.common import append_columns, arrow_batches, row_key, without
+from veinwork.llm.common import append_columns, arrow_batches, row_key, sheltered, without
 
 WINDOW = 10
 #: Test strings are searched in blocks of so many bytes of item text; one block is what each task holds.
@@ -114,6 +114,7 @@ def _arrays(found: list) -> dict[str, pa.Array]:
     }
 
 
+@sheltered("doc_id", "text")
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` with ``n_words``, ``hit_spans`` (word ranges, end exclusive), ``n_hit`` and ``hit_items`` (ids as sorted strings).
 

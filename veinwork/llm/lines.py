@@ -21,9 +21,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veinwork.llm.common import NOT_SPACE, quoted, row_key, without
+from veinwork.llm.common import NOT_SPACE, checkpointed, quoted, row_key, sheltered, without
 
 LINES = 3
+#: Lists of removed lines are broadcast to the texts up to so many bytes; beyond it the two meet by a shuffle.
+BROADCAST_BYTES = 32 << 20
 RESULT = ("removed_lines", "n_lines", "n_removed_lines")
 
 
@@ -45,11 +47,14 @@ def repeated_lines(docs: DataFrame, lines: int = LINES) -> DataFrame:
     return later.groupBy("k").agg(positions.alias("removed_lines"))
 
 
+@sheltered("doc_id", "text")
 def dedup_lines(docs: DataFrame, lines: int = LINES) -> DataFrame:
     """``docs`` with repeated lines gone from the text, and ``removed_lines``, ``n_lines``, ``n_removed_lines``."""
     docs = without(docs, RESULT)
     own = [quoted(c) for c in docs.columns if c.lower() != "text"]
-    found = repeated_lines(docs, lines).select(F.col("k.id").alias("_i"), F.col("k.th").alias("_t"), "removed_lines")
+    found = checkpointed(repeated_lines(docs, lines).select(F.col("k.id").alias("_i"), F.col("k.th").alias("_t"), "removed_lines"))
+    size = found.agg(F.sum(32 + 4 * F.size("removed_lines"))).first()[0] or 0
+    found = F.broadcast(found) if size <= BROADCAST_BYTES else found
     met = docs.withColumn("_k", row_key()).join(found, F.col("_k.id").eqNullSafe(F.col("_i")) & (F.col("_k.th") == F.col("_t")), "left")
     gone = F.coalesce("removed_lines", F.array().cast("array<int>"))
     step = met.select(*own, "text", gone.alias("removed_lines"), F.split("text", "\n").alias("_p"))

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veinwork.llm.common import NOT_SPACE, checkpointed, quoted, without
+from veinwork.llm.common import NOT_SPACE, checkpointed, quoted, sheltered, without
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -103,6 +103,7 @@ def solve(groups: DataFrame, goals: DataFrame) -> DataFrame:
     return state.select("source", "source_size", "mean_size", "target", "dual")
 
 
+@sheltered("doc_id", "text", "source")
 def mix_sources(docs: DataFrame) -> DataFrame:
     """``docs`` with ``size``, ``source_size``, ``target``, ``copies`` and ``taken`` (copies * size)."""
     docs = without(docs, RESULT)

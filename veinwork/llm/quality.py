@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veinwork.llm.common import NOT_SPACE, SPACE, quoted, without
+from veinwork.llm.common import NOT_SPACE, SPACE, quoted, sheltered, without
 
 WINDOW = 8
 WORDS_LEAST = 20
@@ -124,6 +124,7 @@ def measures(docs: DataFrame) -> DataFrame:
     return step.select(*own, F.inline(F.array(found)))
 
 
+@sheltered("doc_id", "text")
 def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs`` with all measures, ``failed_rules`` (names) and ``kept``."""
     found = measures(docs)
