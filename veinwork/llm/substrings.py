@@ -34,12 +34,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veinwork.llm.common import BATCH_ROWS, arrow_batches, checkpointed, release, row_key, without
+from veinwork.llm.common import BATCH_ROWS, arrow_batches, checkpointed, release, row_key, sheltered, without
 from veinwork.llm.shingles import mix, prefix_hash, range_hash
 
 LENGTH = 400
 GRAM = 100
 BANDS = 4
+#: Suffixes that a range holds on average at most; a task sorts one range in its memory.
+RANGE_SUFFIXES = 1_000_000
+#: Runs of suffixes of at most so many are sorted by all their tokens at once.
+SHORT_RUN = 2048
 #: Rows in which a range of suffixes hands on what it found.
 SHARES = 1024
 #: Sides of at most so many ranges are broadcast; larger ones meet by a shuffle.
@@ -86,19 +90,29 @@ def suffix_tokens(text: str | None, starts: np.ndarray, length: int = LENGTH) ->
 
 
 def multikey_order(keys: list[np.ndarray]) -> np.ndarray:
-    """The order that sorts by the first key, then within its equal runs by the next one, and so on."""
-    n = len(keys[0])
-    order = np.arange(n)
-    runs = [(0, n)]
-    for key in keys:
-        rest = []
-        for a, b in runs:
-            own = order[a:b]
-            own = order[a:b] = own[np.argsort(key[own], kind="stable")]
-            edge = np.flatnonzero(np.diff(key[own])) + 1
-            cuts = np.concatenate([[0], edge, [b - a]])
-            rest += [(a + x, a + y) for x, y in zip(cuts[:-1], cuts[1:]) if y - x > 1]
-        runs = rest
+    """Multikey quicksort: the order that sorts by the first token, then equal ones by the next token, and so on.
+
+    A run is split in three by a pivot's token at the run's depth: what is less
+    and what is greater stay at that depth, what equals it goes one token on.
+    """
+    order = np.arange(len(keys[0]))
+    runs = [(0, len(order), 0)]
+    while runs:
+        a, b, depth = runs.pop()
+        if b - a < 2 or depth == len(keys):
+            continue
+        own = order[a:b]
+        if b - a <= SHORT_RUN:
+            order[a:b] = own[np.lexsort([k[own] for k in reversed(keys[depth:])])]
+            continue
+        key = keys[depth][own]
+        pivot = np.partition(key[:: max(1, len(key) // 127)], 63)[63]
+        less, more = key < pivot, key > pivot
+        low, high = own[less], own[more]
+        same = own[~(less | more)]
+        order[a:b] = np.concatenate([low, same, high])
+        x, y = a + len(low), b - len(high)
+        runs += [(a, x, depth), (x, y, depth + 1), (y, b, depth)]
     return order
 
 
@@ -244,9 +258,10 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     masks = bands.join(twice, "key").groupBy("cell").agg(F.bit_or(F.pow(F.lit(2), F.col("band")).cast("long")).alias("bands"))
     kept = checkpointed(distinct.join(masks, "cell").select("k", F.struct("cell", "lo", "hi", "p", "bands").alias("c")))
     wanted = kept.groupBy("k").agg(F.collect_list("c").alias("cells"))
-    suffixes = _suffixes(_with_cells(docs, wanted, kept.count()), length, gram)
+    n_kept, n_suffixes = kept.agg(F.count("*"), F.coalesce(F.sum(F.col("c.hi") - F.col("c.lo") + 1), F.lit(0))).first()
+    suffixes = _suffixes(_with_cells(docs, wanted, n_kept), length, gram)
     release(docs.sparkSession)
-    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_suffixes // RANGE_SUFFIXES)
     compared = checkpointed(suffixes.repartitionByRange(parts, "t1", "t2", "cell", "off").mapInArrow(_compare, _COMPARED))
     release(docs.sparkSession)
     edges = compared.filter("edge > 0").select("edge", "t1", "t2", *[F.get(f"{c}s", F.lit(0)).alias(c) for c in ("cell", "first", "last")])
@@ -287,6 +302,7 @@ _SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.Struc
 RESULT = ("n_bytes", "n_removed", "removed_spans", "kept")
 
 
+@sheltered("doc_id", "text")
 def remove_repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, digest: bool = False) -> DataFrame:
     """``docs`` with ``n_bytes``, ``n_removed``, ``removed_spans`` (merged byte ranges) and ``kept``.
 
