@@ -1,20 +1,29 @@
 """Personal data: base patterns, and a skip-chain conditional random field.
 
 The base patterns give e-mail addresses, IP addresses, cards and telephone
-numbers. The random field then labels every candidate segment of a document
-(runs of digits, things with an at sign). Its unary potentials are a log-linear
-model of the segment's shape and context, its chain potentials join
-neighbouring segments, and its skip potentials join segments that are equal or
-similar wherever they stand. Loopy sum-product messages settle the labels, so
-a number that the patterns found once is also found where it is written
-another way. Segments with a confident label that no base span touches become
-further spans; base spans always stay.
-
-The weights are learned here, from base spans as labels, on at most
-``SAMPLE_ROWS`` distinct texts: those with the smallest hashes of each label and
-of segments without one, taken in turn, so that whichever label the table holds
-is learned from however rare it is, and copies count once. All rows are then
-searched, whole.
+numbers. The random field then labels every candidate segment of a document:
+runs of digits, words with an at sign, and long runs of letters and digits.
+Its unary potentials are a log-linear model of the segment's shape and context,
+its chain potentials join neighbouring segments, and its skip potentials join
+segments that are equal or similar wherever they stand. Loopy sum-product
+messages settle the labels, so a number that the patterns found once is also
+found where it is written another way. Segments with a confident label that no
+base span touches become further spans; base spans always stay.
+
+Base spans are positive labels; that no pattern matches says less, since a
+number may lack its plus sign or use other separators. So the unary model is
+learned from positive and unlabelled segments: the probability that a segment
+is labelled, over the mean of that among the labelled ones of its kind, is the
+probability that it is of the kind. A further kind, ``secret``, has no base
+pattern: its labels are long mixed values that a text assigns to a name like
+``token``, and access keys of a known form; the field finds the same values
+elsewhere. Chain and skip weights are fitted piecewise, each on its pairs of
+neighbours or twins.
+
+The model is learned here, on at most ``SAMPLE_ROWS`` distinct texts: those with
+the smallest hashes of each label and of segments without one, taken in turn,
+so that whichever label the table holds is learned from however rare it is, and
+copies count once. All rows are then searched, whole.
 
 Cases: a null or empty text has no spans; without anything to learn from only
 base spans are returned; a repeated row gets what its twin gets; time is linear
@@ -35,12 +44,20 @@ from pyspark.sql import types as T
 
 from veinwork.llm.common import append_columns, arrow_batches
 
-KINDS = ("email", "ip", "card", "phone")
+BASE_KINDS = ("email", "ip", "card", "phone")
+KINDS = (*BASE_KINDS, "secret")
+_LABELS = len(KINDS) + 1
 SAMPLE_ROWS = 1000
 #: Least probability of a label for a span beyond the base ones.
 CONFIDENT = 0.9
 ROUNDS = 12
 DAMPING = 0.3
+#: Labels of a kind from which on its share of unlabelled segments is estimated.
+LEAST_LABELS = 10
+#: Agreements of equal and of similar pairs that are taken as seen beforehand, to one disagreement.
+TWINS = (1000, 4)
+#: Weight of the chain beside the unary model, which has seen the context of a segment as well.
+CHAIN = 0.25
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -103,14 +120,40 @@ _RUN = re.compile(r"\+?\(?[0-9][0-9\x20().-]*")
 _EDGE = ".,;:!?\"'()[]{}<>"
 
 
+_MIXED = re.compile(r"[A-Za-z0-9_+/-]{20,}")
+#: Public forms of access keys.
+_KEY = re.compile(r"AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9_-]{20,}")
+_NAMED = re.compile(r"(?i)(?:token|secret|passw(?:or)?d|api[ _-]?key|access[ _-]?key)[\x20\t]{0,8}[:=][\x20\t]{0,8}[\"']?$")
+
+
+def mixed_runs(text: str) -> list[tuple[int, int]]:
+    """Runs of at least 20 letters and digits, some of each."""
+    return [m.span() for m in _MIXED.finditer(text) if _DIGITS.search(m[0]) and sum(c.isalpha() for c in m[0]) >= 3 and len(set(m[0])) >= 8]
+
+
+def named_secrets(text: str) -> list[tuple[int, int, int]]:
+    """Mixed runs that the text assigns to a name of a secret, or that have the form of an access key, as spans of kind 4."""
+    return [(len(BASE_KINDS), a, b) for a, b in mixed_runs(text) if _KEY.fullmatch(text, a, b) or _NAMED.search(text, max(0, a - 40), a)]
+
+
+def labelled_spans(text: str | None) -> list[tuple[int, int, int]]:
+    """What the field learns from and is held to: base spans and named secrets."""
+    return base_spans(text) + (named_secrets(text) if text and _DIGITS.search(text) else [])
+
+
 def segments(text: str) -> list[tuple[int, int]]:
-    """Candidate segments in order: long runs of digits, dotted numbers, words with an at sign."""
+    """Candidate segments in order: long runs of digits, dotted numbers, mixed runs, words with an at sign."""
     out = []
     if _DIGITS.search(text):
+        out = mixed_runs(text)
+        taken = iter([*out, (len(text) + 1, len(text) + 2)])
+        low, high = next(taken)
         for m in _RUN.finditer(text):
             s = m[0].rstrip(" ().-")
+            while high <= m.start():
+                low, high = next(taken)
             digits = sum("0" <= c <= "9" for c in s)
-            if digits >= 7 or digits >= 4 and s.count(".") >= 3:
+            if (digits >= 7 or digits >= 4 and s.count(".") >= 3) and m.start() + len(s) <= low:
                 out.append((m.start(), m.start() + len(s)))
     at, cursor = text.find("@"), 0
     while at >= 0:
@@ -135,7 +178,7 @@ def _bucket(x: int, edges: tuple[int, ...]) -> int:
 
 
 #: Features: a one-hot block for each of these, then context.
-_BLOCKS = (("digits", 8), ("dots", 5), ("length", 6), ("context", 16))
+_BLOCKS = (("digits", 10), ("dots", 5), ("length", 6), ("context", 8))
 N_FEATURES = sum(n for _, n in _BLOCKS) + 10
 
 
@@ -145,10 +188,10 @@ def features(text: str, a: int, b: int) -> list[int]:
     local, _, domain = s.partition("@")
     before = text[max(0, a - 24) : a].rstrip(" :=\"'").rpartition(" ")[2].lower()
     values = (
-        _bucket(len(digits), (1, 4, 7, 9, 11, 13, 20)),
+        _bucket(len(digits), (1, 4, 7, 9, 11, 13, 15, 17, 20)),
         _bucket(s.count("."), (1, 2, 3, 4)),
         _bucket(b - a, (8, 12, 16, 20, 40)),
-        sum(map(ord, before)) % 16,
+        sum(map(ord, before)) % 8,
     )
     out, base = [], 0
     for v, (_, n) in zip(values, _BLOCKS):
@@ -184,19 +227,23 @@ def links(text: str, spans: list[tuple[int, int]]) -> tuple[list[tuple[int, int]
     return equal, similar
 
 
+def _soft(z: np.ndarray) -> np.ndarray:
+    p = np.exp(z - z.max(1, keepdims=True))
+    return p / p.sum(1, keepdims=True)
+
+
 class SkipChain:
-    """Labels 0 (none) and 1..4 (the kinds)."""
+    """Labels 0 (none) and 1 + the kind."""
 
-    def __init__(self, unary: np.ndarray, chain: np.ndarray, equal: float, similar: float):
-        self.unary, self.chain, self.equal, self.similar = unary, chain, equal, similar
+    def __init__(self, weights: np.ndarray, share: np.ndarray, chain: np.ndarray, equal: float, similar: float):
+        self.weights, self.share, self.chain, self.equal, self.similar = weights, share, chain, equal, similar
 
     @classmethod
     def fit(cls, texts: list[str]) -> SkipChain | None:
-        rows, labels, pairs, agree = [], [], np.ones((5, 5)), [[20, 21], [10, 11]]
+        rows, labels, pairs, agree = [], [], np.ones((_LABELS, _LABELS)), [[0, 0], [0, 0]]
         for text in texts:
             spans = segments(text)
-            base = base_spans(text)
-            own = held(spans, base)
+            own = held(spans, labelled_spans(text))
             for (s, e), y in zip(spans, own):
                 rows.append(features(text, s, e))
                 labels.append(y)
@@ -204,39 +251,51 @@ class SkipChain:
                 pairs[y, z] += 1
             for kind, edges in enumerate(links(text, spans)):
                 for i, j in edges:
-                    agree[kind][0] += own[i] == own[j]
-                    agree[kind][1] += 1
+                    if own[i] and own[j]:  # of a pair with an unlabelled end nothing is known
+                        agree[kind][0] += own[i] == own[j]
+                        agree[kind][1] += 1
         if not rows or not any(labels):
             return None
         x = np.zeros((len(rows), N_FEATURES + 1), np.float64)
         x[:, -1] = 1
         for k, r in enumerate(rows):
             x[k, r] = 1
-        y = np.eye(5)[labels]
-        w = np.zeros((N_FEATURES + 1, 5))
-        for _ in range(300):
-            z = x @ w
-            p = np.exp(z - z.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            w -= 2.0 * (x.T @ (p - y) / len(x) + 1e-4 * w)
+        labels = np.array(labels)
+        y = np.eye(_LABELS)[labels]
+        w = np.zeros((N_FEATURES + 1, _LABELS))
+        for _ in range(400):
+            w -= 2.0 * (x.T @ (_soft(x @ w) - y) / len(x) + 1e-4 * w)
+        p = _soft(x @ w)
+        # How likely a segment of a kind is labelled; few labels don't tell, and then labels count as all there are.
+        share = np.ones(_LABELS)
+        for k in range(1, _LABELS):
+            if (n := (labels == k).sum()) >= LEAST_LABELS:
+                share[k] = p[labels == k, k].mean()
         joint = pairs / pairs.sum()
-        chain = 0.5 * np.log(joint / (joint.sum(1, keepdims=True) * joint.sum(0, keepdims=True)))
-        # Agreement of similar pairs; base labels miss other spellings, so a similar pair counts as an equal one at least.
-        odds = [np.log(max(1.5, 4 * a / max(1, n - a + 1))) for a, n in agree]
-        return cls(w, chain, float(odds[0]), float(max(odds)))
+        chain = CHAIN * np.log(joint / (joint.sum(1, keepdims=True) * joint.sum(0, keepdims=True)))
+        chain[0] = chain[:, 0] = 0  # unlabelled isn't none
+        # The weight that makes a lone pair agree as often as was seen (smoothed).
+        odds = [float(np.log((a + before) * (_LABELS - 1) / (n - a + 1))) for (a, n), before in zip(agree, TWINS)]
+        return cls(w, share, chain, odds[0], min(odds))
+
+    def unary(self, text: str, spans: list[tuple[int, int]]) -> np.ndarray:
+        """Log potentials: of positive and unlabelled learning, see the module's text."""
+        z = np.array([self.weights[features(text, s, e)].sum(0) + self.weights[-1] for s, e in spans])
+        p = _soft(z) / self.share
+        p[:, 1:] /= np.maximum(1, p[:, 1:].sum(1, keepdims=True) / 0.99)
+        p[:, 0] = 1 - p[:, 1:].sum(1)
+        return np.log(np.maximum(p, 1e-9))
 
     def label(self, text: str, spans: list[tuple[int, int]], own: list[int]) -> np.ndarray:
         """Marginals by loopy sum-product; segments that base spans touch are held to their label (``own``)."""
         n = len(spans)
-        theta = np.zeros((n, 5))
-        for k, (s, e) in enumerate(spans):
-            if own[k]:
-                theta[k] = -20
-                theta[k, own[k]] = 20
-            else:
-                theta[k] = self.unary[features(text, s, e)].sum(0) + self.unary[-1]
+        theta = self.unary(text, spans)
+        for k, y in enumerate(own):
+            if y:
+                theta[k] = -40
+                theta[k, y] = 0
         equal, similar = links(text, spans)
-        same = np.eye(5)
+        same = np.eye(_LABELS)
         edges = [(k, k + 1, self.chain) for k in range(n - 1)] + [(i, j, self.equal * same) for i, j in equal] + [(i, j, self.similar * same) for i, j in similar]
         theta -= theta.max(1, keepdims=True)
         if not edges:
@@ -246,7 +305,7 @@ class SkipChain:
         dst = np.array([j for i, j, _ in edges] + [i for i, j, _ in edges])
         psi = np.exp(np.array([m for *_, m in edges] + [m.T for *_, m in edges]))
         back = np.r_[len(edges) : 2 * len(edges), : len(edges)]
-        log_m = np.zeros((len(src), 5))
+        log_m = np.zeros((len(src), _LABELS))
         for _ in range(ROUNDS):
             belief = theta.copy()
             np.add.at(belief, dst, log_m)
@@ -270,12 +329,15 @@ def find(text: str | None, field: SkipChain | None) -> tuple[list[tuple[int, int
     if not text or field is None:
         return base, []
     spans = segments(text)
-    own = held(spans, base)
-    if all(own):
+    if not spans:
+        return base, []
+    based = held(spans, base)
+    if all(based):
         return base, []
+    own = held(spans, labelled_spans(text))
     p = field.label(text, spans, own)
     best = p.argmax(1)
-    added = [(int(best[k]) - 1, s, e) for k, (s, e) in enumerate(spans) if not own[k] and best[k] and p[k, best[k]] >= CONFIDENT]
+    added = [(int(best[k]) - 1, s, e) for k, (s, e) in enumerate(spans) if not based[k] and best[k] and p[k, best[k]] >= CONFIDENT]
     return base, added
 
 
@@ -302,7 +364,7 @@ FIELDS = [T.StructField("base_spans", _SPAN), T.StructField("added_spans", _SPAN
 def strata(text: str) -> set[int]:
     """Labels of the segments (1 + kind); 0 for segments without any label; nothing for texts without segments."""
     spans = segments(text)
-    return {y for y in held(spans, base_spans(text)) if y} or ({0} if spans else set())
+    return {y for y in held(spans, labelled_spans(text)) if y} or ({0} if spans else set())
 
 
 def sample(docs: DataFrame, most: int) -> list[str]:
@@ -359,5 +421,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
     """The contract's columns of ``op8``; the counts are of base spans."""
     found = find_personal_data(docs.select("doc_id", "text"))
     kinds = F.transform("base_spans", lambda s: s["kind"])
-    counts = [(F.size("base_spans") - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in KINDS]
-    return found.select("doc_id", *counts, F.sha2(_joined(F.col("base_spans")), 256).alias("base_sha256"), _joined(F.concat("base_spans", "added_spans")).alias("spans"), F.size("added_spans").cast("long").alias("n_added"))
+    counts = [(F.size("base_spans") - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in BASE_KINDS]
+    n_added = F.size("added_spans").cast("long")
+    n_spans = F.size("base_spans").cast("long") + n_added
+    return found.select("doc_id", *counts, F.sha2(_joined(F.col("base_spans")), 256).alias("base_sha256"), _joined(F.concat("base_spans", "added_spans")).alias("spans"), n_added.alias("n_added"), n_spans.alias("n_spans"))
