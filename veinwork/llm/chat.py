@@ -9,9 +9,12 @@ assistant message after it is its result.
 Calls and results are hash-joined by (conversation, identifier), after each
 side is reduced to one row for an identifier. An event may not come before the
 call or result it depends on: its place is the greatest place among its own and
-its predecessors', found by relaxation that runs only while some edge points
-forward. Events with one place are peeled level by level; what peeling leaves
-is a cycle, which is flagged and stays in message order. Positions within a
+its predecessors'. Events with one place are ordered by level, the longest way
+to them among these; cycles, and what depends on one, are flagged and have
+level 0, so they stay in message order. All of this concerns only
+conversations where some edge points forward. Those of at most ``LOCAL`` nodes
+and edges are each settled in one row by array functions; larger ones by rounds
+of joins, as many as their longest chain has steps. Positions within a
 conversation are ranks within ranges of ``CHUNK`` turns plus the ranges' sizes,
 so one conversation with a third of all rows is spread over its ranges.
 
@@ -35,6 +38,8 @@ from pyspark.sql import functions as F
 from veinwork.llm.common import checkpointed
 
 CHUNK = 1024
+#: Nodes, and edges, of a conversation that is settled in one row.
+LOCAL = 256
 
 
 @dataclass(frozen=True)
@@ -133,8 +138,46 @@ def _places(nodes: DataFrame, edges: DataFrame) -> DataFrame | None:
     at = lambda name, cols: nodes.select(F.col("conv_id").alias("_c"), F.col("node").alias(name), *cols)
     same = lambda name: F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col(name) == F.col(f"_{name}"))
     placed = edges.join(at("_src", [F.col("pos").alias("ps")]), same("src")).drop("_c", "_src").join(at("_dst", [F.col("pos").alias("pd")]), same("dst")).drop("_c", "_dst")
-    if not placed.filter("ps > pd").limit(1).count():
+    forward = checkpointed(placed.filter("ps > pd").select("conv_id").distinct())
+    if not forward.limit(1).count():
         return None
+    within = lambda t, c: t.join(c.select(F.col("conv_id").alias("_c")), F.col("conv_id").eqNullSafe(F.col("_c")), "left_semi")
+    nodes, edges = checkpointed(within(nodes, forward)), checkpointed(within(edges, forward))
+    sizes = nodes.select("conv_id", F.lit(1).alias("n"), F.lit(0).alias("e")).unionByName(edges.select("conv_id", F.lit(0).alias("n"), F.lit(1).alias("e")))
+    large = checkpointed(sizes.groupBy("conv_id").agg(F.sum("n").alias("n"), F.sum("e").alias("e")).filter((F.col("n") > LOCAL) | (F.col("e") > LOCAL)).select("conv_id"))
+    if not large.limit(1).count():
+        return _places_in_rows(nodes, edges)
+    out_of = lambda t: t.join(large.select(F.col("conv_id").alias("_c")), F.col("conv_id").eqNullSafe(F.col("_c")), "left_anti")
+    return _places_in_rows(out_of(nodes), out_of(edges)).unionByName(_places_by_rounds(checkpointed(within(nodes, large)), checkpointed(within(edges, large))))
+
+
+def _places_in_rows(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``_places`` with one row for each conversation."""
+    own = nodes.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("pos", "node"))).alias("v"))
+    steps = edges.groupBy("conv_id").agg(F.collect_set(F.struct("src", "dst")).alias("e")).select(F.col("conv_id").alias("_c"), "e")
+    met = own.join(steps, F.col("conv_id").eqNullSafe(F.col("_c")), "left").select("conv_id", "v", F.coalesce("e", F.array().cast("array<struct<src:string,dst:string>>")).alias("e"))
+    names = met.select("conv_id", "v", "e", F.col("v.node").alias("names"), F.size("v").alias("n"))
+    at = lambda name: F.array_position("names", name).cast("int") - 1
+    # Node numbers follow positions, so a place is the greatest number among a node's predecessors and its own.
+    before = F.transform("names", lambda name: F.transform(F.filter("e", lambda x: (x["dst"] == name) & F.array_contains("names", x["src"])), lambda x: at(x["src"])))
+    known = names.select("conv_id", "v", "n", before.alias("before"))
+    rounds = F.sequence(F.lit(1), F.col("n"))
+    numbers = F.sequence(F.lit(0), F.col("n") - 1)
+    place = F.aggregate(rounds, numbers, lambda p, _: F.transform("before", lambda b, i: F.greatest(F.get(p, i), F.array_max(F.transform(b, lambda u: F.get(p, u))))))
+    known = known.select("conv_id", "v", "n", "before", place.alias("place"))
+    tied = F.transform("before", lambda b, i: F.filter(b, lambda u: F.get(F.col("place"), u) == F.get(F.col("place"), i)))
+    known = known.select("conv_id", "v", "n", "place", tied.alias("before"))
+    level = F.aggregate(rounds, F.transform("place", lambda _: F.lit(0)), lambda p, _: F.transform("before", lambda b: F.coalesce(F.array_max(F.transform(b, lambda u: F.get(p, u) + 1)), F.lit(0))))
+    known = known.select("conv_id", "v", "n", "place", level.alias("level"))
+    each = known.select("conv_id", "v", "n", F.posexplode(F.arrays_zip("place", "level")).alias("i", "x"))
+    cyclic = F.col("x.level") >= F.col("n")
+    at_i = F.get(F.col("v"), F.col("i"))
+    return each.select("conv_id", at_i["node"].alias("node"), F.get(F.col("v"), F.col("x.place"))["pos"].alias("place"), F.when(cyclic, 0).otherwise(F.col("x.level")).alias("level"), cyclic.alias("cyclic"))
+
+
+def _places_by_rounds(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``_places`` of conversations of any size."""
+    same = lambda name: F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col(name) == F.col(f"_{name}"))
     state = nodes.select("conv_id", "node", F.col("pos").alias("place"))
     while True:
         src = state.select(F.col("conv_id").alias("_c"), F.col("node").alias("_src"), "place")
@@ -163,7 +206,7 @@ def _places(nodes: DataFrame, edges: DataFrame) -> DataFrame | None:
     else:
         out = out.withColumn("level", F.lit(None).cast("int"))
     cyclic = cyclic.select(F.col("conv_id").alias("_c"), F.col("node").alias("_node"), "cyclic")
-    return out.join(cyclic, same("node"), "left").select("conv_id", "node", "place", F.coalesce("level", F.lit(0)).alias("level"), F.coalesce("cyclic", F.lit(False)).alias("cyclic"))
+    return out.join(cyclic, same("node"), "left").select("conv_id", "node", "place", F.when(F.col("cyclic"), 0).otherwise(F.coalesce("level", F.lit(0))).alias("level"), F.coalesce("cyclic", F.lit(False)).alias("cyclic"))
 
 
 def link_tool_calls(messages: DataFrame, tools: tuple[Tool, ...] = (REPLY,)) -> DataFrame:
@@ -238,3 +281,68 @@ SELECT e.conv_id, seq, turn, role, kind, call_id, coalesce(dep, '') AS depends_o
            || '"role":' || to_json(role) || CASE WHEN kind = 'call' THEN ',"tool":"reply"' ELSE '' END || '}' AS json
 FROM e LEFT JOIN n USING (conv_id, call_id)
 """
+
+
+LOOKUP = Tool("lookup", (("prompt", "string", True), ("turn", "integer", True)))
+
+
+def as_tool_calls(messages: DataFrame) -> DataFrame:
+    """Dialogue as tool use: a user message is a call that needs the next user message's, the answers to it are its results.
+
+    So each conversation is a chain that points forward. Every fourth turn is written as a string, which the schema refuses.
+    """
+    turn = F.col("turn").cast("long")
+    after = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(1, Window.unboundedFollowing)
+    user = F.when(F.col("role") == "user", turn)
+    own = _before(messages.select("conv_id", turn.alias("turn"), "role", "text"), user, "_user").withColumn("_next", F.min(user).over(after))
+    key = lambda t: F.concat(F.lit("k"), t.cast("string"))
+    typed = F.when(F.col("turn") % 4 == 2, F.concat(F.lit('"'), F.col("turn"), F.lit('"'))).otherwise(F.col("turn").cast("string"))
+    arguments = F.concat(F.lit('{"prompt":'), F.get(F.split(F.to_json(F.array(F.coalesce("text", F.lit("")))), "(?s)^\\[|\\]$"), F.lit(1)), F.lit(',"turn":'), typed, F.lit("}"))
+    needs = F.coalesce(F.concat(F.lit(',"depends_on":["'), key(F.col("_next")), F.lit('"]')), F.lit(""))
+    call = F.concat(F.lit('<tool_call>{"id":"'), key(F.col("turn")), F.lit('","name":"lookup","arguments":'), arguments, needs, F.lit("}</tool_call>"))
+    answer = F.to_json(F.struct(key(F.col("_user")).alias("tool_call_id"), F.col("text").alias("content")))
+    return own.select("conv_id", "turn", F.when(F.col("role") == "user", "assistant").when(F.col("role") == "assistant", "tool").otherwise(F.col("role")).alias("role"), F.when(F.col("role") == "user", call).when(F.col("role") == "assistant", answer).otherwise(F.col("text")).alias("text"))
+
+
+def tool_call_chains(messages: DataFrame) -> DataFrame:
+    found = link_tool_calls(as_tool_calls(messages), (LOOKUP,))
+    return found.select("conv_id", "seq", "turn", "kind", "call_id", "depends_on", "linked", "cyclic", "valid", "errors")
+
+
+CHAINS_ORACLE = """
+WITH m AS (
+  SELECT conv_id, turn, role,
+         max(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS u,
+         min(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt
+  FROM conversations
+), k AS (
+  SELECT conv_id, turn AS k, nxt, (SELECT min(r.turn) FROM m r WHERE r.conv_id = m.conv_id AND r.role = 'assistant' AND r.u = m.turn) AS r
+  FROM m WHERE role = 'user'
+), c AS (
+  SELECT *, last_value(k) OVER w AS lk, last_value(r) OVER w AS lr,
+         sum(CASE WHEN r IS NULL THEN 1 ELSE 2 END) OVER (PARTITION BY conv_id ORDER BY k ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS after
+  FROM k WINDOW w AS (PARTITION BY conv_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
+), n AS (
+  -- Where the last chain link stands, and the level of this one's call; the last link's own nodes are not counted, but for the one that all wait for.
+  SELECT conv_id, k, nxt, r, coalesce(lr, lk) AS pt, CASE WHEN lr IS NULL THEN 1 ELSE 0 END AS po,
+         CASE WHEN k = lk THEN 0 ELSE after - CASE WHEN lr IS NULL THEN 0 ELSE 1 END END AS level
+  FROM c
+), e AS (
+  SELECT m.conv_id, turn, 0 AS ord, CASE WHEN role = 'assistant' AND u IS NOT NULL THEN 'result' ELSE 'message' END AS kind,
+         CASE WHEN role = 'assistant' THEN u END AS id
+  FROM m
+  UNION ALL
+  SELECT conv_id, turn, 1, 'call', turn FROM m WHERE role = 'user'
+), p AS (
+  SELECT e.*, n.nxt, n.r,
+         CASE WHEN n.nxt IS NOT NULL THEN greatest(turn, pt) ELSE turn END AS p1,
+         CASE WHEN n.nxt IS NOT NULL AND pt > turn THEN po ELSE ord END AS p2,
+         CASE WHEN n.nxt IS NULL THEN 0 WHEN kind = 'call' THEN n.level WHEN kind = 'result' THEN n.level + 1 ELSE 0 END AS level
+  FROM e LEFT JOIN n ON e.conv_id = n.conv_id AND e.id = n.k
+)
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY p1, p2, level, turn, ord) - 1 AS seq, turn, kind, 'k' || id AS call_id,
+       CASE WHEN kind = 'call' AND nxt IS NOT NULL THEN 'k' || nxt ELSE '' END AS depends_on,
+       (kind <> 'message' AND r IS NOT NULL) AS linked, FALSE AS cyclic,
+       NOT (kind = 'call' AND turn % 4 = 2) AS valid, CASE WHEN kind = 'call' AND turn % 4 = 2 THEN 'not integer: turn' ELSE '' END AS errors
+FROM p
+"""

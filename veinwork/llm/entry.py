@@ -21,6 +21,11 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.link_tool_calls(table(spark, sf_dir, "conversations"))
 
 
+def tool_call_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The operator of ``op1`` on a table that holds tool calls which wait for later ones, and arguments that schemas refuse."""
+    return chat.tool_call_chains(table(spark, sf_dir, "conversations"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_held_out(table(spark, sf_dir, "documents"))
 
@@ -59,8 +64,8 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op2_language_id, op3_quality_rules, op4_line_dedup, op5_decontamination, op6_token_counts, op7_source_mix, op8_personal_data, op9_jaccard_join, op10_suffix_dedup)}
+    return {f.__name__: f for f in (op1_chat_format, op2_language_id, op3_quality_rules, op4_line_dedup, op5_decontamination, op6_token_counts, op7_source_mix, op8_personal_data, op9_jaccard_join, op10_suffix_dedup, tool_call_chains)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": chat.ORACLE, "op3_quality_rules": quality.oracle(), "op4_line_dedup": lines.ORACLE}
+    return {"op1_chat_format": chat.ORACLE, "tool_call_chains": chat.CHAINS_ORACLE, "op3_quality_rules": quality.oracle(), "op4_line_dedup": lines.ORACLE}
