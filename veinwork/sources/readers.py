@@ -249,7 +249,8 @@ def deep_values(text: str | None, wanted: list[str], depth: int = 6) -> list[str
             for y in x:
                 take(y)
         elif isinstance(x, dict):
-            take(next((x[k] for k in ("name", "nombre", "label", "value") if x.get(k)), None))
+            own = {k.lower(): v for k, v in x.items()}
+            take(next((own[k] for k in ("name", "nombre", "label", "value") if own.get(k)), None))
         elif x is not None and not isinstance(x, bool) and str(x).strip():
             out.append(str(x).strip())
 
