@@ -20,13 +20,20 @@ def _folding() -> tuple[str, str]:
 
 
 FOLD_FROM, FOLD_TO = _folding()
+#: Combining marks; without counterparts in the target, ``translate`` drops them.
+MARKS = "".join(map(chr, range(0x300, 0x370)))
 #: The short fold of directory fields: fixed values.
 SHORT_FROM, SHORT_TO = "áéíóúüñÁÉÍÓÚÜÑ", "aeiouunAEIOUUN"
 
 
+def plain(c: Column) -> Column:
+    """Lower case without diacritics."""
+    return F.lower(F.translate(c, FOLD_FROM + MARKS, FOLD_TO))
+
+
 def fold(c: Column) -> Column:
     """Lower case without diacritics, white space collapsed."""
-    return F.trim(F.regexp_replace(F.lower(F.translate(F.regexp_replace(c, "[\\u0300-\\u036f]", ""), FOLD_FROM, FOLD_TO)), "\\s+", " "))
+    return F.trim(F.regexp_replace(plain(c), "\\s+", " "))
 
 
 def short_fold(c: Column) -> Column:
@@ -39,7 +46,7 @@ def place_key(c: Column) -> Column:
 
 def tokens(c: Column, least: int = 3, stop: tuple[str, ...] = ()) -> Column:
     """Distinct words of the folded text, in order."""
-    words = F.filter(F.split(fold(c), "[^\\p{L}\\p{N}]+"), lambda w: F.char_length(w) >= least)
+    words = F.filter(F.split(plain(c), "[^\\p{L}\\p{N}]+"), lambda w: F.char_length(w) >= least)
     return F.array_distinct(F.filter(words, lambda w: ~w.isin(list(stop))) if stop else words)
 
 
@@ -81,7 +88,8 @@ def messaging_url(c: Column) -> Column:
     return F.concat(F.lit("https://wa.me/"), full)
 
 
-PARTICLES = ("de", "del", "la", "las", "los", "da", "do", "dos", "y")
+#: Words of names that don't tell people apart.
+PARTICLES = ("de", "del", "la", "las", "los", "y")
 
 
 def name_words(c: Column) -> Column:
@@ -95,6 +103,7 @@ def names_likely_same(a: Column, b: Column) -> Column:
     return (fold(a) == fold(b)) | ((F.size(x) > 1) & (F.size(y) > 1) & (shared >= 2) & (shared / F.greatest(F.lit(1), F.least(F.size(x), F.size(y))) >= 0.66))
 
 
+#: Marks of a PDF's bytes, and the letters that count as text.
 BINARY_MARKS = "%pdf-|endobj|xref|startxref|/flatedecode|/xobject|/font|/colorspace"
 LETTERS = "A-Za-zÁÉÍÓÚÜÑáéíóúüñ"
 

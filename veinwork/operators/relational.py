@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,12 +24,6 @@ def first_by(df: DataFrame, keys: list[str], order: list[Column], value: Column,
     return df.groupBy(*keys).agg(F.min(ranked)["v"].alias(name))
 
 
-def any_key_pairs(left: DataFrame, right: DataFrame, keys: list[tuple[Column, Column]], out: list[Column]) -> DataFrame:
-    """Pairs that agree on any of several keys: one equi-join for each, then distinct; no nested loop."""
-    joined = [left.join(right, a == b).select(*out) for a, b in keys]
-    return reduce(DataFrame.unionByName, joined).distinct()
-
-
 def numbered(df: DataFrame, by: list[str], order: list[Column], name: str = "position") -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long"))
 
@@ -62,3 +54,18 @@ def slice_page(df: DataFrame, order: list[Column], page: int, size: int) -> Data
     total = df.agg(F.count("*").alias("total"))
     rows = first.withColumn("row", F.row_number().over(Window.orderBy(*order)).cast("long")).filter(F.col("row") > top - size)
     return rows.crossJoin(F.broadcast(total)).withColumn("has_more", F.col("total") > top)
+
+
+#: Tables of at most so many bytes may be dealt anew.
+SPREAD_BYTES = 256 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table's rows dealt to all cores before heavy work on them; one that is larger, or has files for all cores, stays as it is."""
+    spark, files = df.sparkSession, df.inputFiles()
+    cores = spark.sparkContext.defaultParallelism
+    if not files or len(files) >= cores:
+        return df
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    size = sum(path(f).getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path(f)).getLen() for f in files)
+    return df.repartition(cores) if size <= SPREAD_BYTES else df

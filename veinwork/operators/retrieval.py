@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veinwork.functions.text import fold
-from veinwork.operators.relational import first_by, once
+from veinwork.functions.text import plain
+from veinwork.operators.relational import first_by, once, spread
 
 MOST = 300
 DOCUMENT_CHARS = 12_000
@@ -16,7 +16,7 @@ DOCUMENT_CHARS = 12_000
 
 def padded_words(text: Column) -> Column:
     """The folded words with a space on either side of each."""
-    return F.concat(F.lit(" "), F.regexp_replace(fold(text), "[^\\p{L}\\p{N}]+", " "), F.lit(" "))
+    return F.concat(F.lit(" "), F.regexp_replace(plain(text), "[^\\p{L}\\p{N}]+", " "), F.lit(" "))
 
 
 def group_hits(padded: Column, groups: tuple[tuple[str, ...], ...]) -> Column:
@@ -27,7 +27,8 @@ def group_hits(padded: Column, groups: tuple[tuple[str, ...], ...]) -> Column:
 
 def document_matches(docs: DataFrame, groups: tuple[tuple[str, ...], ...], most: int = MOST) -> DataFrame:
     """(candidate_id, document_id, hits): each candidate's best document that holds a term of any group; the top ones."""
-    words = once(docs.filter("raw_text is not null"), _words=padded_words(F.col("raw_text")))
+    own = spread(docs.filter("raw_text is not null").select("id", "candidate_id", "is_primary", "raw_text"))
+    words = once(own, _words=padded_words(F.col("raw_text")))
     scored = once(words, hits=group_hits(F.col("_words"), groups)).filter("hits > 0")
     best = first_by(scored, ["candidate_id"], [-F.col("hits"), ~F.col("is_primary"), F.col("id")], F.struct(F.col("id").alias("document_id"), "hits"), "b")
     return best.select("candidate_id", "b.*").orderBy(F.desc("hits"), "candidate_id").limit(most)

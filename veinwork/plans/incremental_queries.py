@@ -45,7 +45,7 @@ def page_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page is known by its sorted ids; one that was seen is dropped."""
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("id"), F.floor(F.col("o_orderkey") / 100).cast("long").alias("page"))
     pages = o.groupBy("page").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("id")), ","), 256).alias("fingerprint"), F.count("*").alias("rows"))
-    return pages.groupBy("fingerprint").agg(F.first("rows").alias("rows"), F.min("page").alias("page"))
+    return pages.groupBy("fingerprint").agg(F.min_by("rows", "page").alias("rows"), F.min("page").alias("page"))
 
 
 @query("SELECT event_id AS id FROM events WHERE event_type = 'click' ORDER BY ts, event_id OFFSET 120")

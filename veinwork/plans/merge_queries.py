@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from veinwork.operators.merge import merged_rows, one_of_each, rejected, repointed
 from veinwork.operators.relational import keep_first
+from veinwork.functions.names import looks_real
+from veinwork.functions.perrow import per_row
 from veinwork.plans.base import query
+from veinwork.plans.name_queries import PEOPLE, people
 from veinwork.sources.tables import candidates, contents, sources, table, with_
 
 
@@ -99,14 +102,18 @@ def run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.groupBy(F.col("event_type").alias("source")).agg(n("new").alias("new"), n("updated").alias("updated"), n("unchanged").alias("unchanged"), n("error").alias("errors"), seconds.alias("seconds"), F.when(n("error") > 0, "partial").otherwise("ok").alias("status"))
 
 
-@query(with_("candidates", "SELECT id, full_name, FALSE AS changed FROM candidates"))
+@query(with_("candidates", """
+, r AS (SELECT id, full_name, 'Cliente ' || substr(full_name, 10) AS repaired FROM candidates WHERE id % 5 = 0)
+SELECT c.id, 'repaired' AS step, coalesce(r.repaired, c.full_name) AS full_name, r.full_name AS backup, FALSE AS reverted FROM candidates c LEFT JOIN r USING (id)
+UNION ALL SELECT c.id, 'rolled back', CASE WHEN c.id % 10 = 0 THEN c.full_name ELSE coalesce(r.repaired, c.full_name) END, r.full_name, c.id % 10 = 0 FROM candidates c LEFT JOIN r USING (id)"""))
 def repair_backup_rollback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names are repaired with a backup of the old ones, then rolled back from it: nothing is left changed."""
+    """Names are repaired with a backup of the old ones; one of two repairs is rolled back from its backup and marked as reverted."""
     c = candidates(spark, sf_dir).select("id", "full_name")
-    repaired = c.withColumn("full_name", F.when(F.col("id") % 5 == 0, F.initcap("full_name")).otherwise(F.col("full_name")))
-    backup = c.filter("id % 5 = 0").select("id", F.col("full_name").alias("old_name"))
-    back = repaired.join(backup, "id", "left").select("id", F.coalesce("old_name", "full_name").alias("full_name"))
-    return back.join(c.withColumnRenamed("full_name", "was"), "id").select("id", "full_name", (F.col("full_name") != F.col("was")).alias("changed"))
+    backup = c.filter("id % 5 = 0").select("id", (F.col("id") % 10).alias("repair_id"), F.col("full_name").alias("backup"))
+    repaired = c.join(backup, "id", "left").withColumn("full_name", F.when(F.col("backup").isNotNull(), F.concat(F.lit("Cliente "), F.substring("full_name", 10, 100))).otherwise(F.col("full_name")))
+    undone = F.coalesce(F.col("repair_id") == 0, F.lit(False))
+    back = repaired.select("id", F.lit("rolled back").alias("step"), F.when(undone, F.col("backup")).otherwise(F.col("full_name")).alias("full_name"), "backup", undone.alias("reverted"))
+    return repaired.select("id", F.lit("repaired").alias("step"), "full_name", "backup", F.lit(False).alias("reverted")).unionByName(back)
 
 
 @query(with_("candidates sources", """
@@ -123,9 +130,13 @@ def requeue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contents(spark, sf_dir).select("id", F.when(~again, F.col("processed_at")).alias("processed_at"))
 
 
-@query(with_("candidates", "SELECT id, CASE WHEN regexp_matches(lower(full_name), '(00|99)$') THEN 'rejected' ELSE status END AS status FROM candidates"))
+@query(f"""
+WITH {PEOPLE} SELECT id, CASE WHEN id % 4 = 0 THEN 'active' ELSE 'rejected' END AS status FROM people""")
 def generic_name_reject(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return candidates(spark, sf_dir).select("id", F.when(F.lower("full_name").rlike("(00|99)$"), "rejected").otherwise(F.col("status")).alias("status"))
+    """People whose name is a kind of work, a heading or a code are rejected."""
+    k = F.col("id")
+    name = F.when(k % 4 == 0, F.col("name")).when(k % 4 == 1, F.lit("Auxiliar Administrativo")).when(k % 4 == 2, F.concat(F.lit("Perfil "), "name")).otherwise(F.concat(F.lit("Customer#"), k))
+    return people(spark, sf_dir).select("id", F.when(per_row(looks_real, "boolean")(name), "active").otherwise("rejected").alias("status"))
 
 
 @query(with_("candidates contents", """
@@ -163,11 +174,14 @@ def numeric_field_nulling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) + 1 AS k, event_type AS kind, 2 AS keys FROM events""")
+SELECT event_id, 'k' AS key, CAST(CAST(json_extract_string(props, '$.k') AS BIGINT) + 1 AS VARCHAR) AS value FROM events
+UNION ALL SELECT event_id, 'kind', event_type FROM events
+UNION ALL SELECT event_id, 'limit', CAST(user_id AS VARCHAR) FROM events WHERE event_id % 2 = 0""")
 def config_merge_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stored map takes over changed keys and loses a removed one."""
-    stored = F.create_map(F.lit("k"), F.get_json_object("props", "$.k"), F.lit("cursor"), F.lit("x"))
-    change = F.create_map(F.lit("k"), (F.get_json_object("props", "$.k").cast("long") + 1).cast("string"), F.lit("kind"), F.col("event_type"))
-    merged = F.map_filter(F.map_concat(F.map_filter(stored, lambda k, v: ~F.array_contains(F.map_keys(change), k)), change), lambda k, v: k != "cursor")
-    e = table(spark, sf_dir, "events").select("event_id", merged.alias("m"))
-    return e.select("event_id", F.element_at("m", "k").cast("long").alias("k"), F.element_at("m", "kind").alias("kind"), F.size("m").alias("keys"))
+    """Stored maps take over changed keys and lose a removed one; keys that no change names stay."""
+    k = F.get_json_object("props", "$.k")
+    limit = F.when(F.col("event_id") % 2 == 0, F.create_map(F.lit("limit"), F.col("user_id").cast("string"))).otherwise(F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
+    stored = F.map_concat(F.create_map(F.lit("k"), k, F.lit("cursor"), F.lit("x")), limit)
+    change = F.create_map(F.lit("k"), (k.cast("long") + 1).cast("string"), F.lit("kind"), F.col("event_type"))
+    kept = F.map_filter(stored, lambda n, v: ~F.array_contains(F.map_keys(change), n) & (n != "cursor"))
+    return table(spark, sf_dir, "events").select("event_id", F.explode(F.map_concat(kept, change)).alias("key", "value"))

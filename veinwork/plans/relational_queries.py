@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veinwork.operators.relational import any_key_pairs, first_by, keep_first, later_duplicates, numbered, shift_null_last, slice_page
+from veinwork.operators.relational import first_by, keep_first, later_duplicates, numbered, shift_null_last, slice_page
 from veinwork.plans.base import query
 from veinwork.sources.tables import AS_OF, candidates, contents, sources, table, with_
 
@@ -67,12 +67,17 @@ def json_key_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT event_id, CASE WHEN event_type IN ('login', 'purchase') THEN '********' ELSE json_extract_string(props, '$.k') END AS shown FROM events""")
+SELECT event_id, 'limit' AS key, json_extract_string(props, '$.k') AS value FROM events
+UNION ALL SELECT event_id, 'api_' || CASE event_id % 3 WHEN 0 THEN 'Token' WHEN 1 THEN 'password' ELSE 'sessionCookie' END, '********' FROM events
+UNION ALL SELECT event_id, 'keywords', event_type FROM events""")
 def masked_config(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Values under secret-like keys are masked in a map, the others pass."""
-    entry = F.create_map(F.when(F.col("event_type").isin("login", "purchase"), "session_key").otherwise("limit"), F.get_json_object("props", "$.k"))
-    masked = F.transform_values(entry, lambda k, v: F.when(k.rlike("(?i)password|token|secret|cookie|session|key"), F.lit("********")).otherwise(v))
-    return table(spark, sf_dir, "events").select("event_id", F.element_at(F.map_values(masked), 1).alias("shown"))
+    """Values under keys that name secrets are masked; allowed keys that only look like one pass."""
+    k = F.col("event_id")
+    secret = F.concat(F.lit("api_"), F.when(k % 3 == 0, "Token").when(k % 3 == 1, "password").otherwise("sessionCookie"))
+    config = F.create_map(F.lit("limit"), F.get_json_object("props", "$.k"), secret, F.lit("x1"), F.lit("keywords"), F.col("event_type"))
+    hidden = lambda n: n.rlike("(?i)password|token|secret|cookie|session|key") & ~n.isin("keywords")
+    masked = F.transform_values(config, lambda n, v: F.when(hidden(n), F.lit("********")).otherwise(v))
+    return table(spark, sf_dir, "events").select("event_id", F.explode(masked).alias("key", "value"))
 
 
 @query(with_("candidates contents sources", f"""
@@ -124,13 +129,13 @@ def primary_doc_lateral(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(with_("candidates", """
-, e AS (SELECT id, lower(unnest(email)) AS address FROM candidates)
-SELECT DISTINCT a.id AS id, b.id AS other_id FROM e a JOIN e b ON a.address = b.address AND a.id < b.id"""))
+, e AS (SELECT id, lower(unnest(email)) AS address FROM candidates), f AS (SELECT address, min(id) AS first_id, count(DISTINCT id) AS people FROM e GROUP BY address HAVING count(DISTINCT id) > 1)
+SELECT DISTINCT e.id, first_id, people FROM e JOIN f USING (address)"""))
 def contact_overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Array overlap between rows as an equi-join of exploded values."""
-    e = candidates(spark, sf_dir).select("id", F.explode("email").alias("address")).withColumn("address", F.lower("address"))
-    o = e.select(F.col("id").alias("other_id"), "address")
-    return e.join(o, "address").filter("id < other_id").select("id", "other_id").distinct()
+    """Array overlap between rows as an equi-join of exploded values: each row with the first one of every value it shares, so that a common value gives no pairs."""
+    e = candidates(spark, sf_dir).select("id", F.explode("email").alias("address")).withColumn("address", F.lower("address")).distinct()
+    first = e.groupBy("address").agg(F.min("id").alias("first_id"), F.count("*").alias("people")).filter("people > 1")
+    return e.join(first, "address").select("id", "first_id", "people").distinct()
 
 
 @query(with_("candidates", """
@@ -156,16 +161,22 @@ def source_doc_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH d AS (SELECT doc_id, sha256(text) AS h, source, n_chars, substr(text, 1, 60) AS head FROM documents WHERE text IS NOT NULL)
-SELECT DISTINCT a.doc_id AS doc_id, b.doc_id AS other_id FROM d a JOIN d b ON a.doc_id < b.doc_id AND (a.h = b.h OR (a.source = b.source AND a.n_chars = b.n_chars) OR (a.head = b.head AND length(a.head) = 60))""")
+WITH d AS (SELECT doc_id, sha256(text) AS h, source, n_chars, substr(text, 1, 60) AS head FROM documents WHERE text IS NOT NULL),
+k AS (SELECT doc_id, 'h' || h AS k FROM d UNION ALL SELECT doc_id, 's' || source || '/' || n_chars FROM d UNION ALL SELECT doc_id, 't' || head FROM d WHERE length(head) = 60),
+f AS (SELECT k, min(doc_id) AS first_id FROM k GROUP BY k)
+SELECT DISTINCT k.doc_id, f.first_id AS other_id FROM k JOIN f USING (k) WHERE f.first_id < k.doc_id""")
 def document_identity_or_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same document by hash, or by source and size, or by its opening: three equi-joins, not a nested loop."""
-    d = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", F.sha2("text", 256).alias("h"), F.struct("source", "n_chars").alias("s"), F.substring("text", 1, 60).alias("head"))
-    d = d.withColumn("head", F.when(F.char_length("head") == 60, F.col("head")))
-    a, b = d.alias("a"), d.alias("b")
-    keys = [(F.col(f"a.{k}"), F.col(f"b.{k}")) for k in ("h", "s", "head")]
-    out = [F.col("a.doc_id").alias("doc_id"), F.col("b.doc_id").alias("other_id")]
-    return any_key_pairs(a, b, keys, out).filter("doc_id < other_id")
+    """The same document by hash, or by source and size, or by its opening: each row with the first one of every key it shares."""
+    d = table(spark, sf_dir, "documents").filter("text is not null")
+    head = F.substring("text", 1, 60)
+    keys = F.array_compact(F.array(F.concat(F.lit("h"), F.sha2("text", 256)), F.concat(F.lit("s"), "source", F.lit("/"), "n_chars"), F.when(F.char_length(head) == 60, F.concat(F.lit("t"), head))))
+    each = d.select("doc_id", F.explode(F.transform(keys, lambda k: F.md5(k))).alias("k"))
+    first = each.groupBy("k").agg(F.min("doc_id").alias("other_id"), F.count("*").alias("n")).filter("n > 1").select("k", "other_id")
+    return each.join(first, "k").filter("other_id < doc_id").select("doc_id", "other_id").distinct()
+
+
+#: Passages that are broadcast, in bytes at most.
+PASSAGE_BYTES = 64 << 20
 
 
 @query("SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
@@ -177,9 +188,14 @@ def passage_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     longest = F.array_max(F.transform(inner, lambda w: F.struct(F.char_length(w).alias("n"), w.alias("w"))))["w"]
     keyed = items.withColumn("key", longest)
     docs = table(spark, sf_dir, "documents").filter("text is not null")
-    by_word = docs.select("doc_id", "text", F.explode(words(F.col("text"))).alias("key")).join(F.broadcast(keyed.filter("key is not null").select("item_id", "passage", "key")), "key")
+    size = keyed.agg(F.sum(F.octet_length("passage"))).first()[0] or 0
+    if size > PASSAGE_BYTES:
+        raise ValueError(f"{size} bytes of passages are more than a task may hold ({PASSAGE_BYTES}); search in parts")
+    # Words without texts meet the keys; then texts are read once more, by the few rows that are left.
+    by_word = docs.select("doc_id", F.explode(words(F.col("text"))).alias("key")).join(F.broadcast(keyed.filter("key is not null").select("item_id", "key")), "key").select("doc_id", "item_id").distinct()
+    met = docs.join(by_word, "doc_id").join(F.broadcast(keyed.select("item_id", "passage")), "item_id").filter(F.contains("text", "passage"))
     short = docs.join(F.broadcast(keyed.filter("key is null").select("item_id", "passage")), F.contains("text", "passage"))
-    return by_word.filter(F.contains("text", "passage")).select("doc_id", "item_id").unionByName(short.select("doc_id", "item_id")).distinct()
+    return met.select("doc_id", "item_id").unionByName(short.select("doc_id", "item_id")).distinct()
 
 
 @query(with_("sources", """

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from veinwork.functions.text import fold
 from veinwork.operators.ranking import explanation, one_per_person, rank, score
-from veinwork.operators.relational import once
+from veinwork.operators.relational import once, spread
 from veinwork.operators.retrieval import document_matches, group_hits, hydrate, merged_matches, padded_words, profile_matches
 from veinwork.plans.base import query
 from veinwork.plans.interpret import Plan
@@ -28,7 +28,7 @@ HITS = " + ".join(_hit("x", g) for g in PLAN.groups)
 @query(with_("contents", f"SELECT id FROM (SELECT id, {WORDS} AS x FROM contents WHERE raw_text IS NOT NULL) WHERE " + " AND ".join(f"{_hit('x', g)} = 1" for g in PLAN.groups[1:])))
 def boolean_term_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with a term of every group."""
-    d = once(contents(spark, sf_dir).filter("raw_text is not null").select("id", "raw_text"), words=padded_words(F.col("raw_text")))
+    d = once(spread(contents(spark, sf_dir).filter("raw_text is not null").select("id", "raw_text")), words=padded_words(F.col("raw_text")))
     return d.filter(group_hits(F.col("words"), PLAN.groups[1:]) == 2).select("id")
 
 

@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veinwork.functions import geo, text
+from veinwork.functions.perrow import per_row
+from veinwork.functions.profile import before_references, years
 from veinwork.functions.dates import backoff_minutes, month_index, recency_bonus, safe_timestamp, union_months
+from veinwork.operators.relational import spread
 from veinwork.plans.base import query
 from veinwork.sources.tables import AS_OF, candidates, contents, table, with_
 
@@ -18,7 +21,7 @@ SELECT token, count(*) AS documents FROM (
   SELECT DISTINCT doc_id, unnest(list_filter(regexp_split_to_array({FOLDED}, '[^\\pL\\pN]+'), lambda w: length(w) >= 3)) AS token FROM documents)
 GROUP BY token ORDER BY documents DESC, token LIMIT 200""")
 def fold_tokens_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = table(spark, sf_dir, "documents").select(F.explode(text.tokens(F.col("text"))).alias("token"))
+    words = spread(table(spark, sf_dir, "documents").select("text")).select(F.explode(text.tokens(F.col("text"))).alias("token"))
     return words.groupBy("token").agg(F.count("*").alias("documents")).orderBy(F.desc("documents"), "token").limit(200)
 
 
@@ -179,9 +182,10 @@ def location_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return people.join(F.broadcast(near), F.contains(F.lower("name"), F.col("near")), "left_semi").select("id", F.col("name").alias("city"))
 
 
-@query("SELECT place_id, name FROM (VALUES (0, 'ciudad de la costa'), (2, 'san jose de carrasco')) v(place_id, name)")
+@query("SELECT * FROM (VALUES " + ", ".join(f"({k}, trim(regexp_replace(lower(strip_accents('{p[0]}  {p[1] or ''} -X')), '[^a-z0-9]+', ' ', 'g')))" for k, p in enumerate(geo.PLACES)) + ") v(place_id, name)")
 def place_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return geo.places(spark).filter("place_id in (0, 2)").select("place_id", text.place_key(F.coalesce("alias", "name")).alias("name"))
+    """The key of every known place's names, with noise around them."""
+    return geo.places(spark).select("place_id", text.place_key(F.concat(F.col("name"), F.lit("  "), F.coalesce("alias", F.lit("")), F.lit(" -X"))).alias("name"))
 
 
 @query("SELECT doc_id, CASE WHEN length(text) > 420 THEN rtrim(substr(text, 1, 420), ' ') || '...' ELSE text END AS shown FROM documents")
@@ -215,24 +219,20 @@ def day_overlap_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.date_sub("o_orderdate", 1).alias("after"))
 
 
-@query(with_("candidates", """
-, a AS (SELECT id, unnest(email) AS e FROM candidates)
-SELECT id, e AS address, CASE WHEN regexp_matches(split_part(e, '@', 1), '^(info|admin|noreply|shared[0-9]*)$') THEN 'system' ELSE 'person' END AS sender FROM a"""))
-def sender_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = candidates(spark, sf_dir).select("id", F.explode("email").alias("address"))
-    return a.withColumn("sender", F.when(F.split_part("address", F.lit("@"), F.lit(1)).rlike("^(info|admin|noreply|shared[0-9]*)$"), "system").otherwise("person"))
-
-
 @query("""
-SELECT doc_id, list_max(list_filter(list_transform(regexp_extract_all(text, '[0-9]+'), lambda x: TRY_CAST(x AS BIGINT)), lambda x: x BETWEEN 1 AND 59)) AS years FROM documents WHERE regexp_matches(text, '[0-9]')""")
+SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN doc_id % 59 + 1 WHEN 1 THEN greatest(3, doc_id % 59 + 1) WHEN 2 THEN NULL END AS years FROM documents""")
 def years_and_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").filter(F.col("text").rlike("[0-9]"))
-    found = F.filter(F.transform(F.regexp_extract_all("text", F.lit("([0-9]+)"), 1), lambda x: x.try_cast("long")), lambda x: x.between(1, 59))
-    return d.select("doc_id", F.array_max(found).alias("years"))
+    """The most years of experience that a text states; other numbers don't count."""
+    d = F.col("doc_id")
+    n = (d % 59 + 1).cast("string")
+    said = F.when(d % 4 == 0, F.concat(F.lit("Cuento con "), n, F.lit(" años de experiencia, nací en 1970"))).when(d % 4 == 1, F.concat(F.lit("Experiencia en ventas: 3 años. Más de "), n, F.lit(" AÑOS de trayectoria"))).when(d % 4 == 2, F.concat(n, F.lit(" años cumplidos"))).otherwise(F.lit("con 60 años de experiencia"))
+    return table(spark, sf_dir, "documents").select("doc_id", per_row(years, "long")(F.concat(F.lit("Texto. "), said)).alias("years"))
 
 
-@query("SELECT doc_id, CASE WHEN strpos(lower(text), ' for ') > 1 THEN substr(text, 1, strpos(lower(text), ' for ') - 1) ELSE text END AS head FROM documents WHERE text IS NOT NULL")
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN text || chr(10) || 'Referencias: ' || lang ELSE text || chr(10) END AS head FROM documents WHERE text IS NOT NULL")
 def reference_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The text before a closing section's marker."""
-    d = table(spark, sf_dir, "documents").filter("text is not null").withColumn("p", F.locate(" for ", F.lower("text")))
-    return d.select("doc_id", F.when(F.col("p") > 1, F.expr("substring(text, 1, p - 1)")).otherwise(F.col("text")).alias("head"))
+    """The text before its section of references."""
+    d = F.col("doc_id")
+    tail = F.when(d % 3 == 0, F.concat(F.lit("Referencias laborales: "), "lang")).when(d % 3 == 1, F.concat(F.lit("REFERENCIAS PERSONALES\n"), "lang", F.lit(" referencias laborales"))).otherwise(F.concat(F.lit("Referencias: "), "lang"))
+    docs = table(spark, sf_dir, "documents").filter("text is not null")
+    return docs.select("doc_id", per_row(before_references, "string")(F.concat("text", F.lit("\n"), tail)).alias("head"))
