@@ -140,12 +140,11 @@ def _word_text(data: bytes) -> str:
     try:
         with zipfile.ZipFile(io.BytesIO(data)) as z:
             parts = sorted(i for i in z.namelist() if re.fullmatch(r"word/(document|header|footer)[^/]*\.xml", i))
-            marked = "\n".join(z.read(p).decode("utf-8", "replace") for p in parts)
+            marked = [re.sub(r"</w:p\s*>|<w:br\b[^>]*>", "\n", z.read(p).decode("utf-8", "replace")) for p in parts]
     except (zipfile.BadZipFile, RuntimeError, OSError):
         return ""
-    marked = re.sub(r"</w:p\s*>|<w:br\b[^>]*>", "\n", marked)
-    text = html.unescape(re.sub(r"<[^>]*>", "", re.sub(r"<w:tab\b[^>]*>", "\t", marked)))
-    return re.sub(r"\n{3,}", "\n\n", text).strip()
+    texts = (html.unescape(re.sub(r"<[^>]*>", "", re.sub(r"<w:tab\b[^>]*>", "\t", m))).strip() for m in marked)
+    return re.sub(r"\n{3,}", "\n\n", "\n".join(t for t in texts if t))
 
 
 _ESCAPES = {"n": "\n", "r": "\n", "t": "\t", "b": "", "f": ""}
