@@ -327,8 +327,9 @@ def similar_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     else:
         slim = slim.withColumn("c", F.col("s"))
     slim = checkpointed(slim.select("id", "th", F.col("n").alias("n_shingles"), F.col("s").alias("node"), "c"))
-    least = slim.filter("c is not null").groupBy("c").agg(F.min("id").alias("least"))
-    return slim.join(least, "c", "left").select("id", "th", "n_shingles", "node", F.when(F.col("c").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id"), "c")
+    # Only components of several rows look up their least id; materialised, so that the join may split a large one.
+    several = checkpointed(slim.filter("c is not null").groupBy("c").agg(F.min("id").alias("least"), F.count("*").alias("m")).filter("m > 1").select("c", "least"))
+    return slim.join(small(several, several.count()), "c", "left").select("id", "th", "n_shingles", "node", F.coalesce("least", "id").alias("component_id"), "c")
 
 
 def similarity_components(docs: DataFrame) -> DataFrame:
