@@ -31,7 +31,10 @@ from veinwork.llm.common import NOT_SPACE, checkpointed, quoted, sheltered, with
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 MOST = 2
-NEWTON = 40
+#: Newton steps after which the solution is given up with an error; a step outside the bracket halves it, so a few dozen do.
+NEWTON = 200
+#: Tables with a row for each source are broadcast up to so many rows; more sources meet by shuffles.
+BROADCAST_SOURCES = 100_000
 #: Newton steps end when every source is so near its target; rounding closes the rest.
 TOLERANCE = 1e-3
 CLOSING = 2
@@ -72,7 +75,12 @@ def rate(dual: Column, tilt: Column) -> Column:
     return MOST / (1 + F.exp(-F.greatest(F.lit(-700.0), F.least(F.lit(700.0), dual * tilt))))
 
 
-def solve(groups: DataFrame, goals: DataFrame) -> DataFrame:
+def by_source(df: DataFrame, sources: int) -> DataFrame:
+    """A side with a row for each source."""
+    return F.broadcast(df) if sources <= BROADCAST_SOURCES else df
+
+
+def solve(groups: DataFrame, goals: DataFrame, sources: int) -> DataFrame:
     """``goals`` with ``dual``: Newton steps on the dual of each source, all sources at once.
 
     ``groups`` (source, size, n) counts the documents; ``goals`` has source,
@@ -86,10 +94,10 @@ def solve(groups: DataFrame, goals: DataFrame) -> DataFrame:
     for _ in range(NEWTON):
         tilt = F.col("size") / F.col("mean_size")
         r = rate(F.col("dual"), tilt)
-        met = groups.alias("g").join(F.broadcast(state.alias("s")), same)
+        met = groups.alias("g").join(by_source(state.alias("s"), sources), same)
         slope = F.sum(F.col("n") * F.col("size") * tilt * r * (1 - r / MOST))
         step = met.groupBy(F.col("s.source").alias("source")).agg(F.sum(F.col("n") * F.col("size") * r).alias("got"), slope.alias("slope"))
-        new = state.alias("s").join(F.broadcast(step.alias("g")), same, "left").select("s.*", (F.coalesce("g.got", F.lit(0.0)) - F.col("s.target")).alias("off"), F.coalesce("g.slope", F.lit(0.0)).alias("slope"))
+        new = state.alias("s").join(by_source(step.alias("g"), sources), same, "left").select("s.*", (F.coalesce("g.got", F.lit(0.0)) - F.col("s.target")).alias("off"), F.coalesce("g.slope", F.lit(0.0)).alias("slope"))
         low = F.when(F.col("off") < 0, F.col("dual")).otherwise(F.col("low"))
         high = F.when(F.col("off") > 0, F.col("dual")).otherwise(F.col("high"))
         new = new.withColumns({"low": low, "high": high, "newton": F.col("dual") - F.try_divide("off", "slope")})
@@ -99,8 +107,9 @@ def solve(groups: DataFrame, goals: DataFrame) -> DataFrame:
         done = (F.abs("off") <= TOLERANCE * F.col("target")) | (F.abs("dual") > 1e5)
         state = checkpointed(new.select("source", "source_size", "mean_size", "target", F.when(done, F.col("dual")).when(inside, F.col("newton")).otherwise(spread).alias("dual"), "low", "high", done.alias("done")))
         if not state.filter("not done").limit(1).count():
-            break
-    return state.select("source", "source_size", "mean_size", "target", "dual")
+            return state.select("source", "source_size", "mean_size", "target", "dual")
+    raise RuntimeError(f"the dual did not converge in {NEWTON} steps")
+
 
 
 @sheltered("doc_id", "text", "source")
@@ -124,14 +133,15 @@ def mix_sources(docs: DataFrame) -> DataFrame:
 def copies(slim: DataFrame) -> DataFrame:
     """(doc_id, source, size, u) with the columns of the mix; ``slim`` is checkpointed, u a hash of the row."""
     groups = checkpointed(slim.filter("size > 0").groupBy("source", "size").agg(F.count("*").alias("n")))
-    everything = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
+    everything = checkpointed(slim.groupBy("source").agg(F.sum("size").alias("source_size")))
+    sources = everything.count()
     sized = groups.groupBy("source").agg(F.sum("n").alias("worded"))
     goals = targets(everything.select("source", "source_size"))
     same = F.col("g.source").eqNullSafe(F.col("s.source"))
     goals = goals.alias("g").join(sized.alias("s"), same, "left").select("g.*", (F.col("source_size") / F.coalesce("worded", F.lit(1))).alias("mean_size"))
-    duals = solve(groups, goals.withColumn("mean_size", F.greatest("mean_size", F.lit(1.0))))
+    duals = solve(groups, goals.withColumn("mean_size", F.greatest("mean_size", F.lit(1.0))), sources)
     # Order within a source: by how much the rate's fraction beats the row's hash; 30 bits, highest first.
-    s = F.broadcast(duals.alias("s"))
+    s = by_source(duals.alias("s"), sources)
     r = rate(F.col("dual"), F.col("size") / F.col("mean_size"))
     rated = slim.alias("g").join(s, same).select("g.*", "source_size", "target", r.alias("rate"))
     rated = rated.withColumn("whole", F.least(F.floor("rate"), F.lit(MOST - 1)))
@@ -142,30 +152,30 @@ def copies(slim: DataFrame) -> DataFrame:
     limit = checkpointed(limit.select("source", (F.col("target") - F.col("base")).alias("room"), F.lit(0).cast("long").alias("prefix")))
     for level in range(3):
         shift = BITS * (2 - level)
-        bins = placed.alias("g").join(F.broadcast(limit.alias("s")), same & (F.shiftright("rank", shift + BITS) == F.col("s.prefix")))
+        bins = placed.alias("g").join(by_source(limit.alias("s"), sources), same & (F.shiftright("rank", shift + BITS) == F.col("s.prefix")))
         sums = bins.groupBy(F.col("g.source").alias("source"), F.shiftright("rank", shift).alias("bin")).agg(F.sum("size").alias("words"))
         running = Window.partitionBy("source").orderBy("bin")
-        summed = sums.withColumn("after", F.sum("words").over(running)).alias("g").join(F.broadcast(limit.alias("s")), same)
+        summed = sums.withColumn("after", F.sum("words").over(running)).alias("g").join(by_source(limit.alias("s"), sources), same)
         fits = F.col("after") <= F.col("room")
         new = summed.groupBy(F.col("g.source").alias("source")).agg(F.max(F.when(fits, F.col("after"))).alias("used"), F.min(F.when(~fits, F.col("bin"))).alias("next"), F.max("bin").alias("last"))
-        limit = checkpointed(limit.alias("g").join(F.broadcast(new.alias("s")), same, "left").select(F.col("g.source").alias("source"), (F.col("room") - F.coalesce("used", F.lit(0))).alias("room"), F.coalesce("next", F.col("last") + 1, F.shiftleft("prefix", BITS)).cast("long").alias("prefix")))
+        limit = checkpointed(limit.alias("g").join(by_source(new.alias("s"), sources), same, "left").select(F.col("g.source").alias("source"), (F.col("room") - F.coalesce("used", F.lit(0))).alias("room"), F.coalesce("next", F.col("last") + 1, F.shiftleft("prefix", BITS)).cast("long").alias("prefix")))
     # Ranks below the limit get one copy more.
-    met = placed.alias("g").join(F.broadcast(limit.alias("s")), same)
+    met = placed.alias("g").join(by_source(limit.alias("s"), sources), same)
     out = checkpointed(met.select("doc_id", F.col("g.source").alias("source"), "size", "u", "source_size", "target", (F.col("whole") + (F.col("rank") < F.col("prefix")).cast("long")).alias("copies")))
     for _ in range(CLOSING):
-        out = _closer(out)
+        out = _closer(out, sources)
     return out.withColumn("copies", F.when(F.col("size") > 0, F.col("copies")).otherwise(0)).withColumn("taken", F.col("copies") * F.col("size"))
 
 
-def _closer(out: DataFrame) -> DataFrame:
+def _closer(out: DataFrame, sources: int) -> DataFrame:
     """One copy of one document more or less in each source, if that brings it nearer to its target."""
     same = F.col("g.source").eqNullSafe(F.col("s.source"))
     gap = out.groupBy("source").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("gap"))
-    met = out.filter("size > 0").alias("g").join(F.broadcast(gap.alias("s")), same).select("g.*", "gap")
+    met = out.filter("size > 0").alias("g").join(by_source(gap.alias("s"), sources), same).select("g.*", "gap")
     met = met.filter(F.when(F.col("gap") > 0, F.col("copies") < MOST).otherwise(F.col("copies") > 0))
     left = F.abs(F.abs("gap") - F.col("size"))
     best = met.filter(left < F.abs("gap")).groupBy("source").agg(F.min(F.struct(left.alias("left"), "u", F.when(F.col("gap") > 0, 1).otherwise(-1).alias("more"), "size")).alias("b"))
-    chosen = F.broadcast(best.select("source", F.col("b.u").alias("bu"), F.col("b.size").alias("bs"), F.col("b.more").alias("more")).alias("s"))
+    chosen = by_source(best.select("source", F.col("b.u").alias("bu"), F.col("b.size").alias("bs"), F.col("b.more").alias("more")).alias("s"), sources)
     hit = same & (F.col("g.u") == F.col("s.bu")) & (F.col("g.size") == F.col("s.bs"))
     return checkpointed(out.alias("g").join(chosen, hit, "left").select("doc_id", F.col("g.source").alias("source"), "g.size", "u", "source_size", "target", (F.col("copies") + F.coalesce("more", F.lit(0))).alias("copies")))
 
