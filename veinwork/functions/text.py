@@ -125,10 +125,14 @@ def readable(c: Column) -> Column:
     return (n >= 80) & (letters / F.greatest(F.lit(1), n) >= 0.55) & (F.regexp_count(compact, F.lit("%PDF-|endobj|xref|/FlateDecode|/XObject")) < 5)
 
 
+#: Accented letters as entities give plain ones.
+ENTITIES = tuple((f"&{x}{mark};", x) for mark, letters in (("acute", "aeiouAEIOU"), ("tilde", "nN"), ("uml", "uU")) for x in letters)
+
+
 def html_text(c: Column) -> Column:
     t = F.regexp_replace(c, "(?is)<(script|style)\\b.*?</\\1>", " ")
     t = F.regexp_replace(t, "<[^>]*>", " ")
-    for entity, char in (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'")):
+    for entity, char in (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), *ENTITIES):
         t = F.replace(t, F.lit(entity), F.lit(char))
     return F.trim(F.regexp_replace(t, "\\s+", " "))
 

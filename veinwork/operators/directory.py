@@ -41,6 +41,31 @@ def filtered(candidates: DataFrame, q: DirectoryQuery) -> DataFrame:
     return out
 
 
+#: Senders, subjects and texts of systems that mail took for people, and words that no name holds.
+SYSTEM_NAMES = ("the google cloud team", "google cloud team", "google workspace team", "google team", "microsoft account team", "linkedin notifications")
+SUBJECT = "^(re|fw|fwd):|\\b(postulame|postularme|postulacion|futuras vacantes|solicitud de empleo|solicitud de trabajo)\\b"
+SYSTEM_SUMMARY = "work account access|google cloud|google workspace|security alert|billing|%pdf-1\\.|google docs renderer|comparto.*contigo|shared.*with you"
+SYSTEM_TEXT = "request for work account access|google cloud|%pdf-1\\.|google docs renderer|comparto.*contigo|shared.*with you"
+NO_NAME = "preparacion|entrega de|ordenes|experiencia en|responsable de|tareas de|funciones|perfil profesional|objetivo laboral|curriculum|postulacion|futuras vacantes"
+
+
+def without_false_positives(candidates: DataFrame, sources: DataFrame, documents: DataFrame, mail: str = "mail") -> DataFrame:
+    """Candidates without those that mail brought by mistake: system senders, subjects for names, contactless system texts, system documents; and without names that are none.
+
+    ``sources`` has candidate_id and source_type, ``documents`` also raw_text and
+    file_name. Their flags are reduced to distinct ids before they join.
+    """
+    low = lambda c: short_fold(F.trim(F.coalesce(F.col(c), F.lit(""))))
+    by_mail = sources.filter(F.col("source_type") == mail).select(F.col("candidate_id").alias("id")).distinct().withColumn("_mail", F.lit(True))
+    told = F.lower(F.coalesce("raw_text", F.lit(""))).rlike("(?s)" + SYSTEM_TEXT) | F.contains(F.lower(F.coalesce("file_name", F.lit(""))), F.lit("request for work account access"))
+    system = documents.filter((F.col("source_type") == mail) & told).select(F.col("candidate_id").alias("id")).distinct().withColumn("_system", F.lit(True))
+    met = candidates.join(by_mail, "id", "left").join(system, "id", "left")
+    mailed = F.col("_mail").isNotNull() | F.array_contains("tags", mail)
+    silent = (F.size("email") == 0) & (F.size("phone") == 0) & low("summary").rlike("(?s)" + SYSTEM_SUMMARY)
+    false = low("full_name").isin(*SYSTEM_NAMES) | F.contains(low("current_role"), F.lit("work account access")) | low("full_name").rlike(SUBJECT) | silent | F.col("_system").isNotNull()
+    return met.filter(~(F.coalesce(mailed, F.lit(False)) & false) & ~low("full_name").rlike(NO_NAME)).drop("_mail", "_system")
+
+
 def relevance(search: str) -> Column:
     """Lower is better: name, contacts, role, place, tags, parts of them, summary, anything else."""
     q = short_fold(F.trim(F.lit(search)))
@@ -71,16 +96,20 @@ def relevance(search: str) -> Column:
 SORTS = {
     "quality": [F.desc, "quality_score"],
     "updated": [F.desc_nulls_last, "updated_at"],
-    "recent": [F.desc_nulls_last, "updated_at"],
-    "oldest": [F.asc_nulls_last, "updated_at"],
+    "recent": [F.desc_nulls_last, "latest_at"],
+    "oldest": [F.asc_nulls_last, "latest_at"],
     "name": [F.asc, "full_name"],
     "name_desc": [F.desc, "full_name"],
 }
 
 
 def page(candidates: DataFrame, q: DirectoryQuery) -> DataFrame:
-    """One page in a total order: relevance first where there is a search, then the sort, then the id."""
+    """One page in a total order: relevance first where there is a search, then the sort, then the id.
+
+    "recent" and "oldest" go by ``latest_at``, the newest source's date, if the rows have it.
+    """
     order, column = SORTS[q.sort]
+    column = "updated_at" if column not in candidates.columns else column
     rows = filtered(candidates, q).withColumn("tier", relevance(q.search) if q.search else F.lit(0))
     limit = min(LIMITS[1], max(LIMITS[0], q.limit))
     return rows.orderBy("tier", order(column), "id").offset(max(0, q.offset)).limit(limit)

@@ -185,3 +185,54 @@ def config_merge_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     change = F.create_map(F.lit("k"), (k.cast("long") + 1).cast("string"), F.lit("kind"), F.col("event_type"))
     kept = F.map_filter(stored, lambda n, v: ~F.array_contains(F.map_keys(change), n) & (n != "cursor"))
     return table(spark, sf_dir, "events").select("event_id", F.explode(F.map_concat(kept, change)).alias("key", "value"))
+
+
+#: Tables that point to a candidate: name, its column, and the columns that make a row of one candidate unique.
+_CHILDREN = {"sources": ("candidate_id", ("source_id",)), "contents": ("candidate_id", ("id",)), "tags": ("id", ("tag",)), "contacts": ("id", ("value",))}
+
+
+@query(with_("candidates sources contents", """
+, m AS (SELECT id AS old, duplicate_of AS new FROM candidates WHERE duplicate_of IS NOT NULL),
+u AS (SELECT 'sources' AS child, candidate_id AS parent, CAST(source_id AS VARCHAR) AS k FROM sources UNION ALL SELECT 'contents', candidate_id, CAST(id AS VARCHAR) FROM contents
+      UNION ALL SELECT 'tags', id, unnest(tags) FROM candidates UNION ALL SELECT 'contacts', id, unnest(list_concat(email, phone)) FROM candidates),
+r AS (SELECT DISTINCT child, coalesce(new, parent) AS parent, k FROM u LEFT JOIN m ON m.old = parent)
+SELECT child, count(*) AS rows, count(DISTINCT parent) AS parents FROM r GROUP BY child"""))
+def duplicate_merge_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every table that points to a duplicate points to its keeper; rows that the keeper has already go."""
+    c = candidates(spark, sf_dir)
+    moved = c.filter("duplicate_of is not null").select(F.col("id").alias("old"), F.col("duplicate_of").alias("new"))
+    tables = {"sources": sources(spark, sf_dir), "contents": contents(spark, sf_dir), "tags": c.select("id", F.explode("tags").alias("tag")), "contacts": c.select("id", F.explode(F.concat("email", "phone")).alias("value"))}
+    out = None
+    for name, (parent, unique) in _CHILDREN.items():
+        rows = repointed(tables[name].select(parent, *unique).toDF("parent", "k"), "parent", moved).distinct()
+        counted = rows.agg(F.lit(name).alias("child"), F.count("*").alias("rows"), F.countDistinct("parent").alias("parents"))
+        out = counted if out is None else out.unionByName(counted)
+    return out
+
+
+@query(with_("candidates sources contents", """
+, g AS (SELECT id FROM candidates WHERE id % 17 = 0)
+SELECT 'candidates' AS name, count(*) AS rows FROM candidates WHERE id % 17 <> 0 UNION ALL SELECT 'sources', count(*) FROM sources WHERE candidate_id NOT IN (SELECT id FROM g)
+UNION ALL SELECT 'contents', count(*) FROM contents WHERE candidate_id NOT IN (SELECT id FROM g) UNION ALL SELECT 'pages', (SELECT count(*) FROM contents WHERE candidate_id NOT IN (SELECT id FROM g) AND raw_text IS NOT NULL)"""))
+def delete_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deleted candidates take their sources and documents with them, and documents their texts: anti-joins level by level."""
+    c, d = candidates(spark, sf_dir), contents(spark, sf_dir)
+    gone = c.filter("id % 17 = 0").select(F.col("id").alias("candidate_id"))
+    gone_documents = d.select("id", "candidate_id").join(gone, "candidate_id", "left_semi").select(F.col("id").alias("document_id"))
+    pages = d.filter("raw_text is not null").select(F.col("id").alias("document_id"))
+    left = {"candidates": c.select(F.col("id").alias("candidate_id")).join(gone, "candidate_id", "left_anti"), "sources": sources(spark, sf_dir).join(gone, "candidate_id", "left_anti"), "contents": d.join(gone, "candidate_id", "left_anti"), "pages": pages.join(gone_documents, "document_id", "left_anti")}
+    out = None
+    for name, rows in left.items():
+        n = rows.agg(F.lit(name).alias("name"), F.count("*").alias("rows"))
+        out = n if out is None else out.unionByName(n)
+    return out
+
+
+@query(with_("candidates", """
+SELECT id, sha256(full_name || '|' || city || '|' || array_to_string(list_sort(list_distinct(list_transform(email, lambda e: lower(e)))), ',') || '|' || array_to_string(list_sort(list_distinct(tags)), ',')) AS fingerprint, TRUE AS same FROM candidates"""))
+def record_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record's hash: the order and case of contacts and tags don't count, nor does what came as raw; other fields do."""
+    listed = lambda c: F.array_join(F.array_sort(F.array_distinct(F.transform(c, F.lower))), ",")
+    own = lambda mail, tags: F.sha2(F.concat_ws("|", "full_name", "city", listed(mail), listed(tags)), 256)
+    mixed = own(F.reverse(F.concat(F.transform("email", F.upper), F.col("email"))), F.reverse("tags"))
+    return candidates(spark, sf_dir).select("id", own(F.col("email"), F.col("tags")).alias("fingerprint"), (own(F.col("email"), F.col("tags")) == mixed).alias("same"))

@@ -104,11 +104,13 @@ def merged_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged_matches([document_matches(contents(spark, sf_dir), PLAN.groups), profile_matches(candidates(spark, sf_dir), PLAN.groups)])
 
 
-@query(with_("candidates", """
-SELECT id, CAST(least(100, greatest(0, round(0.01 * (id % 7) * 60 + quality_score * 0.4))) AS INTEGER) AS score FROM candidates"""))
+@query(with_("candidates contents", MATCHES + """
+SELECT c.id, CAST(least(100, greatest(0, round(hits / 3.0 * 60 + quality_score * 0.4))) AS INTEGER) AS score FROM dm JOIN candidates c ON c.id = dm.candidate_id"""))
 def prerank_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = F.round(0.01 * (F.col("id") % 7) * 60 + F.col("quality_score") * 0.4)
-    return candidates(spark, sf_dir).select("id", F.least(F.lit(100), F.greatest(F.lit(0), points.cast("int"))).alias("score"))
+    """The score that retrieval alone gives: the share of the request's groups that a document shows, and quality."""
+    found = document_matches(contents(spark, sf_dir), PLAN.groups).select(F.col("candidate_id").alias("id"), "hits")
+    points = F.round(F.col("hits") / len(PLAN.groups) * 60 + F.col("quality_score") * 0.4)
+    return candidates(spark, sf_dir).join(F.broadcast(found), "id").select("id", F.least(F.lit(100), F.greatest(F.lit(0), points.cast("int"))).alias("score"))
 
 
 @query("""
