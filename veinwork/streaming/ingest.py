@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veinwork.functions.dates import backoff_minutes
+from veinwork.streaming.sinks import shared_folder
 
 
 def until_known(df: DataFrame, by: list[str], order: list[Column], known: Column) -> DataFrame:
@@ -26,24 +25,16 @@ def claim(queue: DataFrame, now: Column, batch: int) -> DataFrame:
 
 
 def deduplicated_counts(spark: SparkSession, path: str) -> DataFrame:
-    """Counts by type of a stream in which every event arrives twice, deduplicated by id within a watermark."""
-    schema = spark.read.parquet(path).schema
-    folder, name = path.rsplit("/", 1)
-    once = spark.readStream.schema(schema).option("pathGlobFilter", name if "." in name else "*").parquet(folder if name.endswith(".parquet") and not _is_folder(spark, path) else path)
-    events = once.withColumn("ts", F.col("ts").cast("timestamp"))
-    twice = events.withColumn("_n", F.explode(F.array(F.lit(1), F.lit(2)))).drop("_n")
-    kept = twice.withWatermark("ts", "60 days").dropDuplicatesWithinWatermark(["event_id"])
-    sink = f"counts_{uuid.uuid4().hex}"
-    run = kept.groupBy("event_type").agg(F.count("*").alias("events"), F.round(F.sum("value"), 4).alias("worth")).writeStream.outputMode("complete").format("memory").queryName(sink).trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.table(sink)
-
-
-def _is_folder(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
-
-
-def upsert_stream(stream: DataFrame, merge, checkpoint: str):
-    """A stream whose batches are merged by ``merge(batch, batch_id)``; replays are harmless if it is idempotent."""
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Counts by type of a feed whose files all arrive twice, in two runs over one checkpoint: each event counts once.
+
+    What a batch keeps is written under its number, so a batch that runs again replaces itself.
+    """
+    folder, events = shared_folder(spark, "feed"), spark.read.parquet(path)
+    for run in ("first", "second"):
+        events.write.parquet(f"{folder}/in/{run}")
+        feed = spark.readStream.schema(events.schema).option("recursiveFileLookup", "true").parquet(f"{folder}/in")
+        kept = feed.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "60 days").dropDuplicatesWithinWatermark(["event_id"])
+        write = lambda batch, number: batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+        kept.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/cursor").trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.parquet(f"{folder}/out")
+    return out.groupBy("event_type").agg(F.count("*").alias("events"), F.round(F.sum("value"), 4).alias("worth"))
