@@ -25,11 +25,15 @@ def group_hits(padded: Column, groups: tuple[tuple[str, ...], ...]) -> Column:
     return reduce(lambda a, b: a + b, [one(g).cast("int") for g in groups], F.lit(0))
 
 
-def document_matches(docs: DataFrame, groups: tuple[tuple[str, ...], ...], most: int = MOST) -> DataFrame:
-    """(candidate_id, document_id, hits): each candidate's best document that holds a term of any group; the top ones."""
-    own = spread(docs.filter("raw_text is not null").select("id", "candidate_id", "is_primary", "raw_text"))
+def document_matches(texts: DataFrame, docs: DataFrame, groups: tuple[tuple[str, ...], ...], most: int = MOST) -> DataFrame:
+    """(candidate_id, document_id, hits): each candidate's best document that holds a term of any group; the top ones.
+
+    ``texts`` has id, candidate_id and raw_text; ``docs`` tells which are primary, and meets the hits alone.
+    """
+    own = spread(texts.filter("raw_text is not null").select("id", "candidate_id", "raw_text"))
     words = once(own, _words=padded_words(F.col("raw_text")))
-    scored = once(words, hits=group_hits(F.col("_words"), groups)).filter("hits > 0")
+    hits = once(words, hits=group_hits(F.col("_words"), groups)).filter("hits > 0").select("id", "candidate_id", "hits")
+    scored = hits.join(docs.select("id", "is_primary"), "id")
     best = first_by(scored, ["candidate_id"], [-F.col("hits"), ~F.col("is_primary"), F.col("id")], F.struct(F.col("id").alias("document_id"), "hits"), "b")
     return best.select("candidate_id", "b.*").orderBy(F.desc("hits"), "candidate_id").limit(most)
 
@@ -47,7 +51,7 @@ def merged_matches(passes: list[DataFrame], most: int = MOST) -> DataFrame:
     return best.orderBy(F.desc("hits"), "candidate_id").limit(most)
 
 
-def hydrate(matches: DataFrame, candidates: DataFrame, docs: DataFrame, sources: DataFrame) -> DataFrame:
+def hydrate(matches: DataFrame, candidates: DataFrame, texts: DataFrame, docs: DataFrame, sources: DataFrame) -> DataFrame:
     """Wide rows of the few matched candidates: what ranking needs, from sides reduced before they join.
 
     ``matches`` is a top-k of at most a few hundred ids. It is fetched once and
@@ -55,10 +59,13 @@ def hydrate(matches: DataFrame, candidates: DataFrame, docs: DataFrame, sources:
     """
     top = matches.select("candidate_id", "document_id", "hits")
     few = F.broadcast(matches.sparkSession.createDataFrame(top.collect(), top.schema))
-    own = docs.join(few.select("candidate_id"), "candidate_id", "left_semi")
-    counts = own.groupBy("candidate_id").agg(F.count("*").alias("documents"))
-    best = first_by(own.join(few, "candidate_id"), ["candidate_id"], [~F.col("id").eqNullSafe(F.col("document_id")), ~F.col("is_primary"), F.col("id")], F.struct(F.col("file_name").alias("document_name"), F.substring("raw_text", 1, DOCUMENT_CHARS).alias("document_text"), F.col("raw_text").alias("document_whole")), "b")
+    # Which document is best is told without texts; only the chosen ones' texts are read.
+    own = docs.select("candidate_id", "id", "is_primary").join(few, "candidate_id")
+    best_id = F.min(F.struct((~F.col("id").eqNullSafe(F.col("document_id"))).alias("x"), (~F.col("is_primary")).alias("y"), "id"))["id"]
+    counts = own.groupBy("candidate_id").agg(F.count("*").alias("documents"), best_id.alias("best_id"))
+    found = texts.select(F.col("id").alias("best_id"), F.col("file_name").alias("document_name"), F.substring("raw_text", 1, DOCUMENT_CHARS).alias("document_text"), F.col("raw_text").alias("document_whole"))
+    best = found.join(F.broadcast(counts), "best_id").drop("best_id")
     latest = sources.filter("is_active").join(few.select("candidate_id"), "candidate_id", "left_semi").groupBy("candidate_id").agg(F.max("source_created_at").alias("latest"))
     rows = candidates.join(few, F.col("id") == F.col("candidate_id")).drop("document_id")
-    rows = rows.join(counts, "candidate_id", "left").join(best, "candidate_id", "left").join(latest, "candidate_id", "left")
-    return rows.withColumns({"documents": F.coalesce("documents", F.lit(0)), "document_name": F.col("b.document_name"), "document_text": F.col("b.document_text"), "document_whole": F.col("b.document_whole")}).drop("b", "candidate_id")
+    rows = rows.join(best, "candidate_id", "left").join(latest, "candidate_id", "left")
+    return rows.withColumn("documents", F.coalesce("documents", F.lit(0))).drop("candidate_id")

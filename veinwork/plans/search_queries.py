@@ -11,7 +11,7 @@ from veinwork.operators.relational import once, spread
 from veinwork.operators.retrieval import document_matches, group_hits, hydrate, merged_matches, padded_words, profile_matches
 from veinwork.plans.base import query
 from veinwork.plans.interpret import Plan
-from veinwork.sources.tables import AS_OF, candidates, contents, sources, table, with_
+from veinwork.sources.tables import AS_OF, candidates, contents, sources, table, texts, with_
 
 #: A plan over words that the test tables hold.
 PLAN = Plan(text="building que the", roles=("building",), skills=("que", "the"), groups=(("building",), ("que", "los"), ("the", "and")), variants={"que": ("que", "los"), "the": ("the", "and")})
@@ -28,7 +28,7 @@ HITS = " + ".join(_hit("x", g) for g in PLAN.groups)
 @query(with_("contents", f"SELECT id FROM (SELECT id, {WORDS} AS x FROM contents WHERE raw_text IS NOT NULL) WHERE " + " AND ".join(f"{_hit('x', g)} = 1" for g in PLAN.groups[1:])))
 def boolean_term_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with a term of every group."""
-    d = once(spread(contents(spark, sf_dir).filter("raw_text is not null").select("id", "raw_text")), words=padded_words(F.col("raw_text")))
+    d = once(spread(texts(spark, sf_dir).filter("raw_text is not null").select("id", "raw_text")), words=padded_words(F.col("raw_text")))
     return d.filter(group_hits(F.col("words"), PLAN.groups[1:]) == 2).select("id")
 
 
@@ -41,7 +41,7 @@ dm AS (SELECT candidate_id, id AS document_id, hits FROM (SELECT *, row_number()
 @query(with_("contents", MATCHES + " SELECT candidate_id, document_id, hits FROM dm"))
 def expanded_term_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each candidate's best document over all forms of the terms; the top 300."""
-    return document_matches(contents(spark, sf_dir), PLAN.groups)
+    return document_matches(texts(spark, sf_dir), contents(spark, sf_dir), PLAN.groups)
 
 
 SCORED = """
@@ -65,7 +65,8 @@ z AS (SELECT *, CASE WHEN aligned THEN raw ELSE least(69, raw) END AS score FROM
 def _hydrated(spark: SparkSession, sf_dir: str) -> DataFrame:
     live = candidates(spark, sf_dir).filter("duplicate_of IS NULL AND status = 'active'")
     docs = contents(spark, sf_dir)
-    return hydrate(document_matches(docs, PLAN.groups), live, docs, sources(spark, sf_dir))
+    own = texts(spark, sf_dir)
+    return hydrate(document_matches(own, docs, PLAN.groups), live, own, docs, sources(spark, sf_dir))
 
 
 @query(with_("candidates contents sources", MATCHES + SCORED + " SELECT id, score, aligned AS role_aligned, eligible FROM z"))
@@ -101,14 +102,14 @@ u AS (SELECT * FROM dm UNION ALL SELECT * FROM pm)
 SELECT candidate_id, max(hits) AS hits, arg_max(document_id, hits) FILTER (WHERE document_id IS NOT NULL) AS document_id FROM u GROUP BY candidate_id ORDER BY hits DESC, candidate_id LIMIT 300"""))
 def merged_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Profile and document passes as one list: the best rank and the matched document of each candidate."""
-    return merged_matches([document_matches(contents(spark, sf_dir), PLAN.groups), profile_matches(candidates(spark, sf_dir), PLAN.groups)])
+    return merged_matches([document_matches(texts(spark, sf_dir), contents(spark, sf_dir), PLAN.groups), profile_matches(candidates(spark, sf_dir), PLAN.groups)])
 
 
 @query(with_("candidates contents", MATCHES + """
 SELECT c.id, CAST(least(100, greatest(0, round(hits / 3.0 * 60 + quality_score * 0.4))) AS INTEGER) AS score FROM dm JOIN candidates c ON c.id = dm.candidate_id"""))
 def prerank_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The score that retrieval alone gives: the share of the request's groups that a document shows, and quality."""
-    found = document_matches(contents(spark, sf_dir), PLAN.groups).select(F.col("candidate_id").alias("id"), "hits")
+    found = document_matches(texts(spark, sf_dir), contents(spark, sf_dir), PLAN.groups).select(F.col("candidate_id").alias("id"), "hits")
     points = F.round(F.col("hits") / len(PLAN.groups) * 60 + F.col("quality_score") * 0.4)
     return candidates(spark, sf_dir).join(F.broadcast(found), "id").select("id", F.least(F.lit(100), F.greatest(F.lit(0), points.cast("int"))).alias("score"))
 

@@ -84,6 +84,13 @@ def contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, candidate_id, file_name, raw_text) of ``contents``: a projection of the scan alone, so that whole texts meet no other table."""
+    d = F.col("doc_id")
+    name = F.concat(F.lit("file-"), d.cast("string"), F.when(d % 3 == 0, ".pdf").when(d % 3 == 1, ".docx").otherwise(".txt"))
+    return table(spark, sf_dir, "documents").select(d.alias("id"), (d % 300).alias("candidate_id"), name.alias("file_name"), F.col("text").alias("raw_text"))
+
+
 CTE = {
     "candidates": """candidates AS (
   SELECT c_custkey AS id, c_name AS full_name, c_mktsegment AS current_role_, n_name AS city, r_name AS country,
