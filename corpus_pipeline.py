@@ -3,6 +3,13 @@
 ``run`` chains the stages; a runner may as well write each stage's result and
 read it back as the next one's ``docs``. All stages but the last return the
 columns of documents; the last one returns the mix, one row for each document.
+
+Cases, for all stages: an empty table stays empty; further columns pass through
+whatever their names. A null text has no letter, so the first stage drops it,
+and each later stage, given one, keeps it (the last takes none of it). Rows
+equal in doc_id and text get one verdict; in the third stage one of them stays.
+A null doc_id is a row like any other, and is kept only where its group has no
+other id. Ties go to the smallest doc_id, then to the smallest hash of the text.
 """
 
 from __future__ import annotations
