@@ -151,6 +151,30 @@ def test_trigrams_and_mixtures():
     assert m.mixture("") == ([], 0.0) and language.Model([], np.zeros((0, language.BUCKETS))).mixture("abc") == ([], 0.0)
 
 
+def test_mixtures_against_exhaustive_search():
+    import itertools
+    import math
+
+    rng = random.Random(11)
+    words = {"aa": ["amor", "casa", "lento", "rio"], "bb": ["nicht", "zwischen", "und", "haus"], "cc": ["the", "there", "and", "with"]}
+    make = lambda ws, n: " ".join(rng.choice(ws) for _ in range(n))
+    counts = np.array([np.bincount(language.trigrams(make(ws, 2000)), minlength=language.BUCKETS) for ws in words.values()], float)
+    model = language.Model(list(words), counts)
+    for shares in ((40, 0, 0), (30, 30, 0), (20, 10, 30), (50, 2, 0), (1, 0, 60)):
+        text = " ".join(make(ws, n) for ws, n in zip(words.values(), shares))
+        grams, n = np.unique(language.trigrams(text), return_counts=True)
+        best = None
+        for size in (1, 2, 3):
+            for own in itertools.combinations(range(3), size):
+                grid = [p for p in itertools.product(np.linspace(0, 1, 101), repeat=size) if abs(sum(p) - 1) < 1e-9]
+                like, mix = max((float(np.log(np.maximum(np.array(p) @ model.p[list(own)][:, grams], 1e-300)) @ n), p) for p in grid)
+                score = like - language.PENALTY * 0.5 * (size - 1) * math.log(n.sum() + 1)
+                if best is None or score > best[0]:
+                    best = (score, {list(words)[k]: p for k, p in zip(own, mix)})
+        got = dict(model.mixture(text)[0])
+        assert set(got) == {k for k, p in best[1].items() if p > 0} and all(abs(got[k] - best[1][k]) < 0.03 for k in got)
+
+
 def test_random_field_marginals_against_enumeration():
     import itertools
 

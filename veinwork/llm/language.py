@@ -31,6 +31,8 @@ from veinwork.llm.common import append_columns, arrow_batches
 
 BUCKETS = 1 << 16
 #: Weight of the penalty for a further language: so many times half the logarithm of the number of trigrams.
+#: Languages with a smaller share in the mixture of all are in no set.
+LEAST_SHARE = 0.01
 PENALTY = 6.0
 ROUNDS = 20
 SMOOTHING = 0.5
@@ -112,16 +114,16 @@ class Model:
         pi, _ = _em(p, n, total, np.full(len(self.langs), 1 / len(self.langs), np.float32))
         order = np.argsort(-pi, kind="stable")
         best = None
-        for k in range(1, len(order) + 1):
+        # Sets of the k languages with the largest shares in the mixture of all; those with hardly any can't pay for their penalty.
+        for k in range(1, max(1, int((pi >= LEAST_SHARE).sum())) + 1):
             own = order[:k]
             if k == 1:
                 share, like = np.ones(1, np.float32), float(self.log_p[own[0], grams] @ n)
             else:
                 share, like = _em(p[own], n, total, (pi[own] + 1e-6) / (pi[own] + 1e-6).sum())
             score = like - PENALTY * 0.5 * (k - 1) * math.log(total + 1)
-            if best is not None and score <= best[0]:
-                break
-            best = (score, own, share, like)
+            if best is None or score > best[0]:
+                best = (score, own, share, like)
         _, own, share, like = best
         ranked = sorted(zip((self.langs[i] for i in own), map(float, share)), key=lambda x: (-x[1], x[0]))
         return ranked, like / total
