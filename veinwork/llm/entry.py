@@ -14,6 +14,8 @@ from veinwork.llm.language import predict_held_out
 from veinwork.llm.mixing import mix_digest
 from veinwork.llm.pii import personal_data
 from veinwork.llm.sequencer import change_digest
+from veinwork.llm.sharding import shard_digest
+from veinwork.llm.spelling import spelling_forms
 from veinwork.llm.substrings import substring_digest
 from veinwork.llm.tokens import token_counts
 
@@ -64,12 +66,20 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_digest(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_forms(table(spark, sf_dir, "documents"))
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_digest(table(spark, sf_dir, "documents"))
+
+
 def op13_sequenced_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return change_digest(table(spark, sf_dir, "client_changes"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op2_language_id, op3_quality_rules, op4_line_dedup, op5_decontamination, op6_token_counts, op7_source_mix, op8_personal_data, op9_jaccard_join, op10_suffix_dedup, op13_sequenced_changes, tool_call_chains)}
+    return {f.__name__: f for f in (op1_chat_format, op2_language_id, op3_quality_rules, op4_line_dedup, op5_decontamination, op6_token_counts, op7_source_mix, op8_personal_data, op9_jaccard_join, op10_suffix_dedup, op11_spelling_variants, op12_sharding, op13_sequenced_changes, tool_call_chains)}
 
 
 def oracle_sql() -> dict[str, str]:
