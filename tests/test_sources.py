@@ -1,5 +1,6 @@
 """Readers over files made here, connectors resumed from their cursors, sinks over replays."""
 
+import datetime as dt
 import io
 import json
 import zipfile
@@ -7,7 +8,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from veinwork.sources import connectors, readers
+from veinwork.sources import connectors, landed, readers
 from veinwork.streaming.sinks import Stored, rejecting, upsert
 
 BOX = b"""From a@x Mon Jan  1 00:00:00 2001
@@ -126,14 +127,133 @@ def test_paged_source_resumes(spark):
     assert sorted(r.id for r in head.rows.collect()) == list(range(10, 25))
 
 
-def test_mail_feed_carries_over_what_a_run_leaves(spark):
-    feed = spark.createDataFrame([(f"m{k}", k, "2001-01-01") for k in range(1, 26)], "message_id string, history long, day string").withColumn("day", F.col("day").cast("date"))
-    config, seen = {"budget": 10}, []
-    for _ in range(4):
+def test_paged_source_goes_on_where_a_run_stopped(spark, monkeypatch):
+    monkeypatch.setattr(connectors, "FULL_PAGES", 6)
+    monkeypatch.setattr(connectors, "HEAD_PAGES", 2)
+    config, seen = {}, []
+
+    def run(n):
+        nonlocal config
+        sync = connectors.CONNECTORS["paged"](config, pages(spark, n))
+        seen.extend(r.id for r in sync.rows.collect())
+        config = config | sync.config
+
+    while config.get("page", 1) is not None:
+        run(20)
+    assert sorted(set(seen)) == list(range(10, 210)) and config["known"][0] == "10"
+    # rows that came in at the head, on more pages than a run looks at: ids 1010 and so on, before the known ones
+    fresh = spark.createDataFrame([(p, [{"id": 1000 + 10 * p + k} for k in range(10)]) for p in range(1, 8)] + [(p + 7, [{"id": 10 * p + k} for k in range(10)]) for p in range(1, 21)], "page long, rows array<struct<id:long>>")
+    seen.clear()
+    for _ in range(5):
+        sync = connectors.CONNECTORS["paged"](config, fresh)
+        seen.extend(r.id for r in sync.rows.collect())
+        config |= sync.config
+        if config["page"] is None:
+            break
+    assert set(seen) == set(range(1010, 1080)) and config["known"][0] == "1010" and config["page"] is None
+
+
+def test_nested_source_delivers_every_page(spark):
+    stages = spark.createDataFrame([(1, "a", p, [{"id": 10 * p + k} for k in range(2)]) for p in range(30)], "offer long, stage string, page long, rows array<struct<id:long>>")
+    config, seen = {}, []
+    for _ in range(6):
+        sync = connectors.CONNECTORS["nested"](config, stages)
+        seen += [r.id for r in sync.rows.collect()]
+        config |= sync.config
+    assert sorted(seen) == sorted(10 * p + k for p in range(30) for k in range(2)) and sync.message == "at the end"
+
+
+MESSAGES = "message_id string, history long, day date"
+
+
+def messages(spark, first, last, per_day=40):
+    return spark.createDataFrame([(f"m{k:05}", k, dt.date(2001, 1, 1) + dt.timedelta(days=k // per_day)) for k in range(first, last + 1)], MESSAGES)
+
+
+@pytest.mark.parametrize("budget", [40, 119, 1000])
+@pytest.mark.parametrize("start", [{}, {"mark": 100, "day": "2001-01-03"}, {"mark": 10, "day": "2001-01-13"}])
+def test_mail_delivers_every_message_over_any_budget(spark, budget, start):
+    feed = messages(spark, 50, 600).cache()  # older ones are gone: mark 10 has expired
+    config, seen, runs = {"budget": budget, **start}, [], 0
+    while True:
+        run = connectors.CONNECTORS["mail"](config, feed)
+        seen += [r.message_id for r in run.rows.collect()]
+        if run.config["run"] is not None:
+            assert "mark" not in run.config and "day" not in run.config  # neither moves while anything is left
+        config, runs = config | run.config, runs + 1
+        if config["run"] is None:
+            break
+    first = {None: 50, 100: 101, 10: 40 * 11}[start.get("mark")]
+    assert sorted(seen) == [f"m{k:05}" for k in range(first, 601)] and len(set(seen)) == len(seen)
+    assert config["mark"] == 600 and config["day"] == str(dt.date(2001, 1, 16)) and runs == -(-(601 - first) // budget)
+
+
+def test_mail_that_comes_in_during_a_run_waits_for_the_next(spark):
+    config = {"budget": 30}
+    first = connectors.CONNECTORS["mail"](config, messages(spark, 1, 50))
+    config |= first.config
+    feed = messages(spark, 1, 70)
+    seen = [r.message_id for r in first.rows.collect()]
+    for _ in range(3):
         run = connectors.CONNECTORS["mail"](config, feed)
         seen += [r.message_id for r in run.rows.collect()]
         config |= run.config
-    assert sorted(seen) == sorted(f"m{k}" for k in range(1, 26)) and config["mark"] == 25 and config["mode"] == "history"
+    assert sorted(seen) == [f"m{k:05}" for k in range(1, 71)] and config["mark"] == 70
+
+
+# Landed feeds
+
+
+FIELDS = "position long, id long, mode string"
+
+
+def test_landed_feed_is_read_in_order_by_table_and_by_runs(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(landed, "RANGE", 7)
+    feed, read = str(tmp_path / "feed"), str(tmp_path / "read")
+    landed.land(spark.range(100).select((1000 - F.col("id")).alias("id")).repartition(5), feed, ["id"])
+    landed.register(spark)
+    whole = spark.read.format("landed").schema(FIELDS).load(feed)
+    assert [tuple(r) for r in whole.orderBy("position").collect()] == [(k, 901 + k, "table") for k in range(100)]
+    assert whole.rdd.getNumPartitions() == 15
+    out = landed.deliver(spark, feed, FIELDS, read, most=30, runs=2)
+    assert sorted(r.position for r in out.collect()) == list(range(60))
+    landed.land(spark.range(5), feed, ["id"])
+    out = landed.deliver(spark, feed, FIELDS, read, most=30)
+    got = sorted(map(tuple, out.collect()))
+    assert got == [(k, 901 + k, "historical") for k in range(100)] + [(100 + k, k, "history") for k in range(5)]
+
+
+def test_landed_feed_survives_a_kill(spark, tmp_path):
+    feed, read = str(tmp_path / "feed"), str(tmp_path / "read")
+    landed.land(spark.range(90), feed, ["id"])
+    landed.register(spark)
+
+    def broken(batch, number):
+        batch.count()
+        raise RuntimeError("killed")
+
+    stream = lambda: spark.readStream.format("landed").schema(FIELDS).option("most", 40).option("cursor", f"{read}/cursor").load(feed)
+    with pytest.raises(Exception, match="killed"):
+        stream().writeStream.foreachBatch(broken).option("checkpointLocation", f"{read}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    seen: dict[int, list[int]] = {}
+    for _ in range(4):
+        stream().writeStream.foreachBatch(lambda batch, number: seen.setdefault(number, sorted(r.id for r in batch.collect()))).option("checkpointLocation", f"{read}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    assert seen[0] == list(range(40)) and sorted(x for v in seen.values() for x in v) == list(range(90))
+
+
+def test_landing_that_failed_isnt_read(spark, tmp_path):
+    feed = str(tmp_path / "feed")
+    landed.land(spark.range(3), feed, ["id"])
+    spark.range(9).withColumn("position", F.col("id")).write.parquet(f"{feed}/landing-lost/_file=0")
+    landed.register(spark)
+    assert spark.read.format("landed").schema("id long").load(feed).count() == 3
+    assert landed.land(spark.range(0), feed, ["id"])["next"] == 3
+
+
+def test_positions_follow_a_total_order(spark):
+    df = spark.range(500).select(F.col("id"), (F.col("id") % 3).alias("k")).repartition(7)
+    got = {(r.k, r.id): r.position for r in landed.positions(df, F.desc("k"), "id").collect()}
+    assert [got[k] for k in sorted(got, key=lambda x: (-x[0], x[1]))] == list(range(500))
 
 
 def test_upsert_survives_replays(spark, tmp_path):

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veinwork.functions.perrow import per_row
 from veinwork.plans.base import query
-from veinwork.sources import connectors, readers
+from veinwork.sources import connectors, landed, readers
 from veinwork.sources.tables import table
+from veinwork.streaming.sinks import shared_folder
 
 #: Messages in a mail box, rows in a delimited file.
 BOX, FILE = 20, 50
@@ -142,10 +143,27 @@ def _pages(spark: SparkSession, sf_dir: str, size: int = 25) -> DataFrame:
     return pages.unionByName(last)
 
 
-@query("""SELECT c_custkey AS id, c_name AS name, CAST(c_custkey // 25 + 1 AS BIGINT) AS page FROM customer WHERE c_custkey // 25 + 1 <= 60""")
+@query("""SELECT c_custkey AS id, c_name AS name, CAST(c_custkey // 25 + 1 AS BIGINT) AS page FROM customer""")
 def paged_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A first run over pages, up to the most pages of a run; repeated pages don't count."""
-    return connectors.CONNECTORS["paged"]({}, _pages(spark, sf_dir)).rows.select("id", "name", "page")
+    """All runs over pages, each of at most so many pages from where the one before ended; repeated pages don't count."""
+    feed = shared_folder(spark, "pages")
+    landed.land(_pages(spark, sf_dir), f"{feed}/landed", ["page"])
+    pages = landed.deliver(spark, f"{feed}/landed", "page long, rows array<struct<id:long,name:string>>", f"{feed}/read", most=400)
+    return connectors.flat(connectors.new_pages(pages, None)).select("id", "name", "page")
+
+
+@query("""SELECT c_custkey AS id, c_name AS name FROM customer""")
+def paged_source_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The connector over few large pages, more than a run takes: the cursor holds the page to go on from."""
+    config, out = {}, None
+    pages = _pages(spark, sf_dir, size=max(1, table(spark, sf_dir, "customer").count() // 150)).cache()
+    for _ in range(4):
+        sync = connectors.CONNECTORS["paged"](config, pages)
+        config |= sync.config
+        out = sync.rows if out is None else out.unionByName(sync.rows)
+        if config["page"] is None:
+            break
+    return out.dropDuplicates(["id"]).select("id", "name")
 
 
 @query("""SELECT c_custkey AS id FROM customer WHERE c_custkey < 30""")
@@ -157,12 +175,10 @@ def paged_source_head(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 SELECT run, o_orderkey AS id FROM (
   SELECT o_orderkey, (row_number() OVER (ORDER BY offer, stage, page, o_orderkey) - 1) // 15 AS run
-  FROM (SELECT o_orderkey, o_custkey % 7 AS offer, o_orderstatus AS stage, o_orderkey // 1000 AS page FROM orders) WHERE page <= 20) WHERE run < 3""")
+  FROM (SELECT o_orderkey, o_custkey % 7 AS offer, o_orderstatus AS stage, o_orderkey // 1000 AS page FROM orders)) WHERE run < 3""")
 def nested_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three runs over offers, stages and pages, each from the cursor that the one before left."""
-    o = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 7).alias("offer"), F.col("o_orderstatus").alias("stage"), F.floor(F.col("o_orderkey") / 1000).alias("page"), F.struct(F.col("o_orderkey").alias("id")).alias("row"))
-    stages = o.groupBy("offer", "stage", "page").agg(F.array_sort(F.collect_list("row")).alias("rows"))
-    config, out = {}, None
+    stages, config, out = _stages(spark, sf_dir), {}, None
     for run in range(3):
         sync = connectors.CONNECTORS["nested"](config, stages)
         config |= sync.config
@@ -171,23 +187,40 @@ def nested_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def _stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 7).alias("offer"), F.col("o_orderstatus").alias("stage"), F.floor(F.col("o_orderkey") / 1000).alias("page"), F.struct(F.col("o_orderkey").alias("id")).alias("row"))
+    return o.groupBy("offer", "stage", "page").agg(F.array_sort(F.collect_list("row")).alias("rows"))
+
+
+@query("""SELECT o_orderkey AS id, o_custkey % 7 AS offer, o_orderstatus AS stage, CAST(o_orderkey // 1000 AS BIGINT) AS page FROM orders""")
+def nested_source_landed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All applications of all offers and stages, page by page in several runs of a stream whose offset is the cursor."""
+    feed = shared_folder(spark, "stages")
+    landed.land(_stages(spark, sf_dir), f"{feed}/landed", ["offer", "stage", "page"])
+    known = landed.manifest(f"{feed}/landed")
+    out = landed.deliver(spark, f"{feed}/landed", "offer long, stage string, page long, rows array<struct<id:long>>", f"{feed}/read", most=known["next"] // 3 + 1)
+    return out.select("offer", "stage", "page", F.explode("rows.id").alias("id"))
+
+
 @query("""
-WITH e AS (SELECT event_id, row_number() OVER (ORDER BY event_id) AS n, count(*) OVER () AS c FROM events)
-SELECT 'historical' AS mode, event_id AS id FROM e WHERE n <= c - 10
-UNION ALL SELECT 'history', event_id FROM e WHERE n > c - 10
-UNION ALL SELECT 'overlap', event_id FROM events WHERE CAST(ts AS DATE) >= (SELECT max(CAST(ts AS DATE)) FROM events) - 1""")
+WITH e AS (SELECT event_id, CAST(ts AS DATE) AS day, row_number() OVER (ORDER BY event_id DESC) AS n FROM events)
+SELECT 'historical' AS mode, event_id AS id FROM e WHERE n > 10
+UNION ALL SELECT 'history', event_id FROM e WHERE n <= 10
+UNION ALL SELECT 'overlap', event_id FROM e WHERE day >= (SELECT max(day) FROM e) - 1""")
 def mail_feed_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A feed read from the start, then from its mark, then after the mark was lost."""
-    e = table(spark, sf_dir, "events")
-    feed = e.select(F.col("event_id").alias("message_id"), F.row_number().over(Window.orderBy("event_id")).alias("history"), F.col("ts").cast("date").alias("day"))
-    total = feed.count()
-    sync = connectors.CONNECTORS["mail"]
-    first = sync({"budget": total}, feed.filter(F.col("history") <= total - 10))
-    second = sync({**first.config, "budget": total}, feed)
-    day = feed.agg(F.max("day")).first()[0]
-    lost = sync({"mark": -5, "day": str(day), "budget": total}, feed)
-    out = None
-    for s in (first, second, lost):
-        rows = s.rows.select(F.lit(s.config["mode"]).alias("mode"), F.col("message_id").alias("id"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    """A feed read from the start in several runs, then from its mark, then after the mark was lost."""
+    e = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("date").alias("day"))
+    cut = e.orderBy(F.desc("event_id")).limit(10).agg(F.min("event_id")).first()[0]
+    folder = shared_folder(spark, "mail")
+    feed, read = f"{folder}/landed", f"{folder}/read"
+    fields = "event_id long, mode string"
+    landed.land(e.filter(F.col("event_id") < cut), feed, ["event_id"], "day")
+    known = landed.manifest(feed)
+    landed.deliver(spark, feed, fields, read, most=known["next"] // 2 + 1)
+    known = landed.land(e.filter(F.col("event_id") >= cut), feed, ["event_id"], "day")
+    landed.deliver(spark, feed, fields, read)
+    unseen = landed.land(e.filter(F.col("event_id") >= cut), feed, ["event_id"], "day")  # retired before the stream has read them
+    landed.land(e, feed, ["event_id"], "day")
+    landed.retire(feed, unseen["next"])
+    out = landed.deliver(spark, feed, fields, read)
+    return out.select("mode", F.col("event_id").alias("id"))

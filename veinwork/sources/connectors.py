@@ -14,12 +14,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pages of a full run, and of one that only looks at the head.
-MOST_PAGES, FULL_PAGES, HEAD_PAGES = 100, 60, 3
+#: Pages of a run of a full sweep, and of one that begins at the head where ids are known.
+FULL_PAGES, HEAD_PAGES = 60, 3
 #: Known ids that a cursor keeps.
 MOST_KNOWN = 200
-#: Pages of a stage, and new rows of a run, of a nested source.
-STAGE_PAGES, RUN_ROWS = 20, 15
+#: New rows of a run of a nested source.
+RUN_ROWS = 15
 
 
 @dataclass(frozen=True)
@@ -43,13 +43,14 @@ def connector(name: str) -> Callable[[Connector], Connector]:
     return register
 
 
-def new_pages(pages: DataFrame, most: int) -> DataFrame:
-    """Pages 1 to ``most`` whose ids aren't those of an earlier page: a source that repeats its last page ends there.
+def new_pages(pages: DataFrame, most: int | None) -> DataFrame:
+    """Pages up to ``most`` whose ids aren't those of an earlier page: a source that repeats its last page ends there.
 
     ``pages`` has page (from 1) and rows (array of structs with id).
     """
     ids = F.array_join(F.array_sort(F.transform("rows", lambda r: r["id"].cast("string"))), ",")
-    marked = pages.filter((F.col("page") <= min(most, MOST_PAGES)) & (F.size("rows") > 0)).withColumn("fingerprint", F.sha2(ids, 256))
+    upto = F.lit(True) if most is None else F.col("page") <= most
+    marked = pages.filter(upto & (F.size("rows") > 0)).withColumn("fingerprint", F.sha2(ids, 256))
     first = marked.groupBy("fingerprint").agg(F.min_by("rows", "page").alias("rows"), F.min("page").alias("page"))
     return first.select("page", "rows")
 
@@ -62,14 +63,26 @@ def flat(pages: DataFrame) -> DataFrame:
 
 @connector("paged")
 def paged(config: dict, pages: DataFrame) -> Sync:
-    """All pages at first; later the head, up to the first known id."""
-    known = list(config.get("known", []))
-    rows = flat(new_pages(pages, HEAD_PAGES if known else FULL_PAGES))
+    """Sweeps from the first page to the first known id, or to the end.
+
+    A run takes ``FULL_PAGES`` pages, or ``HEAD_PAGES`` where ids are known. A sweep that
+    hasn't come to its end goes on in the next run from the page that the cursor
+    holds, one page back, since rows that came in meanwhile push others to later pages. The ids that the
+    sweep began with become the known ones when it ends.
+    """
+    known, at, head = [str(x) for x in config.get("known", [])], config.get("page"), config.get("head")
+    last = (at or 1) + (HEAD_PAGES if known and at is None else FULL_PAGES) - 1
+    rows = flat(new_pages(pages.filter(F.col("page") >= max(1, (at or 1) - 1)), last))
+    ended = pages.filter((F.col("page") > last) & (F.size("rows") > 0)).isEmpty()
     if known:
         spot = rows.filter(F.col("id").cast("string").isin(known)).agg(F.min(F.struct("page", "place")).alias("end"))
+        ended = ended or spot.first()["end"] is not None
         rows = rows.crossJoin(F.broadcast(spot)).filter(F.col("end").isNull() | (F.struct("page", "place") < F.col("end"))).drop("end")
-    head = [str(r["id"]) for r in rows.select("id", "page", "place").orderBy("page", "place").limit(MOST_KNOWN).collect()]
-    return Sync(rows, f"{len(head)} new at the head", {"known": [*head, *[k for k in known if k not in head]][:MOST_KNOWN]})
+    if head is None:
+        head = [str(r["id"]) for r in rows.select("id", "page", "place").orderBy("page", "place").limit(MOST_KNOWN).collect()]
+    if not ended:
+        return Sync(rows, f"up to page {last}", {"known": known, "page": last + 1, "head": head})
+    return Sync(rows, "at the end", {"known": [*head, *[k for k in known if k not in head]][:MOST_KNOWN], "page": None, "head": None})
 
 
 @connector("nested")
@@ -77,9 +90,9 @@ def nested(config: dict, stages: DataFrame) -> Sync:
     """Offers, their stages, and applications page by page: the cursor is the last application taken.
 
     ``stages`` has offer, stage, page, and rows (array of structs with id). A run
-    takes at most ``RUN_ROWS`` applications after the cursor, each id once.
+    takes at most ``RUN_ROWS`` applications after the cursor, each id once; the next one goes on from there.
     """
-    rows = stages.filter(F.col("page") <= STAGE_PAGES).select("offer", "stage", "page", F.posexplode("rows").alias("place", "row"))
+    rows = stages.select("offer", "stage", "page", F.posexplode("rows").alias("place", "row"))
     spot = F.struct("offer", "stage", "page", "place")
     first = rows.groupBy("row.id").agg(F.min(F.struct("offer", "stage", "page", "place", "row")).alias("f")).select("f.offer", "f.stage", "f.page", "f.place", "f.row.*")
     at = config.get("cursor")
@@ -97,31 +110,29 @@ def mail(config: dict, changes: DataFrame) -> Sync:
 
     ``changes`` has message_id, history (growing) and day. A mark that the feed
     no longer covers falls back to the days since the last run, less one of
-    overlap. What exceeds ``budget`` stays for the next run, and the mark is moved only
-    when nothing stays.
+    overlap. What a run may take is fixed when it begins (``run``: its mode, the newest history and day it
+    covers); of it, ``budget`` messages are delivered at a time, in the order of history and id, and
+    ``run.at`` is the last one delivered. Mark and day move when nothing of the run is left.
     """
-    mark, budget = config.get("mark"), int(config.get("budget", 120))
-    carried = [str(x) for x in config.get("remaining", [])]
-    oldest, newest, last_day = changes.agg(F.min("history"), F.max("history"), F.max("day")).first()
-    expired = mark is not None and oldest is not None and mark < oldest - 1
-    if mark is None:
-        mode, found = "historical", changes
-    elif expired:
-        mode, found = "overlap", changes.filter(F.col("day") >= F.date_sub(F.lit(config.get("day")).cast("date"), 1))
-    else:
-        mode, found = "history", changes.filter(F.col("history") > mark)
+    mark, budget, run = config.get("mark"), int(config.get("budget", 120)), config.get("run")
+    if run is None:
+        oldest, newest, last_day = changes.agg(F.min("history"), F.max("history"), F.max("day")).first()
+        expired = mark is not None and oldest is not None and mark < oldest - 1
+        run = {"mode": "historical" if mark is None else "overlap" if expired else "history", "upto": newest, "last_day": None if last_day is None else str(last_day), "at": None}
+    found = changes.filter(F.col("history") <= F.lit(run["upto"]))
+    if run["mode"] == "overlap" and config.get("day") is not None:
+        found = found.filter(F.col("day") >= F.date_sub(F.lit(config["day"]).cast("date"), 1))
+    elif run["mode"] == "history":
+        found = found.filter(F.col("history") > mark)
     ids = found.groupBy("message_id").agg(F.min("history").alias("history"))
-    if carried:
-        ids = ids.unionByName(changes.filter(F.col("message_id").cast("string").isin(carried)).groupBy("message_id").agg(F.min("history").alias("history"))).dropDuplicates(["message_id"])
-    skip = [str(x) for x in config.get("done", [])]
-    if skip:
-        ids = ids.filter(~F.col("message_id").cast("string").isin(skip))
-    order = ("history", "message_id")
-    now = ids.orderBy(*order).limit(budget)
-    left = [str(r[0]) for r in ids.join(now.select("message_id"), "message_id", "left_anti").orderBy(*order).limit(500).select("message_id").collect()]
-    update = {"mode": mode, "remaining": left, "day": str(last_day) if last_day else config.get("day")}
+    if run["at"] is not None:
+        history, message = run["at"]
+        kind = dict(ids.dtypes)["message_id"]
+        ids = ids.filter((F.col("history") > history) | ((F.col("history") == history) & (F.col("message_id") > F.lit(message).cast(kind))))
+    now = ids.orderBy("history", "message_id").limit(budget)
+    last = now.orderBy(F.desc("history"), F.desc("message_id")).first()
+    at = run["at"] if last is None else [last["history"], str(last["message_id"])]
+    left = 0 if last is None else ids.filter((F.col("history") > last["history"]) | ((F.col("history") == last["history"]) & (F.col("message_id") > last["message_id"]))).count()
     if left:
-        update["done"] = [*skip, *[str(r[0]) for r in now.select("message_id").collect()]]
-    else:
-        update |= {"mark": newest if newest is not None else mark, "done": []}
-    return Sync(now, f"{mode}: {len(left)} left", update)
+        return Sync(now, f"{run['mode']}: {left} left", {"mode": run["mode"], "run": {**run, "at": at}})
+    return Sync(now, f"{run['mode']}: nothing left", {"mode": run["mode"], "run": None, "mark": mark if run["upto"] is None else run["upto"], "day": run["last_day"] or config.get("day")})

@@ -8,6 +8,7 @@ finds its number or its rows there and changes nothing.
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -18,11 +19,20 @@ from veinwork.functions.dates import backoff_minutes
 from veinwork.operators.merge import merged_rows
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The session's folder under ``spark.checkpoint.dir``; only a local session without one (a test) gets its own."""
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir isn't set: it has to name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="veinwork-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder that driver and executors share: under the checkpoint folder, else (locally) the warehouse."""
-    conf = spark.sparkContext.getConf()
-    base = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh folder that driver and executors share."""
+    return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 class Stored:
