@@ -5,9 +5,9 @@ or replaced code point turns one into the other. With a pad at both ends a word
 of L code points has L + 1 grams of two; one edit destroys at most two of the
 longer word's, so near words of lengths up to M share M - 1 of them, at
 positions that differ by nothing (a replaced code point, or before the edit) or
-by one. So one shared gram is among the three rarest of each word, and words
-are dealt by these grams, their positions and M. In each group a task builds
-the inverted index of the group's words; for each word it heap-merges the
+by one. Two of the shared grams are then among the four rarest of the longer and the three rarest of the
+shorter word (of both four, where lengths are equal), so words are dealt by pairs of their rarest grams with their positions and M. In each group a task
+builds the inverted index of the group's words; for each word it heap-merges the
 postings of its grams under the limits of length and position, keeps words that
 come up M - 1 times, and verifies them code point by code point.
 
@@ -119,19 +119,34 @@ def near(a: str, b: str) -> bool:
     return a[k + 1 :] == b[k + 1 :] if len(a) == len(b) else a[k:] == b[k + 1 :]
 
 
+def keys(word: str, order: dict[str, int]) -> set[tuple[int, int]]:
+    """(pair of grams with their positions as one number, longest length) of the groups where a word has to meet its near words.
+
+    Pairs that share a number by chance meet in vain, no more.
+    """
+    size = len(word)
+    rarest = heapq.nsmallest(4, ((order[g], p) for p, g in enumerate(grams(word))))
+    out = set()
+    for k, one in enumerate(rarest):
+        for other in rarest[k + 1 :]:
+            (g, p), (h, q) = sorted((one, other), key=lambda x: x[1])
+            shifts = ((0, 0), (0, 1), (1, 1)) if other in rarest[:3] else ()
+            out |= {(_number(g, p, h, q), size), *((_number(g, p + a, h, q + b), size + 1) for a, b in shifts)}
+    return out
+
+
+def _number(g: int, p: int, h: int, q: int) -> int:
+    return g << 48 | h << 34 | (p & 0x1FFFF) << 17 | q & 0x1FFFF
+
+
 def _dealt(order: dict[str, int]) -> Callable:
-    """Rows (gram, position, longest length, word, n): where a word has to meet its near words."""
+    """Rows (key, longest, word, n): a word in each of its groups."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for word, n in zip(*(c.to_pylist() for c in batch.columns)):
-                size = len(word)
-                rarest = heapq.nsmallest(3, ((order[g], g, p) for p, g in enumerate(grams(word))))
-                for g, p, m in dict.fromkeys(x for _, g, p in rarest for x in ((g, p, size), (g, p, size + 1), (g, p + 1, size + 1))):
-                    rows.append((g, p, m, word, n))
-            cols = list(zip(*rows)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int64()))], names=["gram", "pos", "longest", "word", "n"])
+            rows = [(key, longest, word, n) for word, n in zip(*(c.to_pylist() for c in batch.columns)) for key, longest in keys(word, order)]
+            cols = list(zip(*rows)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.string(), pa.int64()))], names=["key", "longest", "word", "n"])
 
     return run
 
@@ -172,7 +187,7 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out.clear()
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.string(), pa.int64()))], names=["a", "na", "b", "nb"])
 
-    for (_, _, longest, i, j), group in groupby(rows(), key=lambda r: r[:5]):
+    for (_, longest, i, j), group in groupby(rows(), key=lambda r: r[:4]):
         left, right = {}, {}
         for *_, block, word, n in group:
             (left if block == i else right)[word] = n
@@ -195,9 +210,10 @@ def near_pairs(words: DataFrame) -> DataFrame:
     each = words.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("word") + 1), lambda k: F.substring(padded, k, F.lit(2)))).alias("gram"))
     counts = sorted((r[1], r[0]) for r in each.groupBy("gram").count().collect())  # at most 92 x 92 rows
     order = {g: k for k, (_, g) in enumerate(counts)}
-    dealt = words.select("word", "n").mapInArrow(_dealt(order), "gram string, pos int, longest int, word string, n long")
-    group = ["gram", "pos", "longest"]
-    many = dealt.groupBy(*group).agg(F.count("*").alias("rows")).filter("rows > 1").withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("int")).drop("rows")
+    dealt = words.select("word", "n").mapInArrow(_dealt(order), "key long, longest int, word string, n long")
+    group = ["key", "longest"]
+    sizes = dealt.groupBy(*group).agg(F.count("*").alias("rows"), F.max(F.length("word")).alias("most"))
+    many = sizes.filter("rows > 1 AND most = longest").select(*group, F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
     split = dealt.join(many, group).withColumn("block", F.pmod(F.xxhash64("word"), F.col("blocks")).cast("int"))
     split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     split = split.select(*group, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "word", "n")
