@@ -26,6 +26,14 @@ MARKS = "".join(map(chr, range(0x300, 0x370)))
 SHORT_FROM, SHORT_TO = "áéíóúüñÁÉÍÓÚÜÑ", "aeiouunAEIOUUN"
 
 
+_PLAIN = str.maketrans({**dict(zip(FOLD_FROM, FOLD_TO)), **dict.fromkeys(MARKS)})
+
+
+def plain_text(text: str) -> str:
+    """``plain`` of a Python string."""
+    return text.translate(_PLAIN).lower()
+
+
 def plain(c: Column) -> Column:
     """Lower case without diacritics."""
     return F.lower(F.translate(c, FOLD_FROM + MARKS, FOLD_TO))

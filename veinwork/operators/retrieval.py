@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from veinwork.functions.text import plain
 from veinwork.operators.relational import first_by, once, spread
+from veinwork.operators.textindex import TextIndex
 
 MOST = 300
-DOCUMENT_CHARS = 12_000
 
 
 def padded_words(text: Column) -> Column:
@@ -25,9 +25,20 @@ def group_hits(padded: Column, groups: tuple[tuple[str, ...], ...]) -> Column:
     return reduce(lambda a, b: a + b, [one(g).cast("int") for g in groups], F.lit(0))
 
 
+def indexed_matches(index: TextIndex, docs: DataFrame, groups: tuple[tuple[str, ...], ...], most: int = MOST) -> DataFrame:
+    """(candidate_id, document_id, hits): each candidate's best document that holds a term of any group; the top ones.
+
+    Read from the postings of the terms; no text is read. ``docs`` (id, candidate_id, is_primary) meets the hits alone.
+    """
+    scored = index.hits(groups).join(docs.select("id", "candidate_id", "is_primary"), "id")
+    best = first_by(scored, ["candidate_id"], [-F.col("hits"), ~F.col("is_primary"), F.col("id")], F.struct(F.col("id").alias("document_id"), "hits"), "b")
+    return best.select("candidate_id", "b.*").orderBy(F.desc("hits"), "candidate_id").limit(most)
+
+
 def document_matches(texts: DataFrame, docs: DataFrame, groups: tuple[tuple[str, ...], ...], most: int = MOST) -> DataFrame:
     """(candidate_id, document_id, hits): each candidate's best document that holds a term of any group; the top ones.
 
+    The same as ``indexed_matches`` by a scan of all texts, for texts without an index.
     ``texts`` has id, candidate_id and raw_text; ``docs`` tells which are primary, and meets the hits alone.
     """
     own = spread(texts.filter("raw_text is not null").select("id", "candidate_id", "raw_text"))
@@ -63,7 +74,7 @@ def hydrate(matches: DataFrame, candidates: DataFrame, texts: DataFrame, docs: D
     own = docs.select("candidate_id", "id", "is_primary").join(few, "candidate_id")
     best_id = F.min(F.struct((~F.col("id").eqNullSafe(F.col("document_id"))).alias("x"), (~F.col("is_primary")).alias("y"), "id"))["id"]
     counts = own.groupBy("candidate_id").agg(F.count("*").alias("documents"), best_id.alias("best_id"))
-    found = texts.select(F.col("id").alias("best_id"), F.col("file_name").alias("document_name"), F.substring("raw_text", 1, DOCUMENT_CHARS).alias("document_text"), F.col("raw_text").alias("document_whole"))
+    found = texts.select(F.col("id").alias("best_id"), F.col("file_name").alias("document_name"), F.col("raw_text").alias("document_text"))
     best = found.join(F.broadcast(counts), "best_id").drop("best_id")
     latest = sources.filter("is_active").join(few.select("candidate_id"), "candidate_id", "left_semi").groupBy("candidate_id").agg(F.max("source_created_at").alias("latest"))
     rows = candidates.join(few, F.col("id") == F.col("candidate_id")).drop("document_id")

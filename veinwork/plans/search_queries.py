@@ -2,22 +2,33 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veinwork.functions.text import fold
 from veinwork.operators.ranking import explanation, one_per_person, rank, score
-from veinwork.operators.relational import once, spread
-from veinwork.operators.retrieval import document_matches, group_hits, hydrate, merged_matches, padded_words, profile_matches
+from veinwork.operators.retrieval import hydrate, indexed_matches, merged_matches, profile_matches
+from veinwork.operators.textindex import TextIndex
 from veinwork.plans.base import query
-from veinwork.plans.interpret import Plan
-from veinwork.sources.tables import AS_OF, candidates, contents, sources, table, texts, with_
+from veinwork.plans.interpret import Plan, interpret, retrieval_terms
+from veinwork.sources.tables import AS_OF, candidates, document_facts, sources, table, texts, with_
+from veinwork.streaming.sinks import checkpoint_folder, shared_folder
 
 #: A plan over words that the test tables hold.
 PLAN = Plan(text="building que the", roles=("building",), skills=("que", "the"), groups=(("building",), ("que", "los"), ("the", "and")), variants={"que": ("que", "los"), "the": ("the", "and")})
 WORDS = "' ' || trim(regexp_replace(regexp_replace(lower(strip_accents(raw_text)), '[^\\pL\\pN]+', ' ', 'g'), '\\s+', ' ', 'g')) || ' '"
 
 
+def index_of(spark: SparkSession, sf_dir: str) -> TextIndex:
+    """The stored index of the texts in a folder: written by the first search of a session, brought up to date when files differ."""
+    name = hashlib.sha256(sf_dir.encode()).hexdigest()[:16]
+    index = TextIndex(spark, f"{checkpoint_folder(spark)}/text-index-{name}")
+    index.follow(texts(spark, sf_dir).select("id", F.col("raw_text").alias("text")))
+    return index
+
+
 def _hit(x: str, group: tuple[str, ...]) -> str:
     return "CAST((" + " OR ".join(f"contains({x}, ' {t} ')" for t in group) + ") AS INTEGER)"
 
@@ -28,8 +39,7 @@ HITS = " + ".join(_hit("x", g) for g in PLAN.groups)
 @query(with_("contents", f"SELECT id FROM (SELECT id, {WORDS} AS x FROM contents WHERE raw_text IS NOT NULL) WHERE " + " AND ".join(f"{_hit('x', g)} = 1" for g in PLAN.groups[1:])))
 def boolean_term_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with a term of every group."""
-    d = once(spread(texts(spark, sf_dir).filter("raw_text is not null").select("id", "raw_text")), words=padded_words(F.col("raw_text")))
-    return d.filter(group_hits(F.col("words"), PLAN.groups[1:]) == 2).select("id")
+    return index_of(spark, sf_dir).hits(PLAN.groups[1:]).filter("hits = 2").select("id")
 
 
 MATCHES = f"""
@@ -41,14 +51,14 @@ dm AS (SELECT candidate_id, id AS document_id, hits FROM (SELECT *, row_number()
 @query(with_("contents", MATCHES + " SELECT candidate_id, document_id, hits FROM dm"))
 def expanded_term_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each candidate's best document over all forms of the terms; the top 300."""
-    return document_matches(texts(spark, sf_dir), contents(spark, sf_dir), PLAN.groups)
+    return indexed_matches(index_of(spark, sf_dir), document_facts(spark, sf_dir), PLAN.groups)
 
 
 SCORED = """
 , p AS (SELECT candidate_id, max(hits) AS hits FROM dm GROUP BY 1),
 w AS (SELECT c.*, p.hits, (SELECT count(*) FROM contents k WHERE k.candidate_id = c.id) AS documents,
              (SELECT max(source_created_at) FROM sources s WHERE s.candidate_id = c.id AND s.is_active) AS latest,
-             t.file_name AS document_name, substr(t.raw_text, 1, 12000) AS document_text
+             t.file_name AS document_name, t.raw_text AS document_text
       FROM candidates c JOIN dm ON dm.candidate_id = c.id JOIN p ON p.candidate_id = c.id JOIN contents t ON t.id = dm.document_id WHERE c.duplicate_of IS NULL AND c.status = 'active'),
 f AS (SELECT *, lower(strip_accents(full_name || ' ' || current_role_ || ' ' || city || ' ' || summary || ' ' || array_to_string(tags, ' ') || ' ' || document_name || ' ' || document_text)) AS hay,
              lower(strip_accents(document_text)) AS doc, lower(current_role_) AS role_, lower(current_role_ || ' ' || array_to_string(tags, ' ') || ' ' || city) AS profile FROM w),
@@ -64,9 +74,8 @@ z AS (SELECT *, CASE WHEN aligned THEN raw ELSE least(69, raw) END AS score FROM
 
 def _hydrated(spark: SparkSession, sf_dir: str) -> DataFrame:
     live = candidates(spark, sf_dir).filter("duplicate_of IS NULL AND status = 'active'")
-    docs = contents(spark, sf_dir)
-    own = texts(spark, sf_dir)
-    return hydrate(document_matches(own, docs, PLAN.groups), live, own, docs, sources(spark, sf_dir))
+    docs = document_facts(spark, sf_dir)
+    return hydrate(indexed_matches(index_of(spark, sf_dir), docs, PLAN.groups), live, texts(spark, sf_dir), docs, sources(spark, sf_dir))
 
 
 @query(with_("candidates contents sources", MATCHES + SCORED + " SELECT id, score, aligned AS role_aligned, eligible FROM z"))
@@ -102,14 +111,14 @@ u AS (SELECT * FROM dm UNION ALL SELECT * FROM pm)
 SELECT candidate_id, max(hits) AS hits, arg_max(document_id, hits) FILTER (WHERE document_id IS NOT NULL) AS document_id FROM u GROUP BY candidate_id ORDER BY hits DESC, candidate_id LIMIT 300"""))
 def merged_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Profile and document passes as one list: the best rank and the matched document of each candidate."""
-    return merged_matches([document_matches(texts(spark, sf_dir), contents(spark, sf_dir), PLAN.groups), profile_matches(candidates(spark, sf_dir), PLAN.groups)])
+    return merged_matches([indexed_matches(index_of(spark, sf_dir), document_facts(spark, sf_dir), PLAN.groups), profile_matches(candidates(spark, sf_dir), PLAN.groups)])
 
 
 @query(with_("candidates contents", MATCHES + """
 SELECT c.id, CAST(least(100, greatest(0, round(hits / 3.0 * 60 + quality_score * 0.4))) AS INTEGER) AS score FROM dm JOIN candidates c ON c.id = dm.candidate_id"""))
 def prerank_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The score that retrieval alone gives: the share of the request's groups that a document shows, and quality."""
-    found = document_matches(texts(spark, sf_dir), contents(spark, sf_dir), PLAN.groups).select(F.col("candidate_id").alias("id"), "hits")
+    found = indexed_matches(index_of(spark, sf_dir), document_facts(spark, sf_dir), PLAN.groups).select(F.col("candidate_id").alias("id"), "hits")
     points = F.round(F.col("hits") / len(PLAN.groups) * 60 + F.col("quality_score") * 0.4)
     return candidates(spark, sf_dir).join(F.broadcast(found), "id").select("id", F.least(F.lit(100), F.greatest(F.lit(0), points.cast("int"))).alias("score"))
 
@@ -123,3 +132,40 @@ def cooccurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.col("x").rlike(f"{word('the')}.{{0,100}}{word('and')}|{word('and')}.{{0,100}}{word('the')}").alias("together"))
 
 
+#: A request in words; the test tables' texts are made of invented words like these.
+REQUEST = "Busco ciones con mente, mejor si es cionado o de building"
+_ASKED = retrieval_terms(interpret(REQUEST))
+
+
+@query(with_("contents", f"""
+, d AS (SELECT id, candidate_id, is_primary, {WORDS} AS x FROM contents WHERE raw_text IS NOT NULL),
+h AS (SELECT id, candidate_id, is_primary, {" + ".join(_hit("x", (t,)) for t in _ASKED)} AS hits FROM d)
+SELECT candidate_id, id AS document_id, hits FROM (SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY hits DESC, is_primary DESC, id) AS n FROM h WHERE hits > 0) WHERE n = 1 ORDER BY hits DESC, candidate_id LIMIT 300"""))
+def search_from_request(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request in words: interpreted, its terms looked up in the stored index, the best document of each candidate."""
+    terms = retrieval_terms(interpret(REQUEST))
+    return indexed_matches(index_of(spark, sf_dir), document_facts(spark, sf_dir), tuple((t,) for t in terms))
+
+
+_CHANGED = "CASE WHEN doc_id % 3 = 0 THEN text || ' house añadido' ELSE text END"
+
+
+@query(f"""
+WITH t AS (SELECT doc_id, {_CHANGED} AS raw_text FROM documents WHERE doc_id % 7 <> 0 AND text IS NOT NULL), x AS (SELECT doc_id AS id, {WORDS} AS x FROM t)
+SELECT id, {_hit("x", ("anadido",))} + {_hit("x", ("de la", "of the"))} + {_hit("x", ("house", "the"))} AS hits FROM x WHERE hits > 0""")
+def search_after_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index of all texts, brought up to date (a third of the texts differ, a seventh is gone) and searched in the same run: words and phrases."""
+    before = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    index = TextIndex(spark, shared_folder(spark, "index"))
+    index.refresh(before)
+    index.refresh(before.filter("id % 7 <> 0").withColumn("text", F.when(F.col("id") % 3 == 0, F.concat("text", F.lit(" house añadido"))).otherwise(F.col("text"))))
+    return index.hits((("anadido",), ("de la", "of the"), ("house", "the")))
+
+
+@query(f"""
+WITH w AS (SELECT doc_id, unnest(string_split(trim({WORDS.replace('raw_text', 'text')}), ' ')) AS w FROM documents WHERE text IS NOT NULL),
+f AS (SELECT doc_id, w, count(*) AS n FROM w WHERE w IN ('the', 'que', 'house') GROUP BY ALL)
+SELECT doc_id AS id, round(sum(n / (n + 1)), 9) AS score FROM f GROUP BY doc_id ORDER BY score DESC, id LIMIT 50""")
+def ranked_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 texts that weigh most for three words; blocks of the index whose bound is too low aren't read."""
+    return index_of(spark, sf_dir).top(["the", "que", "house"], 50)

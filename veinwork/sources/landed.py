@@ -20,8 +20,6 @@ run takes all there is.
 
 from __future__ import annotations
 
-import json
-import posixpath
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,48 +28,19 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
+from veinwork.sources.manifest import file_system, read_json, replace_json
 from veinwork.streaming.sinks import checkpoint_folder
 
 #: Positions in one file folder, which is what a task reads.
 RANGE = 500
 
 
-def _fs(folder: str):
-    """(file system, path) of a folder; Spark writes ``file:/x`` where Arrow wants ``file:///x``."""
-    from pyarrow import fs
-
-    if folder.startswith("file:/") and not folder.startswith("file://"):
-        folder = f"file://{folder[5:]}"
-    return fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
-
-
-def _read(folder: str, name: str) -> dict | None:
-    from pyarrow import fs
-
-    files, path = _fs(folder)
-    at = posixpath.join(path, name)
-    if files.get_file_info(at).type == fs.FileType.NotFound:
-        return None
-    with files.open_input_stream(at) as f:
-        return json.loads(f.read())
-
-
-def _replace(folder: str, name: str, value: dict) -> None:
-    """Write under another name, then rename: readers see the old file or the new one."""
-    files, path = _fs(folder)
-    files.create_dir(path, recursive=True)
-    at = posixpath.join(path, f".{name}-{uuid.uuid4().hex}")
-    with files.open_output_stream(at) as f:
-        f.write(json.dumps(value).encode())
-    files.move(at, posixpath.join(path, name))
-
-
 MANIFEST = "manifest.json"
 
 
 def manifest(folder: str) -> dict:
     """The feed's complete landings: name, positions in a file folder, first position, count, first and last day; and the next free position."""
-    return _read(folder, MANIFEST) or {"next": 0, "landings": []}
+    return read_json(folder, MANIFEST) or {"next": 0, "landings": []}
 
 
 def positions(df: DataFrame, *order: Column | str) -> DataFrame:
@@ -105,7 +74,7 @@ def land(records: DataFrame, folder: str, order: list[str], day: str | None = No
     if count:
         known["landings"].append({"name": name, "range": RANGE, "first": known["next"], "count": count, "first_day": first_day, "last_day": last_day})
         known["next"] += count
-    _replace(folder, MANIFEST, known)
+    replace_json(folder, MANIFEST, known)
     return known
 
 
@@ -113,7 +82,7 @@ def retire(folder: str, before: int) -> dict:
     """Give up landings that lie wholly before a position."""
     known = manifest(folder)
     known["landings"] = [x for x in known["landings"] if x["first"] + x["count"] > before]
-    _replace(folder, MANIFEST, known)
+    replace_json(folder, MANIFEST, known)
     return known
 
 
@@ -146,7 +115,7 @@ def _records(piece: Piece, schema) -> Iterator:
     import pyarrow.dataset as ds
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    files, path = _fs(piece.path)
+    files, path = file_system(piece.path)
     wanted = to_arrow_schema(schema)
     stored = ds.dataset(path, filesystem=files, format="parquet")
     keep = (ds.field("position") >= piece.first) & (ds.field("position") < piece.end)
@@ -192,7 +161,7 @@ class _Feed(DataSourceStreamReader):
         if most and not cursor:
             raise ValueError("a budget (most) needs a cursor folder")
         self.folder, self.kind, self.most, self.cursor = folder, schema, most, cursor
-        self.planned = _read(cursor, "planned.json") if cursor else None
+        self.planned = read_json(cursor, "planned.json") if cursor else None
 
     def initialOffset(self) -> dict:
         known = manifest(self.folder)
@@ -217,7 +186,7 @@ class _Feed(DataSourceStreamReader):
     def partitions(self, start: dict, end: dict):
         known = manifest(self.folder)
         if self.cursor:
-            _replace(self.cursor, "planned.json", end)
+            replace_json(self.cursor, "planned.json", end)
         self.planned = end
         first = min((x["first"] for x in known["landings"]), default=known["next"])
         if 0 < start["position"] < first:
@@ -252,7 +221,7 @@ def deliver(spark: SparkSession, feed: str, schema: str, folder: str, most: int
         stream = spark.readStream.format("landed").schema(schema).option("most", most).option("cursor", f"{folder}/cursor").load(feed)
         query = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
         query.awaitTermination()
-        planned = _read(f"{folder}/cursor", "planned.json")
+        planned = read_json(f"{folder}/cursor", "planned.json")
         if planned is None or planned["position"] >= manifest(feed)["next"]:
             break
     return spark.read.schema(schema).parquet(f"{folder}/out")

@@ -91,6 +91,13 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(d.alias("id"), (d % 300).alias("candidate_id"), name.alias("file_name"), F.col("text").alias("raw_text"))
 
 
+def document_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, candidate_id, is_primary) of ``contents``, without texts."""
+    best = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    docs = table(spark, sf_dir, "documents").select("doc_id").join(best, "doc_id", "left")
+    return docs.select(F.col("doc_id").alias("id"), (F.col("doc_id") % 300).alias("candidate_id"), (F.coalesce("quality", F.lit(0)) == 1).alias("is_primary"))
+
+
 CTE = {
     "candidates": """candidates AS (
   SELECT c_custkey AS id, c_name AS full_name, c_mktsegment AS current_role_, n_name AS city, r_name AS country,
