@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veinwork.operators.identity import keepers, repoint, resolved
 from veinwork.operators.merge import merged_rows, one_of_each, rejected, repointed
 from veinwork.operators.relational import keep_first
 from veinwork.functions.names import looks_real
@@ -236,3 +237,55 @@ def record_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = lambda mail, tags: F.sha2(F.concat_ws("|", "full_name", "city", listed(mail), listed(tags)), 256)
     mixed = own(F.reverse(F.concat(F.transform("email", F.upper), F.col("email"))), F.reverse("tags"))
     return candidates(spark, sf_dir).select("id", own(F.col("email"), F.col("tags")).alias("fingerprint"), (own(F.col("email"), F.col("tags")) == mixed).alias("same"))
+
+
+#: Tables that point to a client, and the column.
+_OF_CLIENTS = {"sources": ("sales", "client_id"), "documents": ("documents", "doc_id"), "work_history": ("client_changes", "client_id"), "education": ("orders", "o_custkey"), "processes": ("clicks", "client_id"), "interviews": ("conversations", "conv_id"), "evaluations": ("labels", "doc_id"), "search_results": ("events", "user_id"), "agent_cache": ("lineitem", "l_suppkey")}
+_ROOTS = """
+WITH RECURSIVE ev AS (SELECT client_id AS id, updated_at, 'email' AS kind, lower(email) AS key FROM clients WHERE email IS NOT NULL UNION ALL SELECT client_id, updated_at, 'name', name || '|' || city FROM clients WHERE name IS NOT NULL AND city IS NOT NULL),
+w AS (SELECT *, first_value(id) OVER (PARTITION BY kind, key ORDER BY updated_at DESC NULLS LAST, id) AS keeper FROM ev),
+pairs AS (SELECT id AS old, keeper AS new FROM w WHERE id <> keeper QUALIFY row_number() OVER (PARTITION BY id ORDER BY kind, keeper) = 1),
+walk AS (SELECT old, new FROM pairs UNION ALL SELECT k.old, p.new FROM walk k JOIN pairs p ON p.old = k.new),
+roots AS (SELECT old, new FROM walk WHERE new NOT IN (SELECT old FROM pairs))"""
+
+
+def _client_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(old, new): clients with the same address, or name and city, as a newer one; followed to the last keeper."""
+    c = table(spark, sf_dir, "clients").select(F.col("client_id").alias("id"), "updated_at", "email", "name", "city")
+    by_mail = c.filter("email is not null").select("id", "updated_at", F.lit("email").alias("kind"), F.lower("email").alias("key"))
+    by_name = c.filter("name is not null and city is not null").select("id", "updated_at", F.lit("name").alias("kind"), F.concat_ws("|", "name", "city").alias("key"))
+    newest = F.coalesce(-F.unix_micros(F.col("updated_at").cast("timestamp")), F.lit(2**62))
+    found = keepers(by_mail.unionByName(by_name), ["kind", "key"], [newest, F.col("id")], "id")
+    pairs = found.groupBy(F.col("id").alias("old")).agg(F.min(F.struct("kind", "keeper"))["keeper"].alias("new"))
+    return resolved(pairs)
+
+
+@query(_ROOTS + " SELECT old, new FROM roots")
+def duplicates_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every duplicate client with the last keeper of its chain."""
+    return _client_roots(spark, sf_dir)
+
+
+def _moved_sql(name: str) -> str:
+    of, parent = _OF_CLIENTS[name]
+    if name == "documents":
+        inner = f"SELECT p FROM (SELECT coalesce(new, {parent}) AS p, {parent} AS was, sha256(text) AS h FROM {of} LEFT JOIN roots ON old = {parent}) QUALIFY h IS NULL OR was = first_value(was) OVER (PARTITION BY p, h ORDER BY was <> p, was)"
+    else:
+        inner = f"SELECT coalesce(new, {parent}) AS p FROM {of} LEFT JOIN roots ON old = {parent}"
+    return f"SELECT '{name}' AS child, count(*) AS rows, count(DISTINCT p) AS parents, CAST(sum(p) AS BIGINT) AS total FROM ({inner})"
+
+
+@query(_ROOTS + " " + " UNION ALL ".join(map(_moved_sql, _OF_CLIENTS)))
+def children_of_merged_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All nine child tables after a merge of duplicates: they point to the last keepers; documents whose content a keeper has already are gone."""
+    moved = _client_roots(spark, sf_dir)
+    children = {}
+    for name, (of, parent) in _OF_CLIENTS.items():
+        rows = table(spark, sf_dir, of)
+        children[name] = (rows.select(parent, F.sha2("text", 256).alias("h")) if name == "documents" else rows.select(parent), parent)
+    out = None
+    for name, rows in repoint(children, moved, {"documents": ["h"]}).items():
+        parent = children[name][1]
+        counted = rows.agg(F.lit(name).alias("child"), F.count("*").alias("rows"), F.countDistinct(parent).alias("parents"), F.sum(parent).alias("total"))
+        out = counted if out is None else out.unionByName(counted)
+    return out
