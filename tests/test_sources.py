@@ -270,6 +270,76 @@ def test_upsert_survives_replays(spark, tmp_path):
     assert sorted(map(tuple, stored.read().collect())) == [(1, "x", ["p"]), (2, "y", ["q"]), (3, "z", [])]
 
 
+ONE = "id long, name string"
+
+
+def _people(spark, *rows):
+    return spark.createDataFrame(list(rows), ONE)
+
+
+def _rows(stored):
+    return sorted(map(tuple, stored.read().collect()))
+
+
+def test_upsert_writes_touched_buckets_alone(spark, tmp_path):
+    stored = Stored(spark, str(tmp_path / "t"), buckets=8)
+    upsert(stored, "id", {"name": "incoming"}, "a")(_people(spark, *[(k, f"p{k}") for k in range(100)]), 0)
+    before = stored.commit()["files"]
+    upsert(stored, "id", {"name": "incoming"}, "a")(_people(spark, (5, "new")), 1)
+    after = stored.commit()["files"]
+    assert len(before) == 8 and sum(before[b] != after[b] for b in before) == 1
+    assert dict(_rows(stored))[5] == "new" and len(_rows(stored)) == 100
+
+
+@pytest.mark.parametrize("step", ["data", "draft", "rename", "outcome"])
+def test_a_crash_at_any_step_leaves_a_whole_version(spark, tmp_path, monkeypatch, step):
+    stored = Stored(spark, str(tmp_path / "t"), buckets=4)
+    merge = upsert(stored, "id", {"name": "incoming"}, "a")
+    merge(_people(spark, (1, "x"), (2, "y")), 0)
+    new = _people(spark, (1, "z"), (3, "w"))
+
+    def crash(*args, **kwargs):
+        raise OSError("killed")
+
+    with monkeypatch.context() as m:
+        if step == "data":
+            m.setattr(Stored, "bucket", crash)
+        elif step == "draft":
+            m.setattr("veinwork.streaming.sinks.replace_json", crash)
+        elif step == "rename":
+            m.setattr(Stored, "_publish", crash)
+        note = crash if step == "outcome" else None
+        with pytest.raises(OSError, match="killed"):
+            upsert(stored, "id", {"name": "incoming"}, "a", note)(new, 1)
+    done = step == "outcome"
+    assert _rows(stored) == ([(1, "z"), (2, "y"), (3, "w")] if done else [(1, "x"), (2, "y")])
+    merge(new, 1)  # delivered again
+    assert _rows(stored) == [(1, "z"), (2, "y"), (3, "w")]
+
+
+def test_of_two_writers_one_begins_again(spark, tmp_path, monkeypatch):
+    stored = Stored(spark, str(tmp_path / "t"), buckets=2)
+    upsert(stored, "id", {"name": "incoming"}, "a")(_people(spark, (1, "x")), 0)
+    real, met = Stored._publish, []
+
+    def slow(self, version, commit):
+        if not met:
+            met.append(version)
+            upsert(Stored(spark, str(tmp_path / "t"), buckets=2), "id", {"name": "incoming"}, "b")(_people(spark, (2, "y")), 0)
+        real(self, version, commit)
+
+    monkeypatch.setattr(Stored, "_publish", slow)
+    upsert(stored, "id", {"name": "incoming"}, "a")(_people(spark, (3, "z")), 1)
+    assert _rows(stored) == [(1, "x"), (2, "y"), (3, "z")] and stored.versions() == [0, 1, 2]
+
+
+def test_old_versions_go_and_named_files_stay(spark, tmp_path):
+    stored = Stored(spark, str(tmp_path / "t"), buckets=2)
+    for k in range(6):
+        upsert(stored, "id", {"name": "incoming"}, "a")(_people(spark, (k, "x")), k)
+    assert stored.versions() == [3, 4, 5] and len(_rows(stored)) == 6
+
+
 def test_rejects(spark, tmp_path):
     split = rejecting(str(tmp_path / "ok"), str(tmp_path / "no"), [("small", F.col("v") < 3)])
     df = spark.createDataFrame([(1,), (5,), (None,)], "v int")

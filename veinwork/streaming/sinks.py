@@ -1,22 +1,27 @@
-"""Sinks that survive replays: stored tables as numbered versions, upserts and appends by batch, and state of retried work.
+"""Sinks that survive replays: stored tables in buckets with numbered commits, upserts and appends by batch, and state of retried work.
 
-A stored table is a folder of versions; a batch writes the next version whole
-and then names it as current in one small file, so readers see the old version or the new
-one, and a batch that is delivered again (after a crash, or by a second run)
-finds its number or its rows there and changes nothing.
+A stored table keeps its rows in buckets by a hash of their key. A commit writes anew only the buckets that its rows
+touch, as files of its own, and then publishes one small file that names, for every bucket, where its rows are. The
+file comes into being by a rename that fails where its number is taken: readers see the version before or the new one
+whatever step a writer dies at, and of two writers one has to begin again. A batch that is delivered again (after a crash, or by a
+second run) finds its number or its rows there and changes nothing.
 """
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veinwork.functions.dates import backoff_minutes
 from veinwork.operators.merge import merged_rows
+from veinwork.sources.manifest import read_json, replace_json
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
@@ -35,57 +40,126 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+class Conflict(Exception):
+    """Another writer has published this version."""
+
+
+#: Versions whose files are kept for readers that began with them.
+KEPT_VERSIONS = 3
+
+
 class Stored:
-    """A table of versions in a folder."""
+    """A table in a folder: ``log/<version>.json`` names each bucket's files under ``data``."""
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = 16):
+        self.spark, self.folder, self.buckets = spark, folder, buckets
 
     def _path(self, name: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
 
     def _files(self):
-        return self._path("current").getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return self._path("log").getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def version(self) -> tuple[int, str] | None:
-        """(batch, run) of the current version."""
-        fs, at = self._files(), self._path("current")
-        if not fs.exists(at):
+    def versions(self) -> list[int]:
+        fs, log = self._files(), self._path("log")
+        names = [s.getPath().getName() for s in fs.listStatus(log)] if fs.exists(log) else []
+        return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
+
+    def commit(self, version: int | None = None) -> dict | None:
+        """A version's commit (the latest): version, batch, run, buckets, schema, and files by bucket."""
+        known = self.versions()
+        if not known:
             return None
-        batch, _, run = self.spark.read.text(f"{self.folder}/current").first()[0].partition(" ")
-        return int(batch), run
+        return read_json(f"{self.folder}/log", f"{known[-1] if version is None else version:010}.json")
 
-    def read(self) -> DataFrame | None:
-        v = self.version()
-        return None if v is None else self.spark.read.parquet(f"{self.folder}/v-{v[0]}-{v[1]}")
+    def version(self) -> tuple[int, str] | None:
+        """(batch, run) of the latest commit."""
+        found = self.commit()
+        return None if found is None else (found["batch"], found["run"])
 
-    def write(self, df: DataFrame, batch: int, run: str) -> None:
-        """The next version. Its files are complete before its name is current."""
-        df.write.mode("overwrite").parquet(f"{self.folder}/v-{batch}-{run}")
-        stream = self._files().create(self._path("current"), True)
-        stream.write(bytearray(f"{batch} {run}\n".encode()))
-        stream.close()
+    def bucket(self, key: str) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
+
+    def read(self, only: list[int] | None = None, commit: dict | None = None) -> DataFrame | None:
+        """The latest version's rows (or those of some of its buckets): the named files, no others."""
+        found = commit or self.commit()
+        if found is None:
+            return None
+        paths = [f"{self.folder}/data/{at}" for b, at in sorted(found["files"].items()) if only is None or int(b) in only]
+        schema = T.StructType.fromJson(found["schema"])
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def write(self, df: DataFrame, key: str, batch: int, run: str, touched: list[int] | None = None, after: dict | None = None) -> None:
+        """The next version: ``df`` is all that the ``touched`` buckets (or all) hold from now on, ``after`` the commit that it was made from.
+
+        Files are complete before they are named. A failed writer leaves files that nothing names.
+        """
+        before = after or self.commit()
+        if before is not None and before["buckets"] != self.buckets:
+            raise ValueError(f"the table has {before['buckets']} buckets")
+        name = uuid.uuid4().hex
+        df.withColumn("_bucket", self.bucket(key)).repartition("_bucket").write.partitionBy("_bucket").parquet(f"{self.folder}/data/{name}")
+        fs, own = self._files(), self._path(f"data/{name}")
+        made = [s.getPath().getName() for s in fs.listStatus(own) if s.isDirectory()]
+        gone = set(range(self.buckets) if touched is None else touched)
+        files = {b: at for b, at in (before or {"files": {}})["files"].items() if int(b) not in gone}
+        files |= {d.partition("=")[2]: f"{name}/{d}" for d in made}
+        version = before["version"] + 1 if before else 0
+        self._publish(version, {"version": version, "batch": batch, "run": run, "buckets": self.buckets, "schema": json.loads(df.schema.json()), "files": files})
+        self._forget(version)
+
+    def _publish(self, version: int, commit: dict) -> None:
+        draft = f".{uuid.uuid4().hex}"
+        replace_json(f"{self.folder}/log", draft, commit)
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._files().getUri(), conf)
+        no_overwrite = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:
+            context.rename(self._path(f"log/{draft}"), self._path(f"log/{version:010}.json"), no_overwrite)
+        except Py4JJavaError as error:
+            if "FileAlreadyExists" in str(error.java_exception.getClass()):
+                raise Conflict(f"version {version} exists") from None
+            raise
+
+    def _forget(self, version: int) -> None:
+        """Drop versions before the last few, and files that none of the rest names."""
+        fs, old = self._files(), [v for v in self.versions() if v <= version - KEPT_VERSIONS]
+        if not old:
+            return
+        kept = {at for v in self.versions() if v not in old for at in self.commit(v)["files"].values()}
+        gone = {at for v in old for at in self.commit(v)["files"].values()} - kept
+        for v in old:
+            fs.delete(self._path(f"log/{v:010}.json"), False)
+        for at in gone:
+            fs.delete(self._path(f"data/{at}"), True)
 
 
 def upsert(stored: Stored, key: str, rules: dict[str, str], run: str, on_outcome: Callable[[int, DataFrame], None] | None = None) -> Callable[[DataFrame, int], None]:
     """A batch function for ``foreachBatch``: merge by key, and report how many rows were new, updated or unchanged.
 
-    A batch of the same run that was written before is skipped; rows that come again with the same content are unchanged.
+    Reads and writes the buckets that the batch's keys fall into. A batch of the same run that was written before is skipped;
+    rows that come again with the same content are unchanged. If another writer was first, the batch is merged again into what that one left.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
-        done = stored.version()
-        if done and done[1] == run and done[0] >= number:
-            return
-        old = stored.read()
-        values = batch.groupBy(key).agg(*[F.max_by(c, F.struct(*[x for x in batch.columns if x != key])).alias(c) for c in rules])
-        empty = batch.sparkSession.createDataFrame([], values.schema)
-        merged = merged_rows(old.select(values.columns) if old is not None else empty, values, key, rules)
-        merged = merged.persist()
-        if on_outcome:
-            on_outcome(number, merged.filter("outcome <> 'kept'").groupBy("outcome").agg(F.count("*").alias("rows")))
-        stored.write(merged.drop("outcome"), number, run)
-        merged.unpersist()
+        values = batch.groupBy(key).agg(*[F.max_by(c, F.struct(*[x for x in batch.columns if x != key])).alias(c) for c in rules]).persist()
+        while True:
+            before = stored.commit()
+            if before and before["run"] == run and before["batch"] >= number:
+                break
+            touched = sorted(r[0] for r in values.select(stored.bucket(key)).distinct().collect())  # at most the table's buckets
+            old = stored.read(touched, before) if before else batch.sparkSession.createDataFrame([], values.schema)
+            merged = merged_rows(old.select(values.columns), values, key, rules).persist()
+            try:
+                stored.write(merged.drop("outcome"), key, number, run, touched, before)
+            except Conflict:
+                merged.unpersist()
+                continue
+            if on_outcome:
+                on_outcome(number, merged.filter("outcome <> 'kept'").groupBy("outcome").agg(F.count("*").alias("rows")))
+            merged.unpersist()
+            break
+        values.unpersist()
 
     return merge
 
