@@ -114,15 +114,36 @@ def test_places_order_and_drop(spark):
     assert {r.id: r.score <= 79 for r in ranked.collect()}[2]
 
 
-def test_months_of_experience():
-    now = 2024 * 12 + 1
-    count = lambda t, *terms: experience.months(t, list(terms) or ["abogado"], now)
-    assert count("Abogado 03/2019 - 02/2021") == 24 and count("abogado, enero de 2020 hasta dic. 2020") == 12
-    assert count("Abogado 2022 – actualidad") == 25 and count("abogado 2018 a 2019; abogado 06/2019-12/2020") == 36
-    assert count("abogado 2021-2019") is None and count("abogado 1950-2010") is None and count(None) is None and experience.months("2019-2020", [], now) is None
-    assert count("abogado" + " x" * 200 + " 2019-2020") is None
-    assert count("Abogado con más de 4 años") == 48 and count("7 meses de experiencia como abogado") == 7
-    assert count("x " * 9000 + "Abogado 2019-2020") == 24
+def test_months_of_experience(spark):
+    cases = {
+        "Abogado 03/2019 - 02/2021": 24,
+        "abogado, enero de 2020 hasta dic. 2020": 12,
+        "Abogado 2022 – actualidad": 25,
+        "abogado 2018 a 2019; abogado 06/2019-12/2020": 36,
+        "abogado 2021-2019": None,
+        "abogado 1950-2010": None,
+        "Abogado 13/2019 - 00/2020": 2,
+        "abogado" + " x" * 200 + " 2019-2020": None,
+        "Abogado con más de 4 años": 48,
+        "7 meses de experiencia como abogado": 7,
+        "abogado con 2 años y con 5 años": 24,
+        "2 años y 5 años como abogado": 24,
+        "abogado. con 5 años": None,
+        "abogado con 60 años": None,
+        "x " * 9000 + "Abogado 2019-2020": 24,
+        "": None,
+        None: None,
+    }
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(cases)], "id long, t string")
+    as_of = F.lit("2024-01-31").cast("timestamp_ntz")
+    got = df.select("id", experience.relevant_months(F.col("t"), ("Abogado",), as_of).alias("m"), experience.relevant_months(F.col("t"), (), as_of).alias("none")).collect()
+    assert {r.id: r.m for r in got} == dict(enumerate(cases.values())) and all(r.none is None for r in got)
+
+
+def test_occurrences_know_where_they_are(spark):
+    df = spark.createDataFrame([("12 ab 3",), ("",), ("x",), ("77",)], "t string")
+    got = [[tuple(x) for x in r[0]] for r in df.select(experience.occurrences(F.col("t"), "[0-9]+")).collect()]
+    assert got == [[(0, "12"), (6, "3")], [], [], [(0, "77")]]
 
 
 def test_required_experience_drops_the_unproven(spark):
@@ -131,7 +152,7 @@ def test_required_experience_drops_the_unproven(spark):
     assert {r.id: r.experience_months for r in ranked.collect()} == {0: 60}
     assert sorted(ids(rank(df, interpret("Abogada, al menos 3 años"), now()))) == [0, 1, 3]
     assert len(ids(rank(df, interpret("Abogada"), now()))) == 4
-    late = df.filter("id = 2").withColumn("document_whole", F.lit("x " * 9000 + "abogada 2015 - 2020"))
+    late = df.filter("id = 2").withColumn("document_text", F.lit("x " * 9000 + "abogada 2015 - 2020"))
     assert ids(rank(late, interpret("Abogada, mas de 3 años"), now())) == [2]
 
 

@@ -20,15 +20,20 @@ def month_index(c: Column) -> Column:
     return F.year(c) * 12 + F.month(c)
 
 
-def union_months(df: DataFrame, key: str, start: str, end: str) -> DataFrame:
-    """Months covered by each key's half-open intervals; touching ones are one. Sorted within the key's row."""
-    spans = F.array_sort(F.collect_set(F.struct(F.col(start).alias("s"), F.col(end).alias("e"))))
+def covered_months(spans: Column) -> Column:
+    """Months covered by half-open intervals, an array of (s, e) sorted by start; touching ones are one."""
     zero = F.struct(F.lit(0).alias("n"), F.lit(-1).alias("reach"))
 
     def step(acc, x):
         return F.struct((acc["n"] + F.greatest(F.lit(0), x["e"] - F.greatest(x["s"], acc["reach"]))).alias("n"), F.greatest(acc["reach"], x["e"]).alias("reach"))
 
-    return df.groupBy(key).agg(F.aggregate(spans, zero, step, lambda a: a["n"]).cast("long").alias("months"))
+    return F.aggregate(spans, zero, step, lambda a: a["n"]).cast("long")
+
+
+def union_months(df: DataFrame, key: str, start: str, end: str) -> DataFrame:
+    """Months covered by each key's half-open intervals; touching ones are one. Sorted within the key's row."""
+    spans = F.array_sort(F.collect_set(F.struct(F.col(start).alias("s"), F.col(end).alias("e"))))
+    return df.groupBy(key).agg(covered_months(spans).alias("months"))
 
 
 def safe_timestamp(c: Column) -> Column:

@@ -1,93 +1,130 @@
-"""Months of experience that a text shows in an area: date ranges near its terms, and statements in words.
+"""Months of experience that a text shows in an area, as columns: date ranges near its terms, and amounts in words.
 
-Plain Python, since it needs the offsets of matches; it runs on the few hydrated
-candidates only, over whole texts. Months count from year 0, ends are exclusive.
+Everything is an array of occurrences with offsets in the folded text, built by Spark's own pattern functions; so it runs inside
+the JVM over whole texts. Months count from year 0, ends are exclusive.
 """
 
 from __future__ import annotations
 
 import re
-import unicodedata
+from functools import reduce
 
-from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MONTHS = {m: k for k, names in enumerate("enero ene|febrero feb|marzo mar|abril abr|mayo may|junio jun|julio jul|agosto ago|septiembre setiembre sep set|octubre oct|noviembre nov|diciembre dic".split("|")) for m in names.split()}
-#: Characters on either side of a range in which a term of the area counts.
-NEAR = 180
-#: Longer ranges are no employment.
-MOST_MONTHS = 600
-
-_NAMES = "|".join(sorted(MONTHS, key=lambda m: (-len(m), m)))
-_TOKEN = rf"(?:[0-9]{{1,2}}[/.\-][0-9]{{4}}|(?:{_NAMES})\.?\s+(?:de\s+)?[0-9]{{4}}|[0-9]{{4}})"
-_RANGE = re.compile(rf"({_TOKEN})\s*(?:-|–|—|a|hasta)\s*({_TOKEN}|actualidad|actual|presente|hoy)", re.IGNORECASE)
-
-
-def plain(text: str) -> str:
-    return "".join(c for c in unicodedata.normalize("NFD", text.lower()) if not unicodedata.combining(c))
-
-
-def month_of(token: str, is_end: bool, present: int) -> int | None:
-    """A date's month; an end is the month after it, and words for today are ``present``."""
-    token = plain(token).strip()
-    if token in ("actualidad", "actual", "presente", "hoy"):
-        return present
-    if m := re.fullmatch(r"([0-9]{1,2})[/.\-]([0-9]{4})", token):
-        return int(m[2]) * 12 + min(11, max(0, int(m[1]) - 1)) + is_end
-    if (m := re.fullmatch(r"([a-z]+)\.?\s+(?:de\s+)?([0-9]{4})", token)) and m[1] in MONTHS:
-        return int(m[2]) * 12 + MONTHS[m[1]] + is_end
-    return int(token) * 12 + 12 * is_end if re.fullmatch(r"[0-9]{4}", token) else None
-
-
-def ranges(text: str, terms: list[str], present: int) -> list[tuple[int, int]]:
-    """(start, end) of every date range with a term near it."""
-    out = []
-    for m in _RANGE.finditer(text):
-        start, end = month_of(m[1], False, present), month_of(m[2], True, present)
-        if start is not None and end is not None and 0 < end - start <= MOST_MONTHS:
-            around = plain(text[max(0, m.start() - NEAR) : m.end() + NEAR])
-            if any(t in around for t in terms):
-                out.append((start, end))
-    return out
-
-
-def covered(spans: list[tuple[int, int]]) -> int:
-    total, reach = 0, -1
-    for start, end in sorted(spans):
-        total += max(0, end - max(start, reach))
-        reach = max(reach, end)
-    return total
-
-
-def stated(text: str, terms: list[str]) -> int:
-    """The most months that a sentence states for a term, amounts from 1 to 59."""
-    text, most = plain(text), 0
-    for t in map(re.escape, terms):
-        for pattern in (
-            rf"(?:{t})[^.;\n]{{0,100}}?(?:durante|por|con|cuento con|experiencia de|experiencia)\s*(?:mas de\s*)?([0-9]{{1,2}})\s*(anos?|mes(?:es)?)",
-            rf"(?:mas de\s*)?([0-9]{{1,2}})\s*(anos?|mes(?:es)?)[^.;\n]{{0,100}}?(?:de experiencia|trabajando|como|en el area de|en)\s*[^.;\n]{{0,35}}{t}",
-        ):
-            for m in re.finditer(pattern, text):
-                n = int(m[1])
-                if 0 < n < 60:
-                    most = max(most, n * 12 if m[2].startswith("ano") else n)
-    return most
-
-
-def months(text: str | None, terms: list[str], present: int) -> int | None:
-    """Months in the area, or None without any."""
-    terms = list(dict.fromkeys(plain(t) for t in terms))
-    if not terms or not (text or "").strip():
-        return None
-    return max(covered(ranges(text, terms, present)), stated(text, terms)) or None
+from veinwork.functions.dates import covered_months
+from veinwork.functions.text import plain, plain_text
+
+#: Month names and their short forms, with the month of the year from 0. Fixed values.
+MONTHS = {
+    "enero": 0, "ene": 0,
+    "febrero": 1, "feb": 1,
+    "marzo": 2, "mar": 2,
+    "abril": 3, "abr": 3,
+    "mayo": 4, "may": 4,
+    "junio": 5, "jun": 5,
+    "julio": 6, "jul": 6,
+    "agosto": 7, "ago": 7,
+    "septiembre": 8, "setiembre": 8, "sep": 8, "set": 8,
+    "octubre": 9, "oct": 9,
+    "noviembre": 10, "nov": 10,
+    "diciembre": 11, "dic": 11,
+}
+#: Words for an end that hasn't come. Fixed values.
+STILL = ("actualidad", "actual", "presente", "hoy")
+#: Characters on either side of a range in which a term of the area counts; longer ranges (in months) are no employment; the largest amount.
+NEAR, MOST_MONTHS, MOST_AMOUNT = 180, 600, 59
+#: Words between a term and an amount after it, and between an amount and a term after it; characters that may stand in between. Fixed values.
+BEFORE_AMOUNT = ("durante", "por", "con", "cuento con", "experiencia de", "experiencia")
+AFTER_AMOUNT = ("de experiencia", "trabajando", "como", "en el area de", "en")
+APART, CLOSE = 100, 35
+
+_MONTH = "|".join(sorted(MONTHS, key=lambda m: (-len(m), m)))
+#: A date is a year, after a month as a number or a name, or none.
+_DATE = rf"(?:([0-9]{{1,2}})[/.\-]|({_MONTH})\.?\s+(?:de\s+)?)?([0-9]{{4}})"
+_RANGE = rf"{_DATE}\s*(?:-|–|—|a|hasta)\s*(?:{_DATE}|({'|'.join(STILL)}))"
+_AMOUNT = r"([0-9]{1,2})\s*(anos?|mes(?:es)?)"
+_SENTENCE = r"[^.;\n]"
+
+
+def occurrences(text: Column, pattern: str) -> Column:
+    """Every match of a pattern in order: array of (at, found), ``at`` from 0. What lies between matches tells where they are."""
+    found = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
+    between = F.split(text, pattern, -1)
+    ends = F.struct(F.lit(0).alias("to"), F.array().cast("array<struct<at:int,found:string>>").alias("all"))
+
+    def add(done: Column, pair: Column) -> Column:
+        at = done["to"] + F.char_length(pair["between"])
+        one = F.struct(at.cast("int").alias("at"), pair["found"].alias("found"))
+        return F.struct((at + F.char_length(pair["found"])).alias("to"), F.concat(done["all"], F.array(one)).alias("all"))
+
+    pairs = F.transform(found, lambda m, k: F.struct(F.get(between, k).alias("between"), m.alias("found")))
+    return F.aggregate(pairs, ends, add, lambda done: done["all"])
+
+
+def _month(found: Column, group: int, end: bool) -> Column:
+    """The month of the date whose parts are the groups from ``group`` on: the first or (for an end) the last one it may mean."""
+    part = lambda k: F.regexp_extract(found, _RANGE, group + k)
+    number = F.least(F.lit(11), F.greatest(F.lit(0), part(0).try_cast("int") - 1))
+    named = F.element_at(F.create_map(*[F.lit(x) for pair in MONTHS.items() for x in pair]), part(1))
+    month = F.when(part(0) != "", number).when(part(1) != "", named).otherwise(11 if end else 0)
+    return part(2).try_cast("int") * 12 + month + (1 if end else 0)
+
+
+def ranged_months(folded: Column, terms: list[str], present: Column) -> Column:
+    """Months covered by all date ranges that have a term near them; overlaps count once."""
+
+    def span(x: Column) -> Column:
+        still = F.regexp_extract(x["found"], _RANGE, 7) != ""
+        around = F.substring(folded, F.greatest(F.lit(1), x["at"] + 1 - NEAR), F.char_length(x["found"]) + NEAR + F.least(x["at"], F.lit(NEAR)))
+        near = reduce(lambda a, b: a | b, [F.contains(around, F.lit(t)) for t in terms])
+        return F.struct(_month(x["found"], 1, False).alias("s"), F.when(still, present).otherwise(_month(x["found"], 4, True)).alias("e"), near.alias("near"))
+
+    spans = F.filter(F.transform(occurrences(folded, _RANGE), span), lambda x: x["near"] & (x["e"] > x["s"]) & (x["e"] - x["s"] <= MOST_MONTHS))
+    return covered_months(F.array_sort(F.array_distinct(F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))))))
+
+
+def stated_months(folded: Column, terms: list[str]) -> Column:
+    """The most months that a sentence states for a term: an amount linked to the term before it or the one after it.
+
+    An amount belongs to a term before it if no other linked amount stands in between, and to a term after it if it isn't
+    inside the stretch of an earlier amount and its term.
+    """
+    amounts = occurrences(folded, _AMOUNT)
+    linked = rf"(?:{'|'.join(BEFORE_AMOUNT)})\s*(?:mas de\s*)?"
+
+    def months(x: Column) -> Column:
+        n = F.regexp_extract(x["found"], _AMOUNT, 1).try_cast("int")
+        of_years = F.contains(x["found"], F.lit("ano"))
+        return F.when(n.between(1, MOST_AMOUNT), F.when(of_years, n * 12).otherwise(n)).otherwise(0)
+
+    def of_term(term: str) -> Column:
+        t = re.escape(term)
+        left = rf"{t}(?:(?!{linked}[0-9]{{1,2}}\s*(?:ano|mes)){_SENTENCE}){{0,{APART}}}{linked}$"
+        right = rf"^{_SENTENCE}{{0,{APART}}}?(?:{'|'.join(AFTER_AMOUNT)})\s*{_SENTENCE}{{0,{CLOSE}}}{t}"
+        far = APART + 2 * len(max(BEFORE_AMOUNT, key=len)) + len(term) + 20
+
+        def before(x: Column) -> Column:
+            start = F.greatest(F.lit(0), x["at"] - far)
+            return F.substring(folded, start + 1, x["at"] - start).rlike(left)
+
+        def step(done: Column, x: Column) -> Column:
+            end = x["at"] + F.char_length(x["found"])
+            reach = F.char_length(F.regexp_extract(F.substring(folded, end + 1, F.lit(APART + CLOSE + len(term) + 40)), right, 0))
+            taken = (x["at"] >= done["reach"]) & (reach > 0)
+            counts = before(x) | taken
+            return F.struct(F.greatest(done["most"], F.when(counts, months(x)).otherwise(0)).alias("most"), F.when(taken, end + reach).otherwise(done["reach"]).alias("reach"))
+
+        return F.aggregate(amounts, F.struct(F.lit(0).alias("most"), F.lit(0).alias("reach")), step, lambda done: done["most"])
+
+    return F.greatest(*map(of_term, terms), F.lit(0))
 
 
 def relevant_months(text: Column, terms: tuple[str, ...], as_of: Column) -> Column:
-    """``months`` as a column; the functions travel with the plan, so executors need no copy of this package."""
-    import veinwork.functions.experience as own
-
-    cloudpickle.register_pickle_by_value(own)
-    areas = list(terms)
-    count = own.months
-    return F.udf(lambda t, now: count(t, areas, now), "int")(text, F.year(as_of) * 12 + F.month(as_of))
+    """Months in an area that a text shows, or null without any; ``present`` is the month after that of ``as_of``."""
+    own = list(dict.fromkeys(map(plain_text, terms)))
+    if not own:
+        return F.lit(None).cast("int")
+    folded = plain(F.coalesce(text, F.lit("")))
+    present = F.year(as_of) * 12 + F.month(as_of)
+    return F.nullif(F.greatest(ranged_months(folded, own, present).cast("int"), stated_months(folded, own)), F.lit(0))
