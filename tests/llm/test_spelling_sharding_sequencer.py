@@ -221,8 +221,7 @@ def test_changes_of_the_given_table(spark):
     assert sorted(map(tuple, got), key=lambda r: r[0]) == want and len({r[3] for r in want}) == 13 and any(r[4] > 1 for r in want)
 
 
-def test_awkward_changes(spark, monkeypatch):
-    monkeypatch.setattr(sequencer, "IN_MEMORY", 2)  # further rows of a lane go through the state store
+def test_awkward_changes(spark):
     at = dt.datetime(2024, 1, 3)
     rows = [(k, k % 3 or None, 5 * (k // 4) - 20, "IUD"[k % 3], at + dt.timedelta(days=k % 100), None if k % 5 == 0 else f"c{k % 7}", None if k % 4 == 0 else k / 8) for k in range(1, 150)]
     rows += [(500, 1, 3, "U", None, "x", 1.0), rows[3], rows[3], (501, 2, 2**62, "I", at, "far", -0.005), (502, 2, -(2**62), "U", at, None, None)]
