@@ -7,9 +7,9 @@ longer word's, so near words of lengths up to M share M - 1 of them, at
 positions that differ by nothing (a replaced code point, or before the edit) or
 by one. Two of the shared grams are then among the four rarest of the longer and the three rarest of the
 shorter word (of both four, where lengths are equal), so words are dealt by pairs of their rarest grams with their positions and M. In each group a task
-builds the inverted index of the group's words; for each word it heap-merges the
-postings of its grams under the limits of length and position, keeps words that
-come up M - 1 times, and verifies them code point by code point.
+builds the inverted index of the group's words; for each word it heap-merges the shorter
+postings of its grams under the limits of length and position, looks up what comes up twice in the longer ones, keeps words that
+come up M - 1 times in all, and verifies them code point by code point.
 
 A group of many words is split into blocks, and each pair of blocks is a task
 of its own, so a task holds two blocks at most. Gram counts, which order grams, are
@@ -30,9 +30,10 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
-from itertools import groupby
+from itertools import count, groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -151,26 +152,50 @@ def _dealt(order: dict[str, int]) -> Callable:
     return run
 
 
+def _over_bound(lists: list[list[int]], least: int, after: int) -> Iterator[int]:
+    """Rows over ``after`` that ``least`` of the postings hold; each posting is sorted.
+
+    The longest postings, one or two fewer than ``least``, are set aside: a row that ``least`` hold is in two of
+    the others at least (in one, if ``least`` is one). These are heap-merged; what comes up often enough is looked up in those set aside.
+    """
+    lists.sort(key=len)
+    kept = len(lists) - max(0, least - 2)
+    short, aside = lists[: max(0, kept)], lists[max(0, kept) :]
+    for at, times in groupby(heapq.merge(*[x[bisect_right(x, after) :] for x in short])):
+        n = sum(1 for _ in times)
+        if n + len(aside) < least:
+            continue
+        for x in aside:
+            k = bisect_left(x, at)
+            n += k < len(x) and x[k] == at
+        if n >= least:
+            yield at
+
+
 def merged(left: list[str], right: list[str], longest: int, within: bool) -> Iterator[tuple[str, str]]:
     """Near pairs between two blocks (or within one, ``left``), at least one of each pair of length ``longest``.
 
-    The index is of ``right``; its postings are in the order of its rows.
+    The index is of ``right``, for each of the two lengths; its postings are in the order of its rows.
     """
-    index: dict[tuple[str, int, int], list[int]] = defaultdict(list)
+    index: dict[int, dict[tuple[str, int], list[int]]] = {longest: {}, longest - 1: {}}
     for k, word in enumerate(right):
-        for p, g in enumerate(grams(word)):
-            index[g, p, len(word)].append(k)
+        own = index[len(word)]
+        for at in zip(grams(word), count()):
+            own.setdefault(at, []).append(k)
+    long, short = index[longest], index[longest - 1]
     for k, word in enumerate(left):
-        of = grams(word)
+        of = list(zip(grams(word), count()))
+        after = k if within else -1
         if len(word) == longest:
-            lists = [found for p, g in enumerate(of) for found in (index.get((g, p, longest)), index.get((g, p, longest - 1)), index.get((g, p - 1, longest - 1))) if found]
+            found = [_over_bound([x for at in of if (x := long.get(at)) and x[-1] > after], longest - 1, after)]
+            if short:
+                found.append(_over_bound([x for g, p in of for at in ((g, p), (g, p - 1)) if (x := short.get(at)) and x[-1] > after], longest - 1, after))
         else:
-            lists = [found for p, g in enumerate(of) for found in (index.get((g, p, longest)), index.get((g, p + 1, longest))) if found]
-        for at, times in groupby(heapq.merge(*lists)):
-            if within and at <= k:
-                continue
-            if sum(1 for _ in times) >= longest - 1 and near(word, right[at]):
-                yield word, right[at]
+            found = [_over_bound([x for g, p in of for at in ((g, p), (g, p + 1)) if (x := long.get(at)) and x[-1] > after], longest - 1, after)]
+        for rows in found:
+            for at in rows:
+                if near(word, right[at]):
+                    yield word, right[at]
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,7 +218,7 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             (left if block == i else right)[word] = n
         if i == j:
             right = left
-        if len(left) + len(right) < 2 or not any(len(w) == longest for w in (*left, *right)):
+        if len(left) < 2 and i == j or not any(len(w) == longest for w in (*left, *right)):
             continue
         for a, b in merged(list(left), list(right), longest, i == j):
             out.append((a, left[a], b, right[b]))
