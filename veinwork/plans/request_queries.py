@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veinwork.operators.ranking import FITS, SIGNALS, basic_fit, domain_fit, factory_work, rank, resorted, studied, together
+from veinwork.operators.fits import KINDS, domain_fit
+from veinwork.operators.ranking import basic_fit, factory_work, rank, resorted, studied, together
 from veinwork.plans.base import query
 from veinwork.plans.interpret import interpret
 from veinwork.plans.name_queries import PEOPLE, people
@@ -90,7 +91,7 @@ def domain_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
         parts = [F.when(F.shiftright("id", k) % 2 == 1, F.lit(t)) for k, t in enumerate(shown)]
         role = parts.pop(0 if domain == "refrigeration" else 2) if domain != "mechanic" else F.lit("")
         out.append(p.select("id", F.lit(domain).alias("domain"), domain_fit(domain, F.coalesce(role, F.lit("")), F.concat_ws(" y ", *parts)).alias("fit")))
-    assert set(_SHOWN) == set(FITS) == set(SIGNALS)
+    assert set(_SHOWN) == set(KINDS)
     return reduce(DataFrame.unionByName, out)
 
 
