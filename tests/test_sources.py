@@ -108,6 +108,7 @@ def test_rows_in_any_form():
     assert readers.rows_of('{"items":[{"a":1},2]}') == [{"a": 1}] and readers.rows_of('{"a":1}') == [{"a": 1}]
     assert readers.rows_of("x\n\ny\nz") == [{"text": "x", "source_id": "text-1"}, {"text": "y\nz", "source_id": "text-2"}]
     assert len(readers.rows_of(json.dumps([{"a": k} for k in range(9)]), most=4)) == 4 and readers.rows_of(None) == []
+    assert len(readers.rows_of(json.dumps([{"a": k} for k in range(6000)]))) == 6000 and len(readers.rows_of("a,b\n" + "1,2\n" * 6000)) == 6000
     assert readers.embedded_rows('{"historicalData":"name,mail\\nAda,x"}') == [{"name": "Ada", "mail": "x"}]
     assert readers.embedded_rows('{"a":{"b":[{"email":"x"}]},"records":[]}') == [{"email": "x"}] and readers.embedded_rows("no") == []
 

@@ -27,8 +27,6 @@ from pyspark.sql import DataFrame
 
 #: Larger attachments are hashed but not kept.
 MOST_BYTES = 8 << 20
-#: Rows of one import.
-MOST_ROWS = 5000
 
 
 # Mail
@@ -194,8 +192,8 @@ def simple_rows(text: str) -> list[dict[str, str]]:
     return delimited_rows(text, ";" if ";" in (text.lstrip("\ufeff").splitlines() or [""])[0] else ",")
 
 
-def rows_of(text: str | None, most: int = MOST_ROWS) -> list[dict]:
-    """Rows of an import in any form: JSON, else delimited text, else chunks between blank lines; the first ``most``."""
+def rows_of(text: str | None, most: int | None = None) -> list[dict]:
+    """Rows of an import in any form: JSON, else delimited text, else chunks between blank lines. All of them, unless a caller asks for the first ``most``."""
     text = (text or "").strip()
     if not text:
         return []
