@@ -8,6 +8,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from veinwork.operators.ordering import group_positions, positions
 from veinwork.sources import connectors, landed, readers
 from veinwork.streaming.sinks import Stored, rejecting, upsert
 
@@ -253,7 +254,7 @@ def test_landing_that_failed_isnt_read(spark, tmp_path):
 
 def test_positions_follow_a_total_order(spark):
     df = spark.range(500).select(F.col("id"), (F.col("id") % 3).alias("k")).repartition(7)
-    got = {(r.k, r.id): r.position for r in landed.positions(df, F.desc("k"), "id").collect()}
+    got = {(r.k, r.id): r.position for r in positions(df, F.desc("k"), "id").collect()}
     assert [got[k] for k in sorted(got, key=lambda x: (-x[0], x[1]))] == list(range(500))
 
 
@@ -348,3 +349,11 @@ def test_rejects(spark, tmp_path):
     split(df, 0)
     assert sorted((r.v is None, r.v) for r in spark.read.parquet(str(tmp_path / "ok")).collect()) == [(False, 5), (True, None)]
     assert [(r.reason, json.loads(r.payload)) for r in spark.read.parquet(str(tmp_path / "no")).collect()] == [("small", {"v": 1})]
+
+
+def test_group_positions(spark):
+    df = spark.createDataFrame([(k % 3 or None, k * 7 % 50) for k in range(50)], "g long, v long").repartition(6)
+    got = {(r.g, r.v): r.n for r in group_positions(df, ["g"], [F.desc("v")], "n").collect()}
+    for g in (None, 1, 2):
+        mine = sorted((v for x, v in got if x == g), reverse=True)
+        assert [got[g, v] for v in mine] == list(range(1, len(mine) + 1))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from veinwork.operators.identity import keepers
+from veinwork.operators.ordering import group_positions
 from veinwork.operators.relational import first_by, keep_first, later_duplicates, numbered, shift_null_last, slice_page
 from veinwork.plans.base import query
 from veinwork.sources.tables import AS_OF, candidates, contents, sources, table, with_
@@ -311,8 +313,9 @@ def duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     by_mail = c.select("*", F.explode("email").alias("e")).withColumns({"key": F.lower("e"), "kind": F.lit("same_email")})
     cols = ["id", "quality_score", "updated_at", "kind", "key"]
     one = by_text.select(*cols).unionByName(by_mail.select(*cols)).distinct()
-    found = later_duplicates(one, ["kind", "key"], [F.col("quality_score").desc(), F.col("updated_at").desc(), F.col("id")], F.col("id"))
-    return keep_first(found.filter("id <> keeper"), ["id"], [F.col("kind").desc(), F.col("keeper")]).select("id", "keeper", "kind")
+    best = [-F.col("quality_score"), -F.unix_micros(F.col("updated_at").cast("timestamp")), F.col("id")]
+    found = keepers(one, ["kind", "key"], best, "id")
+    return first_by(found, ["id"], [F.col("kind") != "same_text", F.col("keeper")], F.struct("keeper", "kind"), "b").select("id", "b.*")
 
 
 @query("""
@@ -325,7 +328,8 @@ def best_match_distinct_on(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_("candidates", "SELECT country, id, row_number() OVER (PARTITION BY country ORDER BY quality_score DESC, id) AS rank_position FROM candidates"))
 def rank_position_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return numbered(candidates(spark, sf_dir).select("country", "id", "quality_score"), ["country"], [F.col("quality_score").desc(), F.col("id")], "rank_position").drop("quality_score")
+    """Results numbered from 1 within their country; few countries hold all rows, so numbers come from ranges, not from a window over each."""
+    return group_positions(candidates(spark, sf_dir).select("country", "id", "quality_score"), ["country"], [F.col("quality_score").desc(), F.col("id")], "rank_position").drop("quality_score")
 
 
 @query("""

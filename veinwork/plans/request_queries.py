@@ -49,17 +49,17 @@ r AS (SELECT *, row_number() OVER (ORDER BY quality DESC, id) AS position FROM d
 @query(_RANKED + " SELECT position, id, name AS full_name, 95 AS score FROM r WHERE position <= 100")
 def requested_people(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A request in words, interpreted, then ranked over everybody's documents: the first 100."""
-    found = rank(hydrated_people(spark, sf_dir), interpret(REQUEST), F.lit(AS_OF).cast("timestamp_ntz"))
+    found = rank(hydrated_people(spark, sf_dir), interpret(REQUEST), F.lit(AS_OF).cast("timestamp_ntz"), most=100)
     return found.filter("position <= 100").select("position", "id", "full_name", "score")
 
 
-@query(_RANKED + """
-SELECT 'recent' AS by, id, row_number() OVER (ORDER BY coalesce(latest, TIMESTAMP '1970-01-01') DESC, position) AS position FROM r
-UNION ALL SELECT 'oldest', id, row_number() OVER (ORDER BY latest ASC NULLS LAST, position) FROM r
-UNION ALL SELECT 'name', id, row_number() OVER (ORDER BY lower(name), position) FROM r""")
+@query(_RANKED + """, t AS (SELECT * FROM r WHERE position <= 300)
+SELECT 'recent' AS by, id, row_number() OVER (ORDER BY coalesce(latest, TIMESTAMP '1970-01-01') DESC, position) AS position FROM t
+UNION ALL SELECT 'oldest', id, row_number() OVER (ORDER BY latest ASC NULLS LAST, position) FROM t
+UNION ALL SELECT 'name', id, row_number() OVER (ORDER BY lower(name), position) FROM t""")
 def resorted_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ranked results in three other orders."""
-    found = rank(hydrated_people(spark, sf_dir), interpret(REQUEST), F.lit(AS_OF).cast("timestamp_ntz"), least=90)
+    """The 300 first results in three other orders."""
+    found = rank(hydrated_people(spark, sf_dir), interpret(REQUEST), F.lit(AS_OF).cast("timestamp_ntz"), least=90, most=300)
     return reduce(DataFrame.unionByName, [resorted(found, by).select(F.lit(by).alias("by"), "id", "position") for by in ("recent", "oldest", "name")])
 
 
@@ -137,11 +137,11 @@ def requests_interpreted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 WITH {PEOPLE}, r AS (SELECT id, name, id % 4 AS k, id % 100 AS quality FROM people WHERE id % 4 < 2)
-SELECT CAST(row_number() OVER (ORDER BY CASE k WHEN 0 THEN 0 ELSE 1 END, quality DESC, id) AS BIGINT) AS position, id, CASE k WHEN 0 THEN 'nearby' ELSE 'broad' END AS place_verdict FROM r""")
+SELECT CAST(row_number() OVER (ORDER BY CASE k WHEN 0 THEN 0 ELSE 1 END, quality DESC, id) AS BIGINT) AS position, id, CASE k WHEN 0 THEN 'nearby' ELSE 'broad' END AS place_verdict FROM r QUALIFY position <= 300""")
 def requested_near_a_place(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A request that names a place: those who verifiably live near it come first, then the merely possible; others are left out."""
+    """A request that names a place: those who verifiably live near it come first, then the merely possible; others are left out. The first 300."""
     k = F.col("id") % 4
     city = F.when(k == 0, "Pocitos").when(k == 1, "Montevideo").when(k == 2, "Salto").otherwise("Rivera")
     rows = hydrated_people(spark, sf_dir).withColumns({"current_role": F.lit("Cajera"), "city": city, "document_text": F.lit("cajera"), "latest": F.lit(None).cast("timestamp_ntz")})
-    found = rank(rows, interpret("cajera en Pocitos"), F.lit(AS_OF).cast("timestamp_ntz"), least=50)
+    found = rank(rows, interpret("cajera en Pocitos"), F.lit(AS_OF).cast("timestamp_ntz"), least=50, most=300)
     return found.select("position", "id", "place_verdict")

@@ -24,12 +24,12 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
+from veinwork.operators.ordering import positions
 from veinwork.sources.manifest import file_system, read_json, replace_json
-from veinwork.streaming.sinks import checkpoint_folder
 
 #: Positions in one file folder, which is what a task reads.
 RANGE = 500
@@ -43,20 +43,6 @@ def manifest(folder: str) -> dict:
     return read_json(folder, MANIFEST) or {"next": 0, "landings": []}
 
 
-def positions(df: DataFrame, *order: Column | str) -> DataFrame:
-    """``df`` with ``position``, from 0 in this order: ranges are sorted each in its task, then moved by the sizes of those before.
-
-    The order has to be total. ``df`` is written down in between, so ranges can't change under a second reading.
-    """
-    checkpoint_folder(df.sparkSession)
-    ranged = df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()).checkpoint(eager=True)
-    sizes = ranged.groupBy("_range").count()
-    before = F.coalesce(F.sum("count").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select("_range", before.alias("_before"))  # a row for each partition
-    local = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
-    return ranged.withColumn("_local", local).join(F.broadcast(starts), "_range").withColumn("position", (F.col("_before") + F.col("_local") - 1).cast("long")).drop("_range", "_local", "_before")
-
-
 def land(records: DataFrame, folder: str, order: list[str], day: str | None = None) -> dict:
     """Append records in their order to a feed; the manifest after it.
 
