@@ -20,8 +20,20 @@ WORK = frozenset("administrativo administrativa auxiliar ayudante chofer conduct
 _WORD = re.compile(r"[^\W\d_][^\W\d_'’-]*\.?")
 
 
+class _Marks(dict):
+    """For ``str.translate``: combining characters go. Filled as characters come, so each is looked at once."""
+
+    def __missing__(self, c: int) -> int | None:
+        self[c] = None if unicodedata.combining(chr(c)) else c
+        return self[c]
+
+
+_MARKS = _Marks()
+
+
 def plain(text: str | None) -> str:
-    return "".join(c for c in unicodedata.normalize("NFD", (text or "").lower()) if not unicodedata.combining(c))
+    low = (text or "").lower()
+    return low if low.isascii() else unicodedata.normalize("NFD", low).translate(_MARKS)
 
 
 def squeezed(text: str | None) -> str:
