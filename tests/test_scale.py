@@ -30,3 +30,18 @@ def test_words_with_marks_are_still_found():
     for table in (words.ROLE_FORMS, words.SKILL_FORMS, words.LANGUAGE_FORMS):
         want = [(m.start(), k, label) for k, (label, forms) in enumerate(table.items()) if (m := words.compiled(forms).search(text))]
         assert words.places(text, table) == want
+
+
+def test_similar_pairs_against_all_pairs(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from veinwork.functions.text import names_likely_same
+    from veinwork.operators import similar
+
+    monkeypatch.setattr(similar, "SHARE", 3)  # a common name is dealt to several groups
+    given = ["x", "X", "ana ana", "b ana", "ana bo", "Ánà  BO", None, "", "", "bo ana de", "ana bo cruz", "cruz bo lima", "lima de bo", *["red ring"] * 8, "ring red"]
+    df = spark.createDataFrame([(k, n, k % 5 and "one" or "two") for k, n in enumerate(given * 2)] + [(99, "x", None)], "id long, name string, block string")
+    a, b = df.alias("a"), df.alias("b")
+    want = a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.id") < F.col("b.id")) & names_likely_same(F.col("a.name"), F.col("b.name"))).select("a.id", F.col("b.id").alias("o"))
+    got = similar.similar_pairs(df, "id", "name", "block")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))

@@ -10,6 +10,7 @@ from veinwork.functions.perrow import per_row
 from veinwork.functions.profile import before_references, years
 from veinwork.functions.dates import backoff_minutes, month_index, recency_bonus, safe_timestamp, union_months
 from veinwork.operators.relational import spread
+from veinwork.operators.similar import similar_pairs
 from veinwork.plans.base import query
 from veinwork.sources.tables import AS_OF, candidates, contents, table, with_
 
@@ -109,11 +110,8 @@ WITH w AS (SELECT p_partkey, lower(p_name) AS n, list_filter(string_split(regexp
 SELECT a.p_partkey AS id, b.p_partkey AS other_id FROM w a JOIN w b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey
 WHERE a.n = b.n OR (len(a.ws) > 1 AND len(b.ws) > 1 AND len(list_filter(a.ws, lambda x: list_contains(b.ws, x))) >= 2 AND len(list_filter(a.ws, lambda x: list_contains(b.ws, x))) >= 0.66 * least(len(a.ws), len(b.ws)))""")
 def name_similarity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Similar names within a block; a shared word is the join key, so no block is paired with itself wholesale."""
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand").withColumn("w", F.explode(F.array_distinct(text.name_words(F.col("p_name")))))
-    a, b = p.alias("a"), p.alias("b")
-    met = a.join(b, (F.col("a.p_brand") == F.col("b.p_brand")) & (F.col("a.w") == F.col("b.w")) & (F.col("a.p_partkey") < F.col("b.p_partkey")))
-    return met.filter(text.names_likely_same(F.col("a.p_name"), F.col("b.p_name"))).select(F.col("a.p_partkey").alias("id"), F.col("b.p_partkey").alias("other_id")).distinct()
+    """Similar names within a block: distinct names are compared, then their rows are paired."""
+    return similar_pairs(table(spark, sf_dir, "part"), "p_partkey", "p_name", "p_brand")
 
 
 @query(f"""
