@@ -45,3 +45,13 @@ def test_similar_pairs_against_all_pairs(spark, monkeypatch):
     want = a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.id") < F.col("b.id")) & names_likely_same(F.col("a.name"), F.col("b.name"))).select("a.id", F.col("b.id").alias("o"))
     got = similar.similar_pairs(df, "id", "name", "block")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_everybody_near_a_place_is_ranked(spark):
+    from tests.helpers import database, same
+    from veinwork.plans.registry import oracle_sql, queries
+
+    middle = "/root/testdata/sf0.01"
+    found = queries()["requested_near_a_place"](spark, middle)
+    assert found.count() == spark.read.parquet(f"{middle}/customer.parquet").filter("c_custkey % 4 < 2").count() > 300
+    same(found, database(middle), oracle_sql()["requested_near_a_place"])
