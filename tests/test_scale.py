@@ -55,3 +55,20 @@ def test_everybody_near_a_place_is_ranked(spark):
     found = queries()["requested_near_a_place"](spark, middle)
     assert found.count() == spark.read.parquet(f"{middle}/customer.parquet").filter("c_custkey % 4 < 2").count() > 300
     same(found, database(middle), oracle_sql()["requested_near_a_place"])
+
+
+def test_a_large_landing_has_few_files_and_one_stream(spark, tmp_path):
+    import json
+
+    from veinwork.sources import landed
+
+    feed, read = str(tmp_path / "landed"), str(tmp_path / "read")
+    n = 3 * landed.RANGE * landed.FOLDERS
+    known = landed.land(spark.range(n).select("id"), feed, ["id"])
+    assert len(landed._pieces(feed, known, 0, n, "table")) <= landed.FOLDERS + 1
+    out = landed.deliver(spark, feed, "position long, id long", read, most=n // 5)
+    assert out.count() == out.distinct().count() == n
+    # Each batch kept to the budget, and all were of one start of the stream.
+    ends = [json.loads((tmp_path / "read/checkpoint/offsets" / str(k)).read_text().splitlines()[-1])["position"] for k in range(5)]
+    assert ends == [min(n, (k + 1) * (n // 5)) for k in range(5)]
+    assert landed.deliver(spark, feed, "position long, id long", read, most=n // 5).count() == n
