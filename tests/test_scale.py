@@ -72,3 +72,21 @@ def test_a_large_landing_has_few_files_and_one_stream(spark, tmp_path):
     ends = [json.loads((tmp_path / "read/checkpoint/offsets" / str(k)).read_text().splitlines()[-1])["position"] for k in range(5)]
     assert ends == [min(n, (k + 1) * (n // 5)) for k in range(5)]
     assert landed.deliver(spark, feed, "position long, id long", read, most=n // 5).count() == n
+
+
+def test_an_index_has_a_row_for_many_texts(spark, tmp_path):
+    from veinwork.operators.lexemes import located, spaced
+    from veinwork.operators.textindex import TextIndex
+
+    texts = [(k, "the same words " * (k % 3 + 1)) for k in range(400)]
+    index = TextIndex(spark, str(tmp_path / "index"))
+    index.refresh(spark.createDataFrame(texts, "id long, text string").coalesce(1))
+    stored = spark.read.parquet(f"{tmp_path}/index/{index.segments()[0]}/postings")
+    assert stored.count() < 30 and {r.id: r.positions for r in index.postings(["same"]).collect()} == {k: [1, 4, 7][: k % 3 + 1] for k, _ in texts}
+    # Words are told apart at once as one by one, in texts beyond Latin-1 too.
+    odd = ["Ñandú éa Éa İx", "Σ’ας 中文 naïve_x ½ ² é", "ß Æ\xa0Æ\x85ª"]
+    for form in ("folded", "plain"):
+        rows = located([7, 8, 9], [spaced(t, form == "folded") for t in odd], form).to_pylist()
+        places = {(r["lexeme"], i): r["positions"][b:e] for r in rows for i, b, e in zip(r["ids"], [0, *r["ends"]], r["ends"])}
+        assert places["ea", 7] == [1, 2] and places["nandu", 7] == [0] and places["æ", 9] == [1, 2] and places["x", 8] == [4] and places["½", 8] == [5]
+        assert (("ix", 7) in places) == (form == "folded")  # a mark that stands alone parts words only before folding
