@@ -102,3 +102,17 @@ def test_postings_of_a_text_need_no_shuffle(spark):
         assert {(r.lexeme, r.id, tuple(r.positions)) for r in found.collect()} == want
     after = spark.createDataFrame([(1, "Casa casa Ñandú"), (3, "otra")], "id long, text string")
     assert {(r.lexeme, r.id) for r in updated(postings(rows, False), rows, after, False).collect()} == {("casa", 1), ("nandu", 1), ("otra", 3)}
+
+
+def test_an_object_is_parsed_once_for_all_fields(monkeypatch):
+    import json
+
+    from veinwork.sources import readers
+
+    text = json.dumps({"a": [{"Nombre": "Ana", "x": {"email": "a@b.uy"}}], "city": {"name": {"label": "Salto"}, "correo": "in@city.uy"}, "apellido": "Paz", "phones": [1234567, None, True, "1234567"]})
+    wanted = {"n": ["nombre"], "e": ["email", "correo"], "c": ["city"], "both": ["city", "nombre"], "p": ["phones"]}
+    assert readers.deep_fields(json.loads(text), wanted) == {k: readers.deep_values(text, v) for k, v in wanted.items()}
+    assert readers.deep_values(text, ["email", "correo"]) == ["a@b.uy", "in@city.uy"] and readers.deep_values(text, ["city"]) == ["Salto"]
+    parsed, real = [], json.loads
+    monkeypatch.setattr(json, "loads", lambda s: parsed.append(s) or real(s))
+    assert profile.from_json(text)["full_name"] == "Ana Paz" and len(parsed) == 1
