@@ -116,3 +116,16 @@ def test_an_object_is_parsed_once_for_all_fields(monkeypatch):
     parsed, real = [], json.loads
     monkeypatch.setattr(json, "loads", lambda s: parsed.append(s) or real(s))
     assert profile.from_json(text)["full_name"] == "Ana Paz" and len(parsed) == 1
+
+
+def test_references_are_cut_by_a_number(spark):
+    from veinwork.operators import relational
+    from veinwork.plans.text_queries import reference_cut
+
+    found = reference_cut(spark, SMALL)
+    assert found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    for text, head in (("año\nReferencias Laborales: x", "año\n"), ("referencias laborales: x", "referencias laborales: x"), ("Ω ñ REFERENCIAS PERSONALES", "Ω ñ "), ("nada", "nada")):
+        assert profile.before_references(text) == head and profile.references_at(text) == (len(head) if head != text else 0)
+    latin = "".join(map(chr, range(1, 256)))
+    assert profile.folded(latin) == latin.translate(profile._FOLDS)
+    assert relational.SPREAD_BYTES * spark.sparkContext.defaultParallelism >= 512 << 20

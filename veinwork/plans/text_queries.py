@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from veinwork.functions import geo, text
 from veinwork.functions.perrow import per_row
-from veinwork.functions.profile import before_references, years
+from veinwork.functions.profile import references_at, years
 from veinwork.functions.dates import backoff_minutes, month_index, recency_bonus, safe_timestamp, union_months
-from veinwork.operators.relational import spread
+from veinwork.operators.relational import once, spread
 from veinwork.operators.similar import similar_pairs
 from veinwork.plans.base import query
 from veinwork.sources.tables import AS_OF, candidates, contents, table, with_
@@ -232,5 +232,7 @@ def reference_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text before its section of references."""
     d = F.col("doc_id")
     tail = F.when(d % 3 == 0, F.concat(F.lit("Referencias laborales: "), "lang")).when(d % 3 == 1, F.concat(F.lit("REFERENCIAS PERSONALES\n"), "lang", F.lit(" referencias laborales"))).otherwise(F.concat(F.lit("Referencias: "), "lang"))
-    docs = table(spark, sf_dir, "documents").filter("text is not null")
-    return docs.select("doc_id", per_row(before_references, "string")(F.concat("text", F.lit("\n"), tail)).alias("head"))
+    docs = spread(table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", "text", "lang"))
+    # Only where the section begins comes back from Python.
+    found = once(docs, whole=F.concat("text", F.lit("\n"), tail)).withColumn("at", per_row(references_at, "int")("whole"))
+    return found.select("doc_id", F.when(F.col("at") > 0, F.substring("whole", F.lit(1), F.col("at"))).otherwise(F.col("whole")).alias("head"))
