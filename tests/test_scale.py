@@ -129,3 +129,45 @@ def test_references_are_cut_by_a_number(spark):
     latin = "".join(map(chr, range(1, 256)))
     assert profile.folded(latin) == latin.translate(profile._FOLDS)
     assert relational.SPREAD_BYTES * spark.sparkContext.defaultParallelism >= 512 << 20
+
+
+class _Cell:
+    """A value or map state, with the number of writes."""
+
+    def __init__(self):
+        self.held, self.writes = {}, 0
+
+    def updateValue(self, key, value):
+        self.held[key] = value
+        self.writes += 1
+
+    getValue = lambda self, key: self.held.get(key)
+    removeKey = lambda self, key: self.held.pop(key)
+    iterator = lambda self: iter(list(self.held.items()))
+    exists = lambda self: () in self.held
+    get = lambda self: self.held[()]
+    update = lambda self, value: self.updateValue((), value)
+    clear = lambda self: self.held.clear()
+
+
+def test_serial_state_has_few_entries_and_one_timer_for_many_keys():
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    from veinwork.streaming import stateful
+
+    cells, timers = {}, set()
+    cell = lambda name, *_: cells.setdefault(name, _Cell())
+    handle = SimpleNamespace(getMapState=cell, getValueState=cell, registerTimer=timers.add, deleteTimer=timers.remove)
+    work = stateful.Serial(lambda s, e: ((s or 0) + 1, ((s or 0) + 1,)), "ts", ["id"], "user", ["place"])
+    work.init(handle)
+    feed = lambda ids: work.handleInputRows((0,), iter([pd.DataFrame({"bucket": [i % 500 % 8 for i in ids], "user": [str(i % 500) for i in ids], "ts": pd.to_datetime([10_000 + i for i in ids], unit="s"), "id": ids})]), None)
+    list(feed(list(range(2000, 0, -1))))
+    assert cells["keys"].writes == 8 and timers == {10_001_000}
+    passed = SimpleNamespace(getCurrentWatermarkInMs=lambda: 11_500_000)
+    timers.clear()
+    found = pd.concat(work.handleExpiredTimer((0,), passed, None))
+    assert sorted(found["id"]) == list(range(1, 1501)) and timers == {11_501_000}
+    by_user = found.groupby("user")
+    assert all(g["id"].is_monotonic_increasing and list(g["place"]) == list(range(1, len(g) + 1)) for _, g in by_user)
