@@ -171,3 +171,42 @@ def test_serial_state_has_few_entries_and_one_timer_for_many_keys():
     assert sorted(found["id"]) == list(range(1, 1501)) and timers == {11_501_000}
     by_user = found.groupby("user")
     assert all(g["id"].is_monotonic_increasing and list(g["place"]) == list(range(1, len(g) + 1)) for _, g in by_user)
+
+
+def _optimized(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_texts_are_folded_once_for_months_of_experience(spark):
+    from pyspark.sql import functions as F
+
+    from veinwork.functions.experience import relevant_months
+
+    months = relevant_months(F.col("t"), ("cajero", "cajera", "caja"), F.lit("2001-09-01").cast("timestamp_ntz"))
+    assert _optimized(spark.range(9).select(F.concat(F.lit("Cajera "), "id").alias("t")).select(months.alias("m"))).count("translate(") == 1
+
+
+def test_parts_of_a_page_are_cleaned_once(monkeypatch):
+    seen = []
+    real = names.clean_name
+    monkeypatch.setattr(names, "clean_name", lambda text: seen.append(text) or real(text))
+    assert names.people_in("<tr><td>Ana Paz</td><td>ana@mail.example</td></tr>") == [("Ana Paz", "ana@mail.example")]
+    assert len(seen) == len(set(seen)) == 1
+
+
+def test_names_are_checked_after_people_are_dealt(spark):
+    from pyspark.sql import functions as F
+
+    from veinwork.operators.ranking import rank
+    from veinwork.plans.interpret import interpret
+    from veinwork.plans.request_queries import REQUEST, hydrated_people
+
+    found = rank(hydrated_people(spark, SMALL), interpret(REQUEST), F.lit("2001-09-01").cast("timestamp_ntz"), most=100)
+    dealt = _optimized(found).split("Repartition", 1)[1]
+    assert "RLIKE" not in dealt.split("\n", 1)[1]
+
+
+def test_people_are_ranked_once_for_all_orders(spark):
+    from veinwork.plans.request_queries import resorted_results
+
+    assert "Relation" not in _optimized(resorted_results(spark, SMALL))
