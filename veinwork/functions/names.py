@@ -49,20 +49,26 @@ def looks_real(name: str | None) -> bool:
     return not NOISE.search(low) and not all(w in WORK for w in low.split())
 
 
+_REPLY, _ENDING = re.compile(r"(?i)^(?:(?:re|fwd?)\s*:\s*|copia\s+de\s+)+"), re.compile(r"(?i)\.[a-z0-9]{2,6}$")
+_KIND, _SIGNS = re.compile(r"(?i)\b(?:p ?d ?f|c ?\.? ?v)\b"), re.compile(r"[_\-().!¡?¿|,]+")
+_VERSION, _FIELDS = re.compile(r"(?i)v\d+|(?:19|20)\d{2}|\d{1,5}"), re.compile(rf"(?i)\b(?:{FIELDS})\b")
+_INITIAL = re.compile(r"[A-ZÁÉÍÓÚÜÑ]")
+_WRAPPING, _LEADING, _TRAILING = map(frozenset, (WRAPPING, LEADING, TRAILING))
+
+
 def clean_name(text: str | None) -> str:
     """A name without what file names, subjects and forms put around it."""
     s = unicodedata.normalize("NFC", squeezed(text))
-    s = re.sub(r"(?i)^(?:(?:re|fwd?)\s*:\s*|copia\s+de\s+)+", "", s)
-    s = re.sub(r"(?i)\.[a-z0-9]{2,6}$", "", s)
+    s = _ENDING.sub("", _REPLY.sub("", s))
     # Words are taken one at a time, so a rule can't hide what the next one looks for.
-    words = re.sub(r"[_\-().!¡?¿|,]+", " ", re.sub(r"(?i)\b(?:p ?d ?f|c ?\.? ?v)\b", " ", s)).split()
-    words = [w for w in words if w.lower() not in WRAPPING and not re.fullmatch(r"(?i)v\d+|(?:19|20)\d{2}|\d{1,5}", w)]
-    while words and (words[0].lower() in LEADING or (len(words) > 2 and words[0] == "de")):
+    words = _SIGNS.sub(" ", _KIND.sub(" ", s)).split()
+    words = [w for w in words if w.lower() not in _WRAPPING and not _VERSION.fullmatch(w)]
+    while words and (words[0].lower() in _LEADING or (len(words) > 2 and words[0] == "de")):
         words.pop(0)
-    while words and (words[-1].lower() in TRAILING):
+    while words and (words[-1].lower() in _TRAILING):
         words.pop()
-    s = re.split(rf"(?i)\b(?:{FIELDS})\b", " ".join(words))[0].split()
-    if len(s) >= 4 and re.fullmatch(r"[A-ZÁÉÍÓÚÜÑ]", s[-1]):
+    s = _FIELDS.split(" ".join(words), maxsplit=1)[0].split()
+    if len(s) >= 4 and _INITIAL.fullmatch(s[-1]):
         s.pop()
     return " ".join(s)
 
@@ -266,26 +272,42 @@ def phones_in(text: str | None) -> list[str]:
     return list(dict.fromkeys(p for p in found if 7 <= len(p.lstrip("+")) <= 15 and len(set(p.lstrip("+"))) > 1))[:3]
 
 
+_TAG, _SCRIPT = re.compile(r"<[^>]*>"), re.compile(r"(?is)<(script|style)\b.*?</\1\s*>")
+_LINK = re.compile(r"(?is)<a\b[^>]*?href=[\"']?([^\"' >]+)[^>]*>(.*?)</a>")
+_ADDRESS = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+_ROW = re.compile(r"(?is)<tr\b[^>]*>\s*<td\b[^>]*>(.*?)</td>")
+
+
 def people_in(markup: str | None) -> list[tuple[str, str | None]]:
     """(name, address or link) of people in HTML: links whose text is a name, names beside an address, rows that begin with one; each once."""
     from html import unescape
 
     out: dict[str, tuple[str, str | None]] = {}
-
-    def add(name: str, key: str | None) -> None:
-        name = name_case(clean_name(unescape(re.sub(r"<[^>]*>", " ", name))))
-        if looks_real(name) and (normal(name) not in out or out[normal(name)][1] is None):
-            out[normal(name)] = (name, key)
-
-    page = re.sub(r"(?is)<(script|style)\b.*?</\1\s*>", " ", markup or "")
-    for link, shown in re.findall(r"(?is)<a\b[^>]*?href=[\"']?([^\"' >]+)[^>]*>(.*?)</a>", page):
+    seen: dict[str, tuple[bool, str]] = {}  # of a page's parts: a name stands beside its address, and begins its row
+
+    def name_in(part: str) -> tuple[bool, str]:
+        """Whether a part is a name, and the name with capitals ('' if it is none then)."""
+        if part not in seen:
+            cleaned = clean_name(part)
+            real, name = looks_real(cleaned), name_case(cleaned)
+            seen[part] = real, name if (real if name == cleaned else looks_real(name)) else ""
+        return seen[part]
+
+    def add(shown: str, key: str | None) -> None:
+        if name := name_in(unescape(_TAG.sub(" ", shown)))[1]:
+            known = normal(name)
+            if known not in out or out[known][1] is None:
+                out[known] = (name, key)
+
+    page = _SCRIPT.sub(" ", markup or "")
+    for link, shown in _LINK.findall(page):
         add(shown, link.removeprefix("mailto:"))
-    for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", page):
-        around = re.sub(r"<[^>]*>", "\n", page[max(0, m.start() - 200) : m.start()])
+    for m in _ADDRESS.finditer(page):
+        around = _TAG.sub("\n", page[max(0, m.start() - 200) : m.start()])
         for part in reversed([p.strip(" :,;-\t") for p in around.split("\n") if p.strip()]):
-            if looks_real(clean_name(part)):
+            if name_in(part)[0]:
                 add(part, m[0].lower())
                 break
-    for first in re.findall(r"(?is)<tr\b[^>]*>\s*<td\b[^>]*>(.*?)</td>", page):
+    for first in _ROW.findall(page):
         add(first, None)
     return list(out.values())
