@@ -210,3 +210,44 @@ def test_people_are_ranked_once_for_all_orders(spark):
     from veinwork.plans.request_queries import resorted_results
 
     assert "Relation" not in _optimized(resorted_results(spark, SMALL))
+
+
+def test_rows_of_a_queue_share_entries_of_its_state():
+    import pandas as pd
+
+    from veinwork.streaming import stateful
+
+    class State(dict):
+        calls = 0
+
+        def updateValue(self, key, value):
+            State.calls += 1
+            self[key] = value
+
+        def getValue(self, key):
+            State.calls += 1
+            return self.get(key)
+
+        def containsKey(self, key):
+            State.calls += 1
+            return key in self
+
+        def removeKey(self, key):
+            del self[key]
+
+        def iterator(self):
+            return iter(list(self.items()))
+
+    class Handle:
+        def getMapState(self, *_):
+            return State()
+
+    queue = stateful.LeaseQueue()
+    queue.init(Handle())
+    columns = [c.split()[0] for c in stateful.QUEUE.split(", ")]
+    put = [(0, "enqueue", 8 * k, k, None, 0, 0, None) for k in range(20_000)]
+    got = [r for d in queue.handleInputRows((0,), iter([pd.DataFrame([*put, (0, "claim", 0, 0, "a", 1, 2, None)], columns=columns)]), None) for r in d.itertuples(index=False)]
+    assert [(r.id, r.state) for r in got] == [(0, "leased"), (8, "leased")]
+    assert State.calls <= 2 * stateful.QUEUE_BUCKETS
+    done = pd.DataFrame([(0, "done", 0, 0, "a", 2, 0, "ok"), (0, "enqueue", 0, 0, None, 3, 0, None), (0, "claim", 0, 0, "b", 4, 1, None)], columns=columns)
+    assert [(r.id, r.state) for d in queue.handleInputRows((0,), iter([done]), None) for r in d.itertuples(index=False)] == [(0, "done"), (16, "leased")]
