@@ -7,6 +7,7 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -245,3 +246,14 @@ def test_numbers_are_dense_ranks(spark, monkeypatch):
     for c in (None, 1, 2):
         mine = sorted({s for x, s in rows if x == c}, key=lambda s: (s is None, s or 0))
         assert [got[c, s] for s in mine] == list(range(1, len(mine) + 1))
+
+
+def test_stores_write_no_second_file_for_each_of_theirs(spark):
+    """Checksums beside each file of a checkpoint cost an executor threads and files for every store that it opens."""
+    rows = [(k, k % 3, k, "I", dt.datetime(2024, 1, 1 + k), "x", 1.0) for k in range(9)]
+    changes = spark.createDataFrame(rows, "change_id long, client_id long, seq long, op string, valid_at timestamp, city string, balance double")
+    before = set(Path(sequencer.shared_folder(spark).removeprefix("file:")).glob("changes-*"))
+    assert sequencer.change_digest(changes, batches=2, lanes=2).count()
+    (made,) = set(Path(sequencer.shared_folder(spark).removeprefix("file:")).glob("changes-*")) - before
+    files = [f.name for f in (made / "checkpoint/state").rglob("*") if f.is_file()]
+    assert files and not [f for f in files if f.endswith(".crc") and not f.startswith(".")]
